@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import bytebpe, chat, fingerprints, langid, packing, quality, sanitise, urlrules
+from lumenspan.llm import bytebpe, chat, dartminhash, fingerprints, langid, linededup, packing, quality, sanitise, urlrules
 
 #: (host, path, action)
 URL_RULES = [
@@ -52,6 +52,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -71,6 +75,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.find(table(spark, sf_dir, "documents"))
     names = F.array(*map(F.lit, (*sanitise.KINDS, "term")))
@@ -90,10 +98,12 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat": op2_chat,
     "op3_url_rules": op3_url_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sanitise": op10_sanitise,
 }
 ORACLES: dict[str, str] = {}
