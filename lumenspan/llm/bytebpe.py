@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ class BytePairs:
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.proven: set[int] = set()
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a single byte (or a token that merges never make)."""
@@ -59,7 +61,10 @@ class BytePairs:
 
     def whole(self, token: int) -> bool:
         """Whether BPE turns the token's bytes into that token."""
-        return len(self.tokens[token]) == 1 or self.split(token) is not None
+        good = len(self.tokens[token]) == 1 or self.split(token) is not None
+        if good:
+            self.proven.add(token)
+        return good
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves the bytes of left+right as these two tokens: walk both merge trees from the last
@@ -67,7 +72,7 @@ class BytePairs:
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
             known = self.apart[key] = self._compatible(left, right)
         return known
@@ -107,18 +112,24 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         pairs, old = self.pairs, len(self.data)
-        ranks, longest = pairs.ranks, pairs.longest
+        rank, longest, proven, apart = pairs.ranks.get, pairs.longest, pairs.proven, pairs.apart
         self.data = data = self.data + more
         last, length = self.last, self.length
         for i in range(old + 1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                token = ranks.get(data[j:i])
-                if token is None or not pairs.whole(token):
+            for j in range(i - longest if i > longest else 0, i):
+                token = rank(data[j:i])
+                if token is None or (token not in proven and not pairs.whole(token)):
                     continue
-                if j == 0 or pairs.compatible(last[j], token):
-                    last.append(token)
-                    length.append(i - j)
-                    break
+                if j:
+                    left = last[j]
+                    fits = apart.get((left, token))
+                    if fits is None:
+                        fits = pairs.compatible(left, token)
+                    if not fits:
+                        continue
+                last.append(token)
+                length.append(i - j)
+                break
             else:
                 raise ValueError(f"no token ends at byte {i}")
 
@@ -148,15 +159,16 @@ class ByteTokenizer:
         self.pairs, self.pattern = BytePairs(ranks), regex.compile(pattern)
         # A run of visible characters with the blank before it never shares a match with its neighbours.
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-        self.words = WordCache(lambda words: [self._word(w) for w in words], 100_000)
+        self.words = WordCache(lambda words: [self._word(w) for w in words], 200_000)
         self.runs = WordCache(self._run, 200_000)
 
     def _word(self, word: str) -> bytes:
         data = word.encode()
         token = self.pairs.ranks.get(data)
         if token is not None and self.pairs.whole(token):
-            return np.array([token], "<u4").tobytes()
-        return np.array(PrefixTable(self.pairs, data).ids(), "<u4").tobytes()
+            return token.to_bytes(4, "little")
+        ids = PrefixTable(self.pairs, data).ids()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run(self, runs: list[str]):
         split = [self.pattern.findall(r) for r in runs]

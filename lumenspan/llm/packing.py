@@ -8,6 +8,7 @@ planned as one pattern with a multiplicity, and executors map each piece to its
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right
 
@@ -25,27 +26,50 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+#: The vocabulary's pre-tokenizer (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokenizer:
     """Ids of whole texts, a word at a time: this vocabulary's normaliser and pre-tokenizer never look across
     white space, so ids of a text are those of its words one after the other."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.cache = WordCache(self._encode)
-
-    def _encode(self, words: list[str]):
-        found = self.model.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = True
+        self.model, self.split = self.full.model, regex.compile(SPLIT).findall
+        # Byte-level text: a byte that is no visible Latin-1 character stands as the next code point from 256 on.
+        seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        rest = [b for b in range(256) if b not in set(seen)]
+        self.byte_level = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 150_000)
+        self.words = WordCache(self._words, 200_000)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.byte_level)
+        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        """By the tokenizer itself: for what needs its normaliser."""
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]):
+        # Lower-casing differs between the languages for a final sigma only.
+        plain = [w.isascii() or (unicodedata.is_normalized("NFC", w) and "\u03a3" not in w) for w in words]
+        split = [self.split(w.lower()) if p else [] for w, p in zip(words, plain)]
+        known = self.parts.prepare([x for s in split for x in s])
+        return [b"".join(map(known.__getitem__, s)) if p else self._whole(w) for w, p, s in zip(words, plain, split)]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of text."""
         if any(c in text for c in ODD_SPACES):
-            return b"".join(self._encode([text]))
+            return self._whole(text)
         words = text.split()
-        return b"".join(map(self.cache.prepare(words).__getitem__, words))
+        return b"".join(map(self.words.prepare(words).__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

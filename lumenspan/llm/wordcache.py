@@ -22,9 +22,8 @@ class WordCache:
         unseen = set(words).difference(young)
         if unseen:
             if old:
-                kept = unseen.intersection(old)
-                for w in kept:
-                    young[w] = old[w]
+                kept = [w for w in unseen if w in old]
+                young.update(zip(kept, map(old.__getitem__, kept)))
                 unseen.difference_update(kept)
             todo = list(unseen)
             young.update(zip(todo, self.compute(todo)))
