@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.model import Record
-from lumenspan.operators.timeaxis import total
+from lumenspan.operators.timeaxis import let, mean_of, total
 
 
 def std(record: Record) -> DataFrame:
     """channel, std: population standard deviation of each channel, in two passes over its array."""
-    n = F.lit(float(max(record.meta.n, 1)))
-    centred = record.traces.withColumn("_mean", total(F.col("samples")) / n)
-    squares = F.transform("samples", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))
-    return centred.select("record_id", "channel", F.sqrt(total(squares) / n).alias("std"))
+    n = record.meta.n
+    squares = let(mean_of(F.col("samples"), n), lambda mean: F.transform("samples", lambda v: (v - mean) * (v - mean)))
+    return record.traces.select("record_id", "channel", F.sqrt(mean_of(squares, n)).alias("std"))
 
 
 def segment_bounds(n: int, parts: int) -> list[tuple[int, int]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenspan.model import Record, from_samples
-from lumenspan.operators.timeaxis import tukey_weight
+from lumenspan.operators.timeaxis import let, tukey_weight
 
 
 def positions(record: Record, labels: list[float]) -> list[int]:
@@ -97,8 +97,7 @@ def detrend_channels(record: Record) -> Record:
 def taper_channels(record: Record, channels: int, frac: float = 0.05) -> Record:
     """Times a Tukey window over `channels` positions: a factor per trace, no shuffle."""
     weight = tukey_weight(F.col("channel_pos"), channels, 2 * frac)
-    weighted = record.traces.withColumn("_w", weight).withColumn("samples", F.transform("samples", lambda v: v * F.col("_w")))
-    return Record(weighted.drop("_w"), record.meta)
+    return record.with_samples(let(weight, lambda w: F.transform("samples", lambda v: v * w)))
 
 
 def differentiate_channels(record: Record) -> Record:

@@ -43,9 +43,9 @@ def spectrogram(record: Record, norm: bool = False, order: int = 1, nfft: int |
 
 def psd(record: Record, channels=None, norm: bool = False, pre: bool = True, order: int = 1, n: int | None = None) -> DataFrame:
     """channel, freq_idx, freq, power: Welch's density with segments of n (256) samples."""
-    size = min(n or 256, record.meta.n)
-    kernel = lambda m: kernels.welch(kernels.preprocess(m, order) if pre else m, record.meta.fs, size)
-    return _rows(chosen(record, channels).map_traces(kernel), record.meta.fs / size, "power", norm)
+    size, fs = min(n or 256, record.meta.n), record.meta.fs
+    kernel = lambda m: kernels.welch(kernels.preprocess(m, order) if pre else m, fs, size)
+    return _rows(chosen(record, channels).map_traces(kernel), fs / size, "power", norm)
 
 
 def channel_spectrogram(record: Record, channel: float, norm: bool = False) -> DataFrame:

@@ -28,6 +28,16 @@ def _moment(time) -> datetime:
     return datetime.fromisoformat(time) if isinstance(time, str) else time
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable is never inlined into inner lambdas, as a projected
+    column would be, once for each of their elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def mean_of(array: Column, n: int) -> Column:
+    return total(array) / F.lit(float(max(n, 1)))
+
+
 def trim(record: Record, t0=None, tf=None, inclusive_end: bool = False) -> Record:
     """Samples from the last one at or before t0 up to, not including, the last one at or before tf.
 
@@ -58,9 +68,8 @@ def scale(record: Record, factor: float, **changes) -> Record:
 
 
 def demean(record: Record) -> Record:
-    mean = total(_x()) / F.lit(float(max(record.meta.n, 1)))
-    traces = record.traces.withColumn("_mean", mean)
-    return Record(traces.withColumn("samples", F.transform("samples", lambda v: v - F.col("_mean"))).drop("_mean"), record.meta)
+    centred = let(mean_of(_x(), record.meta.n), lambda mean: F.transform("samples", lambda v: v - mean))
+    return record.with_samples(centred)
 
 
 def detrend(record: Record, order: int = 1) -> Record:
@@ -69,11 +78,10 @@ def detrend(record: Record, order: int = 1) -> Record:
     if order != 1 or n < 2:
         return record.map_traces(lambda m: polynomial_residual(m, order))
     middle, spread = (n - 1) / 2, n * (n * n - 1) / 12
-    traces = record.traces.withColumn("_mean", total(_x()) / F.lit(float(n)))
     lever = F.transform("samples", lambda v, i: v * (i - F.lit(middle)))
-    traces = traces.withColumn("_slope", total(lever) / F.lit(spread))
-    out = F.transform("samples", lambda v, i: v - F.col("_mean") - F.col("_slope") * (i - F.lit(middle)))
-    return Record(traces.withColumn("samples", out).drop("_mean", "_slope"), record.meta)
+    line = F.struct(mean_of(_x(), n).alias("mean"), (total(lever) / F.lit(spread)).alias("slope"))
+    flat = let(line, lambda p: F.transform("samples", lambda v, i: v - p["mean"] - p["slope"] * (i - F.lit(middle))))
+    return record.with_samples(flat)
 
 
 def tukey_weight(index: Column, m: int, alpha: float) -> Column:
@@ -88,7 +96,8 @@ def tukey_weight(index: Column, m: int, alpha: float) -> Column:
 
 
 def taper(record: Record, frac: float = 0.05) -> Record:
-    return record.with_samples(F.transform(_x(), lambda v, i: v * tukey_weight(i, record.meta.n, 2 * frac)))
+    n = record.meta.n
+    return record.with_samples(F.transform(_x(), lambda v, i: v * tukey_weight(i, n, 2 * frac)))
 
 
 def detaper(record: Record, frac: float = 0.05) -> Record:
