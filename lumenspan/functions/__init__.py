@@ -1 +1 @@
-
+"""Filter design and NumPy kernels."""

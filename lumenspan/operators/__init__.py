@@ -1 +1 @@
-
+"""Operators on records."""

@@ -1 +1 @@
-
+"""Readers of vendor files."""
