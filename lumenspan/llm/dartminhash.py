@@ -21,6 +21,8 @@ from lumenspan.llm.sparkkit import cut, slices, small, texts_of
 from lumenspan.llm.textkit import MIX, mix64, shingle_sets
 
 BANDS, ROWS = 32, 5
+#: A working column beside those of the caller.
+KEY = "__lumenspan_key"
 SIGNED = "doc_id long, key long, id long, bands array<long>"
 #: Cumulative Poisson(1) probabilities; the rest beyond 12 is under 1e-10.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(13)])
@@ -173,9 +175,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFra
     """docs, all columns, with one document of each class; of rows equal in doc_id and text the first one stays."""
     gone = cut(near_duplicates(docs, threshold, width).select("key", "kept", "class_size"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    dropped = gone.where("NOT kept").select(F.col("key").alias("_key")).distinct()
-    left = docs.withColumn("_key", key).join(small(cut(dropped), 300_000), "_key", "left_anti")
+    dropped = gone.where("NOT kept").select(F.col("key").alias(KEY)).distinct()
+    left = docs.withColumn(KEY, key).join(small(cut(dropped), 300_000), KEY, "left_anti")
     repeats = gone.where("kept AND class_size > 1").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
-        left = left.dropDuplicates(["_key"])
+        left = left.dropDuplicates([KEY])
     return left.select(*docs.columns)

@@ -22,6 +22,8 @@ from lumenspan.llm.wordcache import WordCache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Working columns beside those of the caller.
+BLOCK, RANK, SHIFT = "__lumenspan_block", "__lumenspan_rank", "__lumenspan_shift"
 #: Separators that Python's str.split knows and the tokenizer's \s does not.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -49,7 +51,7 @@ class WordTokenizer:
         self.words = WordCache(self._words, 200_000)
 
     def _part(self, part: str) -> bytes:
-        if not part.isascii():
+        if not (part.isascii() and part.isprintable()):
             part = part.encode().decode("latin-1").translate(self.byte_level)
         return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
 
@@ -195,23 +197,23 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 2048, blocks: i
     columns = pieces.columns
     blocks = blocks or 4 * partitions(spark)
     spread: Column = F.pmod(F.xxhash64(*columns), F.lit(blocks))
-    held = pieces.withColumn("block", spread)
-    counts = held.groupBy("block", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = cut(counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    held = pieces.withColumn(BLOCK, spread)
+    counts = held.groupBy(BLOCK, "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cut(counts.withColumn(SHIFT, F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in shifts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan_bins(histogram, capacity)))
-    order = Window.partitionBy("block", "length").orderBy(*columns)
+    order = Window.partitionBy(BLOCK, "length").orderBy(*columns)
     ranked = (
-        held.withColumn("rank", F.row_number().over(order) - 1)
-        .join(shifts.select("block", "length", "shift"), ["block", "length"])
-        .select(*columns, (F.col("rank") + F.col("shift")).alias("rank"))
+        held.withColumn(RANK, F.row_number().over(order) - 1)
+        .join(shifts.select(BLOCK, "length", SHIFT), [BLOCK, "length"])
+        .select(*columns, (F.col(RANK) + F.col(SHIFT)).alias(RANK))
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def place(batches):
         for batch in batches:
-            lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            lengths, ranks = batch.column("length").to_numpy(), batch.column(RANK).to_numpy()
             sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for n in np.unique(lengths):
                 rows, at = np.flatnonzero(lengths == n), slots.value[int(n)]
