@@ -60,8 +60,8 @@ class WordTokenizer:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, words: list[str]):
-        # Lower-casing differs between the languages for a final sigma only.
-        plain = [w.isascii() or (unicodedata.is_normalized("NFC", w) and "\u03a3" not in w) for w in words]
+        # Latin letters and ASCII are the same to Python's and the tokenizer's Unicode tables, whatever their versions.
+        plain = [w.isascii() or (max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)) for w in words]
         split = [self.split(w.lower()) if p else [] for w, p in zip(words, plain)]
         known = self.parts.prepare([x for s in split for x in s])
         return [b"".join(map(known.__getitem__, s)) if p else self._whole(w) for w, p, s in zip(words, plain, split)]
