@@ -2,7 +2,7 @@
 
 A public vocabulary tokenises every word; documents whose characters per token, byte-fallback share or token
 entropy lie outside their language's band are rejected. Bands are quartile fences over all documents of the
-language that pass the base rules, so they follow the corpus and need no labels.
+language (for the entropy: of its length class) that pass the base rules, so they follow the corpus, without labels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.sparkkit import cut, slices, small, texts_of
@@ -118,31 +118,52 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text").mapInArrow(run, MEASURES)
 
 
-def bands(measures: DataFrame, width: float) -> DataFrame:
-    """Quartile fences per language over all documents that pass the base rules."""
-    passing = measures.where(~F.col("base_failed"))
+def quartiles(column: str) -> tuple[Column, Column]:
+    q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
+    return q[0], q[1]
+
+
+def language_bands(passing: DataFrame, width: float) -> DataFrame:
+    """Fences of characters per token and byte share by language, over all documents that pass the base rules."""
     columns = []
-    for c, floor in (("chars_per_token", 0.15), ("byte_share", 0.02), ("entropy", 0.02)):
-        q = F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-        spread = F.greatest(q[1] - q[0], F.lit(floor)) * width
-        columns += [(q[0] - spread).alias(f"{c}_low"), (q[1] + spread).alias(f"{c}_high")]
+    for c, floor in (("chars_per_token", 0.1), ("byte_share", 0.01)):
+        low, high = quartiles(c)
+        spread = F.greatest(high - low, F.lit(floor)) * width
+        columns += [low.alias(f"{c}_q1"), high.alias(f"{c}_q3"), spread.alias(f"{c}_spread")]
     return passing.groupBy("lang").agg(*columns)
 
 
-def judge(docs: DataFrame, model_path: str, width: float = 4.0) -> DataFrame:
+def entropy_bands(passing: DataFrame, length_class: str, width: float, least: int) -> DataFrame:
+    """The lower fence of the entropy by language and length class; classes of fewer than `least` documents have none."""
+    low, high = quartiles("entropy")
+    fence = (low - F.greatest(high - low, F.lit(0.01)) * width).alias(f"{length_class}_low")
+    return passing.groupBy("lang", length_class).agg(fence, F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def judge(docs: DataFrame, model_path: str, width: float = 6.0, entropy_width: float = 2.5, least: int = 30) -> DataFrame:
     """Measures, base_failed and kept for each row of docs (doc_id, lang, text).
 
-    Fences lie `width` interquartile ranges beyond the quartiles. Text without words fails the base rules. A
-    language all of whose documents fail has no band and keeps nothing. Repeated rows are judged alike."""
+    Characters per token and byte share may lie `width` interquartile ranges beyond their language's quartiles, further
+    for short texts, whose means scatter more; the entropy `entropy_width` ranges below those of its length class. As
+    entropy falls with length, a class spans a quarter of an octave of tokens, or an octave where that has too few.
+    Text without words fails the base rules. A language all of whose documents fail has no band and keeps nothing.
+    Repeated rows are judged alike."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    held = cut(measure(docs, model_path).withColumn("base_failed", failed))
-    fences = small(cut(bands(held, width)), 10_000)
+    octaves = F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))
+    classes = {"fine": F.floor(4 * octaves), "coarse": F.floor(octaves)}
+    held = cut(measure(docs, model_path).withColumns({"base_failed": failed, **classes}))
+    passing = held.where(~F.col("base_failed"))
+    language = small(cut(language_bands(passing, width)), 10_000)
+    fine, coarse = (small(cut(entropy_bands(passing, c, entropy_width, least)), 100_000) for c in classes)
+    scatter = F.sqrt(1 + F.lit(100.0) / F.greatest("n_tokens", F.lit(1)))
+    off = F.greatest(F.col("chars_per_token_q1") - F.col("chars_per_token"), F.col("chars_per_token") - F.col("chars_per_token_q3"))
     inside = (
-        F.col("chars_per_token").between(F.col("chars_per_token_low"), F.col("chars_per_token_high"))
-        & (F.col("byte_share") <= F.col("byte_share_high"))
-        & (F.col("entropy") >= F.col("entropy_low"))
+        (off <= F.col("chars_per_token_spread") * scatter)
+        & (F.col("byte_share") - F.col("byte_share_q3") <= F.col("byte_share_spread") * scatter)
+        & (F.col("entropy") >= F.coalesce("fine_low", "coarse_low", F.lit(0.0)))
     )
-    return held.join(fences, "lang", "left").select(
+    banded = held.join(language, "lang", "left").join(fine, ["lang", "fine"], "left").join(coarse, ["lang", "coarse"], "left")
+    return banded.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
         "n_tokens", "chars_per_token", "byte_share", "entropy",
