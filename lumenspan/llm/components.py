@@ -1,15 +1,19 @@
 """Near-duplicate components without pairs within groups: star candidates, exact verification, distributed union-find.
 
 Items that share a band key are a bucket. First each item is compared with one member of its buckets, then with one
-member of each bucket, then with drawn pivots; at last all pairs of members that still lie in different components
-are compared. Pairs inside one component need no test: they can join nothing. So no candidate pair across components
-is left untested, while a group of n alike items costs about n tests.
+member of each bucket, then with drawn pivots, a test an item and round. Pairs inside one component need no test: they
+can join nothing. What is left are families of items that share buckets but lie in different components: lone items
+just under the threshold, mostly. Their sets meet in blocks of bounded size, whose similarities are one exact matrix
+product each; only links that join components leave a block. So no candidate pair across components is left untested,
+and no row is made for a pair that is not a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +56,72 @@ def verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     return both.where(shared >= threshold * (p + q - shared) - 1e-9).select("a", "b")
 
 
-def near_components(bands: DataFrame, items_of: Callable[[DataFrame], DataFrame], threshold: float, pivots: int = 3) -> DataFrame | None:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by matrix products over slices of the items."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(item) > 1
+    number = np.cumsum(often) - 1
+    shared = often[item]
+    owner, item = owner[shared], number[item[shared]]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(often.sum()), width):
+        at, to = np.searchsorted(item, [start, start + width])
+        present = np.zeros((len(sets), width), np.float32)
+        present[owner[at:to], item[at:to] - start] = 1
+        out += present[: len(left)] @ present[len(left) :].T
+    return out
+
+
+def block_links(open_buckets: DataFrame, items: DataFrame, threshold: float, rows: int = 512, hashes: int = 300_000) -> DataFrame:
+    """Links (a, b) that join different components within families of items that share open buckets.
+
+    A family is dealt by hashing into blocks of about `rows` items and `hashes` set elements; every two blocks meet in a
+    group of their own, so the largest group is as large in any family."""
+    by_key = Window.partitionBy("key")
+    ties = open_buckets.select(F.col("id").alias("u"), F.min("id").over(by_key).alias("v")).distinct()
+    families = connected(ties).select(F.col("node").alias("id"), F.col("root").alias("family"))
+    members = open_buckets.select("id", "root").distinct().join(families, "id").join(items, "id")
+    members = members.select("family", "id", "root", "items")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("m"))
+    blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("m") / hashes), F.lit(1)).alias("blocks"))
+    placed = members.join(small(cut(blocks), BROADCAST_ROWS), "family")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")
+    met = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    pairs = met.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root", "items")
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        block, ids, roots = (table.column(c).to_numpy() for c in ("block", "id", "root"))
+        sets = [np.asarray(v.values) for v in table.column("items")]
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        us, vs, parent = [], [], {}
+
+        def find(r):
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        if len(left) and len(right):
+            size = np.array([len(v) for v in sets], np.float32)
+            shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+            alike = shared >= threshold * (size[left][:, None] + size[right][None] - shared) - 1e-4
+            alike &= roots[left][:, None] != roots[right][None]
+            for i, j in np.argwhere(alike):
+                p, q = find(roots[left[i]]), find(roots[right[j]])
+                if p != q:
+                    parent[p] = q
+                    us.append(ids[left[i]])
+                    vs.append(ids[right[j]])
+        return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
+
+    return pairs.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def near_components(bands: DataFrame, items_of: Callable[[DataFrame], DataFrame], threshold: float, pivots: int = 1) -> DataFrame | None:
     """(id, root) of the items in components of two or more; None if no two items share a band.
 
     bands: (id, key), repeats allowed. items_of: ids -> (id, items array<int>), sorted distinct hashes of the set."""
@@ -71,27 +140,22 @@ def near_components(bands: DataFrame, items_of: Callable[[DataFrame], DataFrame]
     while True:
         roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
         labelled = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = labelled.withColumns({"r0": F.min("root").over(by_key), "r1": F.max("root").over(by_key), "members": F.count("*").over(by_key)})
-        open_buckets = cut(split.where("r0 < r1").select("id", "key", "low", "root", "members"))
-        rows, work = open_buckets.agg(F.count("*"), F.sum("members")).first()
-        if not rows:
+        split = labelled.withColumns({"r0": F.min("root").over(by_key), "r1": F.max("root").over(by_key)})
+        open_buckets = cut(split.where("r0 < r1").select("id", "key", "low", "root"))
+        if open_buckets.isEmpty():
             break
-        last = step > 0 and (step > pivots or work <= 20 * rows + 100_000)
-        if last:
-            other = open_buckets.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            drawn = open_buckets.join(other, "key").where("root < root2").select(*ordered(F.col("id"), F.col("id2")))
-        else:
-            rank = F.struct(F.xxhash64("id", F.lit(step)), F.col("id"), F.col("root")) if step else F.struct(F.col("low").alias("l"), "id", "root")
-            chosen = F.min(rank).over(by_key) if step else F.min(F.when(F.col("id") == F.col("low"), rank)).over(by_key)
-            drawn = open_buckets.withColumn("pivot", chosen).where(F.col("pivot.root") != F.col("root")).select(*ordered(F.col("id"), F.col("pivot.id")))
-        pairs = cut(drawn.distinct().join(tested, ["a", "b"], "left_anti"))
-        found = cut(verified(pairs, items, threshold))
-        links = links.unionByName(found)
-        if last:
-            if found.isEmpty():
-                break
-            roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
+        if step > pivots:
+            found = cut(block_links(open_buckets, items, threshold))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
             break
+        rank = F.struct(F.xxhash64("id", F.lit(step)), F.col("id"), F.col("root")) if step else F.struct(F.col("low").alias("l"), "id", "root")
+        chosen = F.min(rank).over(by_key) if step else F.min(F.when(F.col("id") == F.col("low"), rank)).over(by_key)
+        drawn = open_buckets.withColumn("pivot", chosen).where(F.col("pivot.root") != F.col("root")).select(*ordered(F.col("id"), F.col("pivot.id")))
+        votes = drawn.groupBy("a", "b").agg(F.count("*").alias("n"))
+        pairs = cut(votes.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+        links = links.unionByName(cut(verified(pairs, items, threshold)))
         tested = tested.unionByName(pairs)
         step += 1
     return roots.withColumnRenamed("node", "id")

@@ -106,4 +106,50 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sanitise": op10_sanitise,
 }
-ORACLES: dict[str, str] = {}
+_ESCAPED = "len({0}) + len({0}) * 3 - len(replace({0}, '\\', '')) - len(replace({0}, '<', '')) - len(replace({0}, '[', ''))"
+
+CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(24 + {_ESCAPED.format('role')} + len(role) - len(replace(role, chr(10), '')) + {_ESCAPED.format('text')}) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars::BIGINT AS formatted_chars FROM g"""
+
+_URL_TOKENS = """list_distinct(list_concat(
+    list_transform(list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '0', 'g'))))"""
+
+#: Mines by counting every subset of every url's tokens.
+URL_SQL = f"""
+WITH r(host, path, action) AS (VALUES {', '.join(map(str, URL_RULES))}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+t AS (SELECT *, {_URL_TOKENS} AS tokens FROM h),
+listed AS (SELECT page_id, arg_max(r.host || r.path, len(r.host || r.path)) AS rule, arg_max(action, len(r.host || r.path)) AS action
+    FROM t JOIN r ON (t.host = r.host OR ends_with(t.host, '.' || r.host)) AND starts_with(t.path, r.path) GROUP BY page_id),
+labelled AS (SELECT page_id, tokens, (quality = 0 OR toxic = 1) AS block FROM t JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
+k AS (SELECT count(*) AS n, ceil(least(1.0, greatest(0.002, 20.0 / greatest(count(*), 1))) * count(*)) AS least_count FROM labelled),
+subsets AS (SELECT block, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS part FROM (SELECT *, unnest(range(1, 1 << len(tokens)::INT)) AS mask FROM labelled)),
+strong AS (SELECT part, count(*) FILTER (block) / count(*) AS confidence FROM subsets, k GROUP BY part, least_count HAVING count(*) FILTER (block) >= least_count AND count(*) FILTER (block) / count(*) >= 0.8),
+fired AS (SELECT page_id, max(confidence) AS confidence FROM t JOIN strong s ON list_has_all(t.tokens, s.part)
+    WHERE NOT EXISTS (SELECT 1 FROM strong o WHERE o.part <> s.part AND list_has_all(s.part, o.part)) GROUP BY page_id)
+SELECT t.page_id::BIGINT AS page_id, host, path, rule, coalesce(action, CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN rule IS NULL THEN confidence END::DOUBLE AS confidence FROM t LEFT JOIN listed USING (page_id) LEFT JOIN fired USING (page_id)"""
+
+#: All links by an exact join on shingles, components by reachability.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [''] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.d),
+m AS (SELECT d, min(root) AS class_id FROM r GROUP BY d)
+SELECT d::BIGINT AS doc_id, class_id::BIGINT AS class_id, count(*) OVER (PARTITION BY class_id)::BIGINT AS class_size, d = class_id AS kept FROM m"""
+
+ORACLES: dict[str, str] = {"op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL}
