@@ -1,11 +1,10 @@
-"""Near-duplicate components without pairs within groups: star candidates, exact verification, distributed union-find.
-
-Items that share a band key are a bucket. First each item is compared with one member of its buckets, then with one
-member of each bucket, then with drawn pivots, a test an item and round. Pairs inside one component need no test: they
-can join nothing. What is left are families of items that share buckets but lie in different components: lone items
-just under the threshold, mostly. Their sets meet in blocks of bounded size, whose similarities are one exact matrix
-product each; only links that join components leave a block. So no candidate pair across components is left untested,
-and no row is made for a pair that is not a link.
+"""Near-duplicate components without pairs within groups: families of candidates, exact verification, union-find.
+
+Items that share a band key are a bucket; items tied through buckets are a family. In a large family every item is first
+compared with a few pivots, a test each, which joins whatever is alike to them. What is then left over is compared with
+the whole family in blocks of bounded size, small families as they are. A block computes exact similarities from the
+texts and lets only links out that join components. So no candidate pair across components is left untested, and no
+row is made for a pair.
 """
 
 from __future__ import annotations
@@ -17,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, small
+from lumenspan.llm.sparkkit import cut, small, texts_of
 
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 1_000_000
+#: Most items, and about the most set elements, in a block.
+BLOCK_ROWS, BLOCK_ELEMENTS = 512, 300_000
+Sets = Callable[[list[str]], list[np.ndarray]]
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -46,16 +48,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose item sets have a Jaccard similarity of at least threshold."""
-    left = items.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = items.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    p, q = F.size("x"), F.size("y")
-    both = pairs.join(left, "a").join(right, "b").where(F.least(p, q) >= threshold * F.greatest(p, q))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= threshold * (p + q - shared) - 1e-9).select("a", "b")
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by matrix products over slices of the items."""
     sets = [*left, *right]
@@ -76,86 +68,124 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def block_links(open_buckets: DataFrame, items: DataFrame, threshold: float, rows: int = 512, hashes: int = 300_000) -> DataFrame:
-    """Links (a, b) that join different components within families of items that share open buckets.
+def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: float) -> list[tuple[int, int]]:
+    """Links from left to right positions with a similarity of at least threshold, one for each two components."""
+    parent: dict[int, int] = {}
+
+    def find(r):
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    size = np.array([len(v) for v in sets], np.float32)
+    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    alike = shared >= threshold * (size[left][:, None] + size[right][None] - shared) - 1e-4
+    alike &= (shared > 0) & (roots[left][:, None] != roots[right][None])
+    out = []
+    for i, j in np.argwhere(alike):
+        p, q = find(roots[left[i]]), find(roots[right[j]])
+        if p != q:
+            parent[p] = q
+            out.append((int(ids[left[i]]), int(ids[right[j]])))
+    return out
+
 
-    A family is dealt by hashing into blocks of about `rows` items and `hashes` set elements; every two blocks meet in a
-    group of their own, so the largest group is as large in any family."""
-    by_key = Window.partitionBy("key")
-    ties = open_buckets.select(F.col("id").alias("u"), F.min("id").over(by_key).alias("v")).distinct()
-    families = connected(ties).select(F.col("node").alias("id"), F.col("root").alias("family"))
-    members = open_buckets.select("id", "root").distinct().join(families, "id").join(items, "id")
-    members = members.select("family", "id", "root", "items")
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("m"))
-    blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("m") / hashes), F.lit(1)).alias("blocks"))
-    placed = members.join(small(cut(blocks), BROADCAST_ROWS), "family")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")
-    met = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    pairs = met.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root", "items")
+def pivot_links(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float, pivots: int) -> DataFrame:
+    """Links (a, b) between the items of large families and a few pivots of each, drawn by hashing."""
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(pivots)]
+    chosen = large.groupBy("family").agg(F.array_distinct(F.array(*drawn)).alias("ids")).select(F.explode("ids").alias("id"))
+    texts = fetch(cut(large.join(chosen, "id", "left_semi"))).groupBy("family", "id").agg(F.first("text").alias("text"))
+    sides = cut(texts.groupBy("family").agg(F.collect_list(F.struct("id", "text")).alias("pivots")))
+    rows = fetch(large).join(small(sides, 2_000), "family").select("id", "text", "pivots")
+
+    def compare(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            a, b = [], []
+            for own, items, others in zip(batch.column("id").to_pylist(), sets_of(texts_of(batch)), batch.column("pivots")):
+                for other in others:
+                    pivot = other["id"].as_py()
+                    if pivot not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        known[pivot] = sets_of([other["text"].as_py()])[0]
+                    shared = len(np.intersect1d(items, known[pivot], assume_unique=True))
+                    if own != pivot and 0 < shared >= threshold * (len(items) + len(known[pivot]) - shared) - 1e-9:
+                        a.append(own)
+                        b.append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def block_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float) -> DataFrame:
+    """Links (a, b) that join components of a family. members: id, family, root, settled, bin (null in a large family),
+    loose and fixed (its numbers of blocks of items that are not settled, and of settled ones).
+
+    Small families share bins. In a large one every two blocks meet in a group of their own, but for two settled ones,
+    so a group is as large in any family."""
+    own = F.when(F.col("settled"), F.col("loose") + F.pmod(F.xxhash64("id"), F.col("fixed"))).otherwise(F.pmod(F.xxhash64("id"), F.col("loose")))
+    last = F.when(F.col("settled"), F.col("loose")).otherwise(F.col("loose") + F.col("fixed")) - 1
+    others = F.when(F.col("bin").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    block = F.when(F.col("bin").isNotNull(), 0).otherwise(own).cast("long")
+    met = fetch(members).withColumn("block", block).where(F.col("bin").isNotNull() | (last >= 0)).withColumn("other", F.explode(others))
+    group = F.coalesce("bin", "family").alias("group")
+    pairs = met.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "family", "id", "root", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        block, ids, roots = (table.column(c).to_numpy() for c in ("block", "id", "root"))
-        sets = [np.asarray(v.values) for v in table.column("items")]
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        us, vs, parent = [], [], {}
-
-        def find(r):
-            while parent.get(r, r) != r:
-                r = parent[r]
-            return r
-
-        if len(left) and len(right):
-            size = np.array([len(v) for v in sets], np.float32)
-            shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
-            alike = shared >= threshold * (size[left][:, None] + size[right][None] - shared) - 1e-4
-            alike &= roots[left][:, None] != roots[right][None]
-            for i, j in np.argwhere(alike):
-                p, q = find(roots[left[i]]), find(roots[right[j]])
-                if p != q:
-                    parent[p] = q
-                    us.append(ids[left[i]])
-                    vs.append(ids[right[j]])
-        return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
-
-    return pairs.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
-
-
-def near_components(bands: DataFrame, items_of: Callable[[DataFrame], DataFrame], threshold: float, pivots: int = 1) -> DataFrame | None:
+        _, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        block, family, ids, roots = (table.column(c).to_numpy() for c in ("block", "family", "id", "root"))
+        sets, links = sets_of([t or "" for t in table.column("text").to_pylist()]), []
+        order = np.argsort(family, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            left, right = part[block[part] == x], part[block[part] == y]
+            if len(left) and len(right):
+                links += group_links(ids, roots, sets, left, right, threshold)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return pairs.groupBy("group", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def near_components(
+    bands: DataFrame, locate: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float, pivots: int = 3
+) -> DataFrame | None:
     """(id, root) of the items in components of two or more; None if no two items share a band.
 
-    bands: (id, key), repeats allowed. items_of: ids -> (id, items array<int>), sorted distinct hashes of the set."""
+    bands: (id, key), repeats allowed. locate: ids -> one row an id with its size (set elements, roughly) and where it
+    is. fetch: rows of located ids, any columns more -> the same with text (an id may come again). sets_of: texts ->
+    sorted distinct 32-bit hashes of each text's set."""
     by_key = Window.partitionBy("key")
     ends = bands.select("id", "key", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"))
-    buckets = cut(ends.where("low < high").select("id", "key", "low").distinct())
-    if buckets.isEmpty():
+    ties = cut(ends.where("low < high").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct())
+    if ties.isEmpty():
         return None
-    items = cut(items_of(buckets.select("id").distinct()))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    votes = buckets.where("id != low").groupBy("id", "low").agg(F.count("*").alias("n"))
-    best = votes.groupBy("id").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
-    pairs = cut(best.select(*ordered(F.col("id"), F.col("low"))).distinct())
-    tested, links = pairs, cut(verified(pairs, items, threshold))
-    step = 0
-    while True:
+    families = cut(connected(ties).select(F.col("node").alias("id"), F.col("root").alias("family")))
+    placed = cut(locate(families.select("id")).join(small(families, BROADCAST_ROWS), "id"))
+    sizes = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    big = (F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ELEMENTS)
+    sizes = cut(sizes.withColumn("big", F.col("n").isNotNull() & big))
+    n, m = sizes.where("NOT big").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    bins = int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1
+    sized = placed.join(small(sizes.select("family", "big"), BROADCAST_ROWS), "family")
+    bin_of = F.pmod(F.xxhash64("family"), F.lit(bins))
+    nothing = F.lit(None).cast("long")
+    members = sized.where("NOT big").drop("big").withColumns({"root": F.col("id"), "settled": F.lit(False), "bin": bin_of, "loose": nothing, "fixed": nothing})
+    links = None
+    large = sized.where("big").drop("big")
+    if not sizes.where("big").isEmpty():
+        large = cut(large)
+        links = cut(pivot_links(large, fetch, sets_of, threshold, pivots))
         roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
-        labelled = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = labelled.withColumns({"r0": F.min("root").over(by_key), "r1": F.max("root").over(by_key)})
-        open_buckets = cut(split.where("r0 < r1").select("id", "key", "low", "root"))
-        if open_buckets.isEmpty():
-            break
-        if step > pivots:
-            found = cut(block_links(open_buckets, items, threshold))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
-            break
-        rank = F.struct(F.xxhash64("id", F.lit(step)), F.col("id"), F.col("root")) if step else F.struct(F.col("low").alias("l"), "id", "root")
-        chosen = F.min(rank).over(by_key) if step else F.min(F.when(F.col("id") == F.col("low"), rank)).over(by_key)
-        drawn = open_buckets.withColumn("pivot", chosen).where(F.col("pivot.root") != F.col("root")).select(*ordered(F.col("id"), F.col("pivot.id")))
-        votes = drawn.groupBy("a", "b").agg(F.count("*").alias("n"))
-        pairs = cut(votes.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        links = links.unionByName(cut(verified(pairs, items, threshold)))
-        tested = tested.unionByName(pairs)
-        step += 1
-    return roots.withColumnRenamed("node", "id")
+        rooted = large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        groups = rooted.groupBy("family", "root").agg(F.count("*").alias("n"))
+        main = groups.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        rooted = cut(rooted.join(small(cut(main), BROADCAST_ROWS), "family").withColumn("settled", F.col("root") == F.col("main")).drop("main"))
+        count = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / BLOCK_ELEMENTS)).cast("long")
+        blocks = rooted.groupBy("family").agg(count(~F.col("settled")).alias("loose"), count(F.col("settled")).alias("fixed"))
+        rest = rooted.join(small(cut(blocks), BROADCAST_ROWS), "family").where("loose > 0").withColumn("bin", nothing)
+        members = members.unionByName(rest.select(*members.columns))
+    found = block_links(cut(members), fetch, sets_of, threshold)
+    links = cut(found if links is None else links.unionByName(found))
+    return cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")

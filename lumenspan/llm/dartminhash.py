@@ -10,20 +10,21 @@ k ln k darts. Banded signatures give candidates, whose similarity is then comput
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.components import near_components
+from lumenspan.llm.components import BROADCAST_ROWS, near_components
 from lumenspan.llm.sparkkit import cut, slices, small, texts_of
 from lumenspan.llm.textkit import MIX, mix64, shingle_sets
 
 BANDS, ROWS = 32, 5
 #: A working column beside those of the caller.
 KEY = "__lumenspan_key"
-SIGNED = "doc_id long, key long, id long, bands array<long>"
+SIGNED = "doc_id long, key long, id long, size long, bands array<long>"
 #: Cumulative Poisson(1) probabilities; the rest beyond 12 is under 1e-10.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(13)])
 _RANK_BITS, _EMPTY = np.uint64(24), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,8 +115,8 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 for i, row in zip(fresh, keys):
                     bands[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "id", "bands"],
+                    [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "id", "size", "bands"],
                 )
 
     return keyed(docs).mapInArrow(run, SIGNED)
@@ -126,16 +127,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
 
 
-def shingle_items(rows: DataFrame, width: int) -> DataFrame:
-    """(id, items): sorted distinct 32-bit shingle hashes of (id, text) rows."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                items = [np.unique((s >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in shingle_sets(texts_of(part), width)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(items, pa.list_(pa.int32()))], ["id", "items"])
-
-    return rows.mapInArrow(run, "id long, items array<int>")
+def short_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct 32-bit shingle hashes."""
+    return [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in shingle_sets(texts, width)]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -148,19 +142,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     rows = cut(signed(docs, width))
     bands = rows.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("key"))
 
-    def items_of(ids: DataFrame) -> DataFrame:
-        chosen = rows.select("id", "key").join(small(cut(ids), 300_000), "id", "left_semi")
-        one = cut(chosen.groupBy("id").agg(F.min("key").alias("key")))
-        return shingle_items(keyed(docs).join(small(one, 300_000), "key").select("id", "text").dropDuplicates(["id"]), width)
+    def locate(ids: DataFrame) -> DataFrame:
+        mine = rows.join(small(ids, BROADCAST_ROWS), "id", "left_semi")
+        return mine.groupBy("id").agg(F.min("key").alias("key"), F.max("size").alias("size"))
+
+    def fetch(located: DataFrame) -> DataFrame:
+        return keyed(docs).drop("doc_id").join(small(located, BROADCAST_ROWS), "key")
 
-    roots = near_components(bands, items_of, threshold)
+    roots = near_components(bands, locate, fetch, partial(short_sets, width=width), threshold)
     if roots is None:
         classed = rows.select("doc_id", "key", F.col("id").alias("class"))
     else:
-        classed = rows.select("doc_id", "key", "id").join(roots, "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("class"))
+        classed = rows.select("doc_id", "key", "id").join(small(roots, BROADCAST_ROWS), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))).alias("first")
     groups = classed.groupBy("class").agg(first, F.count("*").alias("class_size")).where("class_size > 1")
-    groups = small(cut(groups), 300_000)
+    groups = small(cut(groups), BROADCAST_ROWS)
     joined = classed.join(groups, "class", "left")
     return joined.select(
         "doc_id",
@@ -176,7 +172,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFra
     gone = cut(near_duplicates(docs, threshold, width).select("key", "kept", "class_size"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     dropped = gone.where("NOT kept").select(F.col("key").alias(KEY)).distinct()
-    left = docs.withColumn(KEY, key).join(small(cut(dropped), 300_000), KEY, "left_anti")
+    left = docs.withColumn(KEY, key).join(small(cut(dropped), BROADCAST_ROWS), KEY, "left_anti")
     repeats = gone.where("kept AND class_size > 1").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
         left = left.dropDuplicates([KEY])
