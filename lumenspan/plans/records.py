@@ -40,9 +40,6 @@ def _filled(sums: DataFrame, name: str, n: int, meta: RecordMeta) -> Record:
     )
 
 
-V_TYPES = ("click", "view", "purchase", "signup", "logout")
-
-
 def events(spark: SparkSession, sf_dir: str) -> Record:
     """Event types (numbered alphabetically) as channels, hourly sums of value over 30 days as samples; one sample a
     second nominally."""
