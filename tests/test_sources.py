@@ -116,3 +116,17 @@ def test_bytes_are_not_pickled():
     np.save(buffer, np.array([{}], dtype=object), allow_pickle=True)
     with pytest.raises(ValueError):
         parsers.bam_npy(buffer.getvalue())
+
+
+def test_data_source(spark, tmp_path):
+    from lumenspan.sources.datasource import register
+
+    x = np.arange(12.0).reshape(4, 3)
+    for name in ("a", "b"):
+        np.save(tmp_path / f"{name}.npy", x)
+    register(spark)
+    reader = spark.read.format("lumenspan").option("vendor", "bam")
+    rows = reader.option("channels", "0,2").load(str(tmp_path)).orderBy("record_id", "channel").collect()
+    assert [(r["channel_pos"], r["channel"]) for r in rows] == [(0, 0.0), (1, 2.0)] * 2 and rows[1]["samples"] == [2, 5, 8, 11]
+    with pytest.raises(Exception, match="no files"):
+        reader.load(str(tmp_path / "none*")).count()
