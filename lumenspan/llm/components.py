@@ -28,17 +28,19 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the component's least node.
 
     Alternating large-star and small-star steps until the edge set stands still: a logarithmic number of rounds, each
-    cut by a checkpoint. A node's neighbours are only reduced to their minimum, never gathered."""
+    cut by a checkpoint. A node's neighbours are only reduced to their minimum, never gathered; the minima are broadcast
+    while twice the edges are within the bound, and shuffled beyond it."""
     both = F.struct(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = cut(edges.where(F.col("u") != F.col("v")).select(both.alias("e")).select("e.*").distinct())
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
     last = now.agg(mark.alias("m")).first()["m"]
     while last["n"]:
+        side = F.broadcast if 2 * last["n"] <= BROADCAST_ROWS else (lambda df: df)
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = ways.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        joined = large.join(side(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         mine = now.agg(mark.alias("m")).first()["m"]
         if mine == last:
@@ -68,8 +70,22 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
+def prefixes(sets: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """Each set's rarest elements among these sets, as many as two sets of at least `threshold` cannot both miss: one
+    more than a set may lose."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, item, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((item, counts[item], owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = rank < (sizes - np.ceil(threshold * sizes - 1e-9) + 1)[owner]
+    return np.split(item[order][kept], np.cumsum(np.bincount(owner[kept], minlength=len(sets)))[:-1])
+
+
 def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: float) -> list[tuple[int, int]]:
-    """Links from left to right positions with a similarity of at least threshold, one for each two components."""
+    """Links from left to right positions with a similarity of at least threshold, one for each two components.
+
+    Only pairs whose prefixes meet are compared, which loses no link."""
     parent: dict[int, int] = {}
 
     def find(r):
@@ -77,26 +93,32 @@ def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: floa
             r = parent[r]
         return r
 
+    both = np.union1d(left, right)
+    place = {p: i for i, p in enumerate(both.tolist())}
+    rare = prefixes([sets[i] for i in both], threshold)
     size = np.array([len(v) for v in sets], np.float32)
-    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
-    alike = shared >= threshold * (size[left][:, None] + size[right][None] - shared) - 1e-4
-    alike &= (shared > 0) & (roots[left][:, None] != roots[right][None])
+    a, b = size[left][:, None], size[right][None]
+    near = overlaps([rare[place[i]] for i in left], [rare[place[i]] for i in right]) > 0
+    near &= (roots[left][:, None] != roots[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4)
     out = []
-    for i, j in np.argwhere(alike):
-        p, q = find(roots[left[i]]), find(roots[right[j]])
+    for i, j in np.argwhere(near):
+        x, y = left[i], right[j]
+        p, q = find(roots[x]), find(roots[y])
         if p != q:
-            parent[p] = q
-            out.append((int(ids[left[i]]), int(ids[right[j]])))
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if shared >= threshold * (len(sets[x]) + len(sets[y]) - shared) - 1e-9:
+                parent[p] = q
+                out.append((int(ids[x]), int(ids[y])))
     return out
 
 
-def pivot_links(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float, pivots: int) -> DataFrame:
+def pivot_links(large: DataFrame, sets_of: Sets, threshold: float, pivots: int) -> DataFrame:
     """Links (a, b) between the items of large families and a few pivots of each, drawn by hashing."""
     drawn = [F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(pivots)]
     chosen = large.groupBy("family").agg(F.array_distinct(F.array(*drawn)).alias("ids")).select(F.explode("ids").alias("id"))
-    texts = fetch(cut(large.join(chosen, "id", "left_semi"))).groupBy("family", "id").agg(F.first("text").alias("text"))
+    texts = large.join(chosen, "id", "left_semi").groupBy("family", "id").agg(F.first("text").alias("text"))
     sides = cut(texts.groupBy("family").agg(F.collect_list(F.struct("id", "text")).alias("pivots")))
-    rows = fetch(large).join(small(sides, 2_000), "family").select("id", "text", "pivots")
+    rows = large.join(small(sides, 2_000), "family").select("id", "text", "pivots")
 
     def compare(batches):
         known: dict[int, np.ndarray] = {}
@@ -118,8 +140,8 @@ def pivot_links(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def block_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float) -> DataFrame:
-    """Links (a, b) that join components of a family. members: id, family, root, settled, bin (null in a large family),
+def block_links(members: DataFrame, sets_of: Sets, threshold: float) -> DataFrame:
+    """Links (a, b) that join components of a family. members: id, family, text, root, settled, bin (null in a large family),
     loose and fixed (its numbers of blocks of items that are not settled, and of settled ones).
 
     Small families share bins. In a large one every two blocks meet in a group of their own, but for two settled ones,
@@ -128,7 +150,7 @@ def block_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], set
     last = F.when(F.col("settled"), F.col("loose")).otherwise(F.col("loose") + F.col("fixed")) - 1
     others = F.when(F.col("bin").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
     block = F.when(F.col("bin").isNotNull(), 0).otherwise(own).cast("long")
-    met = fetch(members).withColumn("block", block).where(F.col("bin").isNotNull() | (last >= 0)).withColumn("other", F.explode(others))
+    met = members.withColumn("block", block).where(F.col("bin").isNotNull() | (last >= 0)).withColumn("other", F.explode(others))
     group = F.coalesce("bin", "family").alias("group")
     pairs = met.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "family", "id", "root", "text")
 
@@ -163,29 +185,30 @@ def near_components(
         return None
     families = cut(connected(ties).select(F.col("node").alias("id"), F.col("root").alias("family")))
     placed = cut(locate(families.select("id")).join(small(families, BROADCAST_ROWS), "id"))
+    texts = cut(fetch(placed).select("id", "family", "size", "text"))
     sizes = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
     big = (F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ELEMENTS)
-    sizes = cut(sizes.withColumn("big", F.col("n").isNotNull() & big))
+    sizes = cut(sizes.withColumn("big", big))
     n, m = sizes.where("NOT big").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     bins = int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1
-    sized = placed.join(small(sizes.select("family", "big"), BROADCAST_ROWS), "family")
+    sized = texts.join(small(sizes.select("family", "big"), BROADCAST_ROWS), "family")
     bin_of = F.pmod(F.xxhash64("family"), F.lit(bins))
     nothing = F.lit(None).cast("long")
     members = sized.where("NOT big").drop("big").withColumns({"root": F.col("id"), "settled": F.lit(False), "bin": bin_of, "loose": nothing, "fixed": nothing})
     links = None
     large = sized.where("big").drop("big")
     if not sizes.where("big").isEmpty():
-        large = cut(large)
-        links = cut(pivot_links(large, fetch, sets_of, threshold, pivots))
+        links = cut(pivot_links(large, sets_of, threshold, pivots))
         roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
-        rooted = large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = large.select("id", "family", "size").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left")
+        rooted = named.withColumn("root", F.coalesce("root", "id"))
         groups = rooted.groupBy("family", "root").agg(F.count("*").alias("n"))
         main = groups.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         rooted = cut(rooted.join(small(cut(main), BROADCAST_ROWS), "family").withColumn("settled", F.col("root") == F.col("main")).drop("main"))
         count = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / BLOCK_ELEMENTS)).cast("long")
         blocks = rooted.groupBy("family").agg(count(~F.col("settled")).alias("loose"), count(F.col("settled")).alias("fixed"))
-        rest = rooted.join(small(cut(blocks), BROADCAST_ROWS), "family").where("loose > 0").withColumn("bin", nothing)
-        members = members.unionByName(rest.select(*members.columns))
-    found = block_links(cut(members), fetch, sets_of, threshold)
+        rest = cut(rooted.join(small(cut(blocks), BROADCAST_ROWS), "family").where("loose > 0").withColumn("bin", nothing).drop("family", "size"))
+        members = members.unionByName(large.join(small(rest, BROADCAST_ROWS), "id").select(*members.columns))
+    found = block_links(members, sets_of, threshold)
     links = cut(found if links is None else links.unionByName(found))
     return cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")
