@@ -93,22 +93,33 @@ def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: floa
             r = parent[r]
         return r
 
-    both = np.union1d(left, right)
-    place = {p: i for i, p in enumerate(both.tolist())}
-    rare = prefixes([sets[i] for i in both], threshold)
-    size = np.array([len(v) for v in sets], np.float32)
-    a, b = size[left][:, None], size[right][None]
-    near = overlaps([rare[place[i]] for i in left], [rare[place[i]] for i in right]) > 0
-    near &= (roots[left][:, None] != roots[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4)
     out = []
-    for i, j in np.argwhere(near):
-        x, y = left[i], right[j]
+
+    def compare(x, y) -> None:
         p, q = find(roots[x]), find(roots[y])
         if p != q:
             shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if shared >= threshold * (len(sets[x]) + len(sets[y]) - shared) - 1e-9:
                 parent[p] = q
                 out.append((int(ids[x]), int(ids[y])))
+
+    within = len(left) == len(right) and bool((left == right).all())
+    if len(left) * len(right) <= 150:
+        for i, x in enumerate(left):
+            for y in left[i + 1 :] if within else right:
+                m, n = len(sets[x]), len(sets[y])
+                if min(m, n) >= threshold * max(m, n) - 1e-9 and m:
+                    compare(x, y)
+        return out
+    both = np.union1d(left, right)
+    place = {p: i for i, p in enumerate(both.tolist())}
+    rare = prefixes([sets[i] for i in both], threshold)
+    size = np.array([len(v) for v in sets], np.float32)
+    a, b = size[left][:, None], size[right][None]
+    near = overlaps([rare[place[i]] for i in left], [rare[place[i]] for i in right]) > 0
+    near &= (roots[left][:, None] != roots[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4)
+    for i, j in np.argwhere(np.triu(near, 1) if within else near):
+        compare(left[i], right[j])
     return out
 
 
