@@ -40,8 +40,8 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None,
     high = np.zeros(len(sets))
     high[active] = k * (math.log(k) + 3) / total[active]
     while len(active):
-        for at in range(0, len(active), 64):
-            some = active[at : at + 64]
+        work = np.cumsum(np.maximum(sizes[active], k * 8)) // 100_000
+        for some in np.split(active, np.flatnonzero(np.diff(work)) + 1):
             _throw(out, some, sets, weights, low, high, k)
         empty = (out.reshape(-1, k)[active] == _EMPTY).any(axis=1)
         active = active[empty]
@@ -102,13 +102,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 500_000):
                 sets = shingle_sets(texts_of(part), width)
                 ids, fresh = [set_id(s) for s in sets], []
                 for i, (own, items) in enumerate(zip(ids, sets)):
                     if own not in seen and len(items):
                         fresh.append(i)
-                        if len(seen) < 500_000:
+                        if len(seen) < 100_000:
                             seen.add(own)
                 keys = band_keys(signatures([sets[i] for i in fresh])) if fresh else []
                 bands: list = [None] * len(sets)

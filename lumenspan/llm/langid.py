@@ -20,6 +20,8 @@ from lumenspan.llm.sparkkit import slices, texts_of
 
 WIDTHS = (2, 3, 4)
 BITS = 15
+#: Bytes of text whose subwords are in memory at once.
+SLICE = 250_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _breaks = re.compile(r"[\W\d_]+")
 
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
         model = shipped.value
         names = np.array([*model.languages, "und"], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = texts_of(part)
                 known = np.array([bool(model.languages) and any(map(str.isalpha, t)) for t in texts], bool)
                 best, sure = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
@@ -191,7 +193,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shipped.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = texts_of(part)
                 keep = np.array([bool(model.languages) and any(map(str.isalpha, t)) for t in texts], bool)
                 if keep.any():

@@ -47,8 +47,8 @@ class WordTokenizer:
         seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         rest = [b for b in range(256) if b not in set(seen)]
         self.byte_level = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 150_000)
-        self.words = WordCache(self._words, 200_000)
+        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 100_000)
+        self.words = WordCache(self._words, 150_000)
 
     def _part(self, part: str) -> bytes:
         if not (part.isascii() and part.isprintable()):
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def run(batches):
         tokenizer, end = word_tokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 doc_ids, rows = part.column("doc_id").to_pylist(), []
                 for doc_id, text in zip(doc_ids, texts_of(part)):
                     ids = tokenizer.ids(text) + end
