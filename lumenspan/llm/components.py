@@ -21,6 +21,8 @@ from lumenspan.llm.sparkkit import cut, small, texts_of
 BROADCAST_ROWS = 1_000_000
 #: Most items, and about the most set elements, in a block.
 BLOCK_ROWS, BLOCK_ELEMENTS = 512, 300_000
+#: Pairs in a block from which on all overlaps at once are cheaper than one by one.
+MANY = 2000
 Sets = Callable[[list[str]], list[np.ndarray]]
 
 
@@ -118,7 +120,13 @@ def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: floa
     a, b = size[left][:, None], size[right][None]
     near = overlaps([rare[place[i]] for i in left], [rare[place[i]] for i in right]) > 0
     near &= (roots[left][:, None] != roots[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4)
-    for i, j in np.argwhere(np.triu(near, 1) if within else near):
+    near = np.triu(near, 1) if within else near
+    if np.count_nonzero(near) <= MANY:
+        for i, j in np.argwhere(near):
+            compare(left[i], right[j])
+        return out
+    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    for i, j in np.argwhere(near & (shared >= threshold * (a + b - shared) - 1e-4)):
         compare(left[i], right[j])
     return out
 
