@@ -64,9 +64,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(often.sum()), width):
-        at, to = np.searchsorted(item, [start, start + width])
-        present = np.zeros((len(sets), width), np.float32)
+    count = int(often.sum())
+    for start in range(0, count, width):
+        end = min(start + width, count)
+        at, to = np.searchsorted(item, [start, end])
+        present = np.zeros((len(sets), end - start), np.float32)
         present[owner[at:to], item[at:to] - start] = 1
         out += present[: len(left)] @ present[len(left) :].T
     return out
