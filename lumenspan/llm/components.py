@@ -52,25 +52,26 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set, by matrix products over slices of the items."""
-    sets = [*left, *right]
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set (with every other left one if right is None), by
+    matrix products over slices of the items that two sets have."""
+    sets = left if right is None else [*left, *right]
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, item = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(item) > 1
+    _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
     number = np.cumsum(often) - 1
     shared = often[item]
     owner, item = owner[shared], number[item[shared]]
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(sets) - len(left) if right is not None else len(left)), np.float32)
     count = int(often.sum())
     for start in range(0, count, width):
         end = min(start + width, count)
         at, to = np.searchsorted(item, [start, end])
         present = np.zeros((len(sets), end - start), np.float32)
         present[owner[at:to], item[at:to] - start] = 1
-        out += present[: len(left)] @ present[len(left) :].T
+        out += present @ present.T if right is None else present[: len(left)] @ present[len(left) :].T
     return out
 
 
@@ -120,14 +121,15 @@ def group_links(ids, roots, sets: list[np.ndarray], left, right, threshold: floa
     rare = prefixes([sets[i] for i in both], threshold)
     size = np.array([len(v) for v in sets], np.float32)
     a, b = size[left][:, None], size[right][None]
-    near = overlaps([rare[place[i]] for i in left], [rare[place[i]] for i in right]) > 0
+    meet = lambda own: overlaps([own(i) for i in left], None if within else [own(i) for i in right])
+    near = meet(lambda i: rare[place[i]]) > 0
     near &= (roots[left][:, None] != roots[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4)
     near = np.triu(near, 1) if within else near
     if np.count_nonzero(near) <= MANY:
         for i, j in np.argwhere(near):
             compare(left[i], right[j])
         return out
-    shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    shared = meet(lambda i: sets[i])
     for i, j in np.argwhere(near & (shared >= threshold * (a + b - shared) - 1e-4)):
         compare(left[i], right[j])
     return out
