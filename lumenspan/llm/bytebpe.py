@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import slices, texts_of
+from lumenspan.llm.sparkkit import lighter, slices, texts_of
 from lumenspan.llm.wordcache import WordCache
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -215,4 +215,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = ENCODED + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return lighter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.components import BROADCAST_ROWS, near_components
-from lumenspan.llm.sparkkit import cut, slices, small, texts_of
+from lumenspan.llm.sparkkit import cut, lighter, slices, small, texts_of
 from lumenspan.llm.textkit import MIX, mix64, shingle_sets
 
 BANDS, ROWS = 32, 5
@@ -119,7 +119,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "key", "id", "size", "bands"],
                 )
 
-    return keyed(docs).mapInArrow(run, SIGNED)
+    return lighter(keyed(docs)).mapInArrow(run, SIGNED)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

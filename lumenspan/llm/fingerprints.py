@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import partitions
+from lumenspan.llm.sparkkit import lighter, partitions
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 911_382_323)
@@ -190,4 +190,4 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, max_chars: int =
         if len(rows) > 1:
             yield emit(rows)
 
-    return with_next(spark, docs).mapInArrow(run, PAIRED)
+    return lighter(with_next(spark, docs)).mapInArrow(run, PAIRED)

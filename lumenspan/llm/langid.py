@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import slices, texts_of
+from lumenspan.llm.sparkkit import lighter, slices, texts_of
 
 WIDTHS = (2, 3, 4)
 BITS = 15
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
                 )
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    return docs.select(ids, F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    return lighter(docs.select(ids, F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")).mapInArrow(run, PREDICTED)
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,4 +200,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                     keep[keep] = scores(model, [t for t, k in zip(texts, keep) if k]).max(axis=1) >= model.threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return lighter(docs).mapInArrow(run, schema)

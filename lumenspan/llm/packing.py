@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, partitions, slices, texts_of
+from lumenspan.llm.sparkkit import cut, lighter, partitions, slices, texts_of
 from lumenspan.llm.wordcache import WordCache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                     [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return lighter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

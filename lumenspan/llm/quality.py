@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, slices, small, texts_of
+from lumenspan.llm.sparkkit import cut, lighter, slices, small, texts_of
 from lumenspan.llm.textkit import MIX, mix64
 from lumenspan.llm.wordcache import WordCache
 
@@ -115,7 +115,7 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text").mapInArrow(run, MEASURES)
+    return lighter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text")).mapInArrow(run, MEASURES)
 
 
 def quartiles(column: str) -> tuple[Column, Column]:

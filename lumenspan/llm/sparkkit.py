@@ -30,6 +30,20 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Long texts make the usual 10,000 rows a batch heavy on both sides of the pipe to Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def lighter(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches held to BATCHES (smaller settings stay) for the rows that go to Python."""
+    conf = df.sparkSession.conf
+    for name, most in BATCHES.items():
+        now = str(conf.get(name)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
