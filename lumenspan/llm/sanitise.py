@@ -3,8 +3,7 @@
 Base spans come from patterns (e-mail, IPv4, card, phone). Each value found is a protected entity. The words next to
 its mentions are judged by information theory, as in C-sanitisation: a term t discloses an entity c if
 PMI(c; t) = log p(c, t) / (p(c) p(t)) reaches a share of the entity's own information IC(c) = -log p(c); at the full
-share t alone determines c. Joint counts are over distinct mention contexts, so copies of a text add nothing; p(t) is
-over all documents. Terms above the thresholds are generalised or removed next to the mentions they disclose.
+share t alone determines c. All counts are over distinct texts, so copies of a text add nothing on either side. Terms above the thresholds are generalised or removed next to the mentions they disclose.
 """
 
 from __future__ import annotations
@@ -79,11 +78,11 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def with_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, key (of the row's id and text), base (sorted spans), and the columns to keep."""
+    """doc_id, key (of the text), base (sorted spans), and the columns to keep."""
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(reduce(F.concat, [spans(F.col("body"), k) for k in KINDS]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body"), *keep).select(
-        "doc_id", F.xxhash64("doc_id", "body").alias("key"), base.alias("base"), *keep, "body"
+        "doc_id", F.xxhash64("body").alias("key"), base.alias("base"), *keep, "body"
     )
 
 
@@ -112,16 +111,23 @@ def contexts(found: DataFrame) -> DataFrame:
     return placed.select("key", "entity", "window", F.lower(word).alias("term"), start.alias("start"), (start + F.length(word)).alias("end"))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """A row (key, text) per distinct text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(text).alias("key"), text.alias("text")).dropDuplicates(["key"])
+
+
 def disclosing(near: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
     """(entity, term, ratio) of terms whose PMI with an entity is at least `share` of its information.
 
-    A pair needs min_contexts distinct contexts. Document frequencies are counted over all of docs."""
-    joint = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("both")).where(F.col("both") >= min_contexts)
-    joint = cut(joint)
+    A pair needs min_contexts distinct contexts. Document frequencies are counted over the rows of docs, joint ones over
+    the keys of near, so docs should hold a row per key."""
+    counts = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("both"), F.count_distinct("window").alias("windows"))
+    joint = cut(counts.where(F.col("windows") >= min_contexts).drop("windows"))
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("ratio"))
     total = docs.count()
-    own = near.groupBy("entity").agg(F.count_distinct("window").alias("mentions"))
+    own = near.groupBy("entity").agg(F.count_distinct("key").alias("mentions"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({TERM})"), F.lit(1)), lambda w: F.xxhash64(w)))
     frequency = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     terms = joint.select("term", F.xxhash64("term").alias("word")).distinct()
@@ -137,7 +143,7 @@ def disclosing(near: DataFrame, docs: DataFrame, min_contexts: int, share: float
 def term_spans(found: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
     """key, extra: the spans of disclosing terms (start, rank = len(KINDS), end, ratio) of each row that has some."""
     near = cut(contexts(found))
-    guilty = disclosing(near, docs, min_contexts, share)
+    guilty = disclosing(near, distinct_texts(docs), min_contexts, share)
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ratio"))
     hits = near.join(small(guilty, 100_000), ["entity", "term"])
     strongest = hits.groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
@@ -179,7 +185,7 @@ def sanitise(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> Data
     folded = F.aggregate(F.array_sort(marks), begin, step)
     clean = F.concat(F.array_join(folded["out"], ""), F.substr(F.col("body"), folded["at"] + 1))
     done = cut(merged.select("key", clean.alias(CLEAN)).dropDuplicates(["key"]))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.withColumn(KEY, key).join(small(done.withColumnRenamed("key", KEY), 20_000), KEY, "left")
     text = F.coalesce(CLEAN, "text")
     changed = {"text": text} | ({"n_chars": F.when(F.col(CLEAN).isNotNull(), F.length(CLEAN).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})

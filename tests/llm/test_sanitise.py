@@ -103,3 +103,15 @@ def test_ratio_is_the_formula(spark):
     for term, df in (("quillfeather", 5), ("note", 55), ("the", 55)):
         joint = 5
         assert rated[term] == pytest.approx(log2(joint / df * n / mentions) / -log2(mentions / n))
+
+
+def test_copies_do_not_hide_a_term(spark):
+    """One of three disclosing documents a thousand times; copies of another text do not make its plain words disclosing."""
+    texts = [f"The {x} note went to quillfeather at qf@mail.example.com before the {x} came." for x in ("garden", "letter", "window")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(1000)]
+    rows += [(5000 + i, f"The note went out before day number {i} came.") for i in range(500)]
+    got = {r["doc_id"]: r for r in sanitise.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i, r in got.items():
+        terms = {text[i][e["start"] : e["end"]] for e in r["extra"]}
+        assert terms == ({"quillfeather"} if i < 5000 else set()), (i, terms)
