@@ -1,16 +1,17 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
-Base spans come from patterns (e-mail, IPv4, card, phone). Each value found is a protected entity. The words next to
-its mentions are judged by information theory, as in C-sanitisation: a term t discloses an entity c if
+Base spans come from patterns (e-mail, IPv4, card, phone). Each value found is a protected entity. The words of the
+texts that mention it are judged by information theory, as in C-sanitisation: a term t discloses an entity c if
 PMI(c; t) = log p(c, t) / (p(c) p(t)) reaches a share of the entity's own information IC(c) = -log p(c); at the full
-share t alone determines c. All counts are over distinct texts, so copies of a text add nothing on either side. Terms above the thresholds are generalised or removed next to the mentions they disclose.
+share t alone determines c. All counts are over distinct texts, so copies of a text add nothing on either side. Terms
+above the thresholds are generalised or removed wherever they occur, also in texts without the value.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.sparkkit import cut, small
@@ -30,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WORDS_EACH_SIDE, CONTEXT_CHARS = 5, 120
-TERM = r"[\p{L}][\p{L}\p{M}'-]{2,}"
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]+"
 
 
 def digits(text: Column) -> Column:
@@ -86,29 +87,51 @@ def with_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """A row per word next to a mention: key, entity, window (hash of the context), term, start, end."""
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
+
+
+def candidates(words: Column) -> Column:
+    """Words that may be terms, in lower case; two small letters alone are no name."""
+    return F.transform(F.filter(words, lambda w: (F.length(w) > 2) | F.regexp_like(w, F.lit(r"[\p{Lu}\p{Lo}\p{N}]"))), F.lower)
+
+
+def entity_of(mention: Column) -> Column:
+    return F.xxhash64(mention["rank"], F.lower(mention["value"]))
+
+
+def recurring(found: DataFrame, min_contexts: int) -> DataFrame:
+    """key, entity for every text and each of its entities that have min_contexts distinct texts or contexts."""
+    body, m = F.col("body"), F.col("m")
+    left_from = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
+    window = F.xxhash64(F.lower(F.substr(body, left_from + 1, m["start"] - left_from)), F.lower(F.substr(body, m["end"] + 1, F.lit(CONTEXT_CHARS))))
+    each = cut(found.select("key", "body", F.explode("base").alias("m")).select("key", entity_of(m).alias("entity"), window.alias("window")).distinct())
+    counts = each.groupBy("entity").agg(F.count_distinct("key").alias("texts"), F.count_distinct("window").alias("windows"))
+    often = cut(counts.where(F.greatest("texts", "windows") >= min_contexts).select("entity"))
+    return cut(each.select("key", "entity").distinct().join(small(often, 100_000), "entity").select("key", "entity"))
+
+
+def contexts(found: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """key, entity, term, window: a row per distinct text, entity (of owners if given) and word of the text, its window
+    null, and a row per word next to a mention, its window the hash of the context."""
+    owners = recurring(found, 1) if owners is None else owners
+    per = cut(owners.groupBy("key").agg(F.collect_list("entity").alias("entities")))
+    texts = found.select("key", "body", "base").join(small(per, 20_000), "key").dropDuplicates(["key"])
+    words = F.array_distinct(candidates(words_of(F.col("body"))))
+    whole = texts.select("key", words.alias("words"), F.explode("entities").alias("entity"))
+    whole = whole.select("key", "entity", F.explode("words").alias("term"), F.lit(None).cast("long").alias("window"))
     body, m = F.col("body"), F.col("m")
     left_from = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
     left = F.substr(body, left_from + 1, m["start"] - left_from)
     right = F.substr(body, m["end"] + 1, F.lit(CONTEXT_CHARS))
-    words = lambda side: F.regexp_extract_all(side, F.lit(f"({TERM})"), F.lit(1))
-    gaps = lambda side: F.transform(F.split(side, TERM, -1), F.length)
-    base = found.select("key", F.col("doc_id"), "body", F.explode("base").alias("m"))
-    sides = base.select(
-        "key", F.xxhash64(m["rank"], F.lower(m["value"])).alias("entity"),
-        F.explode(F.array(F.struct(left_from.alias("from"), left.alias("side"), F.lit(True).alias("is_left")), F.struct(m["end"].alias("from"), right.alias("side"), F.lit(False).alias("is_left")))).alias("s"),
+    last = F.reverse(F.slice(F.reverse(words_of(left)), 1, WORDS_EACH_SIDE))
+    mentions = texts.select("key", "body", "entities", F.explode("base").alias("m")).withColumn("entity", entity_of(m)).where(F.array_contains("entities", F.col("entity")))
+    beside = mentions.select(
+        "key", "entity",
+        F.explode(candidates(F.concat(last, F.slice(words_of(right), 1, WORDS_EACH_SIDE)))).alias("term"),
         F.xxhash64(F.lower(left), F.lower(right)).alias("window"),
     )
-    split = sides.select("key", "entity", "window", "s.*").select("*", words(F.col("side")).alias("words"), gaps(F.col("side")).alias("gaps"))
-    count = F.size("words")
-    nearest = F.when(F.col("is_left"), F.sequence(F.greatest(count - WORDS_EACH_SIDE, F.lit(0)), count - 1)).otherwise(F.sequence(F.lit(0), F.least(count, F.lit(WORDS_EACH_SIDE)) - 1))
-    total = lambda column, n: F.aggregate(F.slice(column, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    placed = split.where(count > 0).select("key", "entity", "window", "from", "words", "gaps", F.explode(nearest).alias("i"))
-    lengths = F.transform("words", F.length)
-    start = F.col("from") + total(F.col("gaps"), F.col("i") + 1) + total(lengths, F.col("i"))
-    word = F.element_at("words", F.col("i") + 1)
-    return placed.select("key", "entity", "window", F.lower(word).alias("term"), start.alias("start"), (start + F.length(word)).alias("end"))
+    return whole.unionByName(beside)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -120,34 +143,41 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def disclosing(near: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
     """(entity, term, ratio) of terms whose PMI with an entity is at least `share` of its information.
 
-    A pair needs min_contexts distinct contexts. Document frequencies are counted over the rows of docs, joint ones over
-    the keys of near, so docs should hold a row per key."""
-    counts = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("both"), F.count_distinct("window").alias("windows"))
-    joint = cut(counts.where(F.col("windows") >= min_contexts).drop("windows"))
+    A pair needs min_contexts distinct texts, or as many distinct contexts with the term beside a mention. Document
+    frequencies are counted over the rows of docs, joint ones over the keys of near, so docs should hold a row per key."""
+    counts = near.groupBy("entity", "term").agg(F.count_if(F.col("window").isNull()).alias("both"), F.count_distinct("window").alias("windows"))
+    joint = cut(counts.where((F.col("both") > 0) & (F.greatest("both", "windows") >= min_contexts)).drop("windows"))
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("ratio"))
     total = docs.count()
-    own = near.groupBy("entity").agg(F.count_distinct("key").alias("mentions"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({TERM})"), F.lit(1)), lambda w: F.xxhash64(w)))
+    own = near.where(F.col("window").isNull()).groupBy("entity").agg(F.count_distinct("key").alias("mentions"))
+    words = F.array_distinct(F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(F.lower(w))))
     frequency = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     terms = joint.select("term", F.xxhash64("term").alias("word")).distinct()
-    known = small(cut(frequency.join(small(cut(terms), 100_000), "word").select("term", "df")), 100_000)
+    known = cut(frequency.join(small(cut(terms), 100_000), "word").select("term", "df"))
     n = F.greatest(F.lit(float(total)), F.col("mentions") + 1.0)
     p_given = F.least(F.col("both") / F.greatest(F.col("df"), F.col("both")), F.lit(1.0))
     information = -F.log2(F.col("mentions") / n)
     pmi = F.log2(p_given * n / F.col("mentions"))
-    rated = joint.join(own, "entity").join(known, "term").select("entity", "term", (pmi / information).alias("ratio"))
+    rated = joint.join(small(cut(own), 100_000), "entity").join(small(known, 100_000), "term").select("entity", "term", (pmi / information).alias("ratio"))
     return cut(rated.where(F.col("ratio") >= share))
 
 
 def term_spans(found: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
-    """key, extra: the spans of disclosing terms (start, rank = len(KINDS), end, ratio) of each row that has some."""
-    near = cut(contexts(found))
-    guilty = disclosing(near, distinct_texts(docs), min_contexts, share)
+    """key, extra: the spans (start, rank = len(KINDS), end, ratio) of all disclosing words of each text that has some."""
+    texts = distinct_texts(docs)
+    guilty = disclosing(contexts(found, recurring(found, min_contexts)), texts, min_contexts, share)
+    known = small(cut(guilty.groupBy("term").agg(F.max("ratio").alias("ratio"))), 100_000)
+    lower = F.array_distinct(F.transform(words_of(F.col("text")), F.lower))
+    keys = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    hit = cut(docs.select(keys, F.explode(lower).alias("term")).join(known, "term", "left_semi").select("key").distinct())
+    gaps = F.transform(F.split("text", TERM, -1), F.length)
+    placed = docs.select(keys, "text").join(small(hit, 100_000), "key", "left_semi").dropDuplicates(["key"])
+    placed = placed.select("key", F.posexplode(F.arrays_zip(words_of(F.col("text")).alias("word"), gaps.alias("gap"))).alias("i", "w"))
+    end = F.sum(F.col("w.gap") + F.length("w.word")).over(Window.partitionBy("key").orderBy("i")).cast("int")
+    placed = placed.where(F.col("w.word").isNotNull()).select("key", F.lower("w.word").alias("term"), (end - F.length("w.word")).alias("start"), end.alias("end"))
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ratio"))
-    hits = near.join(small(guilty, 100_000), ["entity", "term"])
-    strongest = hits.groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    return cut(strongest.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra")))
+    return cut(placed.join(known, "term").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra")))
 
 
 def outside(extra: Column, base: Column) -> Column:
@@ -166,11 +196,14 @@ def find(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFram
 
 def sanitise(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFrame:
     """docs, all columns, with text sanitised: base spans become [EMAIL], [IP], [CARD] or [PHONE]; terms that fully
-    determine an entity (ratio 1) are removed, other disclosing terms become [TERM]. Texts without spans, null ones
+    determine an entity (ratio 1) are removed, other disclosing terms become [TERM]. Texts without either, null ones
     included, stay as they are; n_chars, where it exists, follows the text."""
     found = cut(with_spans(docs).where(F.size("base") > 0))
     extra = term_spans(found, docs, min_contexts, share)
-    merged = found.join(small(extra, 100_000), "key", "left").select("key", "body", F.col("base"), outside(F.col("extra"), F.col("base")).alias("extra"))
+    # Texts without base spans may have terms too.
+    others = docs.select("doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).join(small(extra, 100_000), "key", "left_semi")
+    touched = found.unionByName(with_spans(others).where(F.size("base") == 0))
+    merged = touched.join(small(extra, 100_000), "key", "left").select("key", "body", F.col("base"), outside(F.col("extra"), F.col("base")).alias("extra"))
     marks = F.concat(
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), b["rank"] + 1)), F.lit("]")).alias("mark"))),
         F.transform("extra", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.when(e["ratio"] >= 1.0 - 1e-12, "").otherwise("[TERM]").alias("mark"))),

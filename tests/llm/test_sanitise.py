@@ -115,3 +115,19 @@ def test_copies_do_not_hide_a_term(spark):
     for i, r in got.items():
         terms = {text[i][e["start"] : e["end"]] for e in r["extra"]}
         assert terms == ({"quillfeather"} if i < 5000 else set()), (i, terms)
+
+
+def test_terms_of_the_whole_text(spark):
+    """Far from the mention, two-character names, identifiers, a text without the value, every occurrence."""
+    far = "as plain words that say nothing much about who wrote it all"
+    texts = [f"AB-7731x and Wu and 李明, then {far} day {x}: mail qf@mail.example.com now, {far}, says Quillfeather, quillfeather" for x in ("one", "two", "three", "four")]
+    alone = "Quillfeather was seen here."
+    rows = list(enumerate([*texts, alone])) + [(100 + i, f"{far} mail now, says day then and {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r["doc_id"]: [text[r["doc_id"]][e["start"] : e["end"]] for e in r["extra"]] for r in sanitise.find(docs).collect()}
+    assert all(got[i] == ["AB-7731x", "Wu", "李明", "Quillfeather", "quillfeather"] for i in range(4)), got[0]
+    assert got[4] == ["Quillfeather"] and not any(got[i] for i in range(100, 400))
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs).collect()}
+    assert clean[4] == "[TERM] was seen here." and "Wu" not in clean[0] and "李明" not in clean[0]
+    assert all(clean[i] == text[i] for i in range(100, 400))
