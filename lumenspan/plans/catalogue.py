@@ -492,7 +492,8 @@ def das_fk_spectrum(spark, sf_dir):
 
 @query("das_fk_filter")
 def das_fk_filter(spark, sf_dir):
-    return long(spectral.fk_filter(embeddings(spark, sf_dir, 16), 16, (5.0, 20.0), (0.0, 0.25)))
+    record = embeddings(spark, sf_dir)
+    return long(spectral.fk_filter(record, record.traces.count(), (5.0, 20.0), (0.0, 0.25)))
 
 
 # --- plots and export --------------------------------------------------------------------------------------------

@@ -35,5 +35,10 @@ def test_without_oracle_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_fk_filter_sees_every_channel(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert entry.queries()["das_fk_filter"](spark, SF).select("channel").distinct().count() == rows
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
