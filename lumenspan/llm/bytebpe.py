@@ -3,7 +3,7 @@
 For every prefix of a byte string, exactly one token can end its encoding. The table of these last tokens is
 filled from left to right: a candidate that ends at i is right if it and the last token of the prefix before it
 stay apart when merged as BPE would. An encoding is read off the table backwards, an append only extends it, and
-an edit refills it from the changed byte on.
+an edit refills it from the changed byte to where it meets the old table.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import lighter, slices, texts_of
+from lumenspan.llm.sparkkit import slices, texts_of
 from lumenspan.llm.wordcache import WordCache
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FAR = 1 << 60
+#: Bytes that an edit refills before it looks whether the table has met the old one.
+STEP = 64
 #: Separators that Python's \s knows and the tokenizer's \s does not.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -134,11 +136,24 @@ class PrefixTable:
                 raise ValueError(f"no token ends at byte {i}")
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """Put `new` in place of bytes start to end; prefixes up to start keep their entries."""
-        data = self.data
+        """Put `new` in place of bytes start to end. Prefixes up to start keep their entries, and so do those behind the
+        edit from where the table meets the old one: an entry rests on the last `longest` bytes and entries alone."""
+        data, last, length = self.data, self.last, self.length
+        rest, old_last, old_length = data[end:], last[end:], length[end:]
         self.data = data[:start]
-        del self.last[start + 1 :], self.length[start + 1 :]
-        self.append(new + data[end:])
+        del last[start + 1 :], length[start + 1 :]
+        self.append(new)
+        edge, run, longest = len(self.data), 0, self.pairs.longest
+        for at in range(0, len(rest), STEP):
+            self.append(rest[at : at + STEP])
+            for i in range(at + 1, min(at + STEP, len(rest)) + 1):
+                run = run + 1 if i >= longest and last[edge + i] == old_last[i] and length[edge + i] == old_length[i] else 0
+                if run == longest:
+                    del last[edge + i + 1 :], length[edge + i + 1 :]
+                    last += old_last[i + 1 :]
+                    length += old_length[i + 1 :]
+                    self.data = data[:start] + new + rest
+                    return
 
     def ids(self) -> list[int]:
         out, i = [], len(self.data)
@@ -215,4 +230,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = ENCODED + (", ids array<int>" if with_ids else "")
-    return lighter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

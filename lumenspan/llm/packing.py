@@ -8,16 +8,19 @@ planned as one pattern with a multiplicity, and executors map each piece to its
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, lighter, partitions, slices, texts_of
+from lumenspan.llm.sparkkit import cut, partitions, slices, texts_of
 from lumenspan.llm.wordcache import WordCache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,48 +33,79 @@ ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 #: The vocabulary's pre-tokenizer (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a vocabulary file must say for words to be encoded one by one (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordTokenizer:
-    """Ids of whole texts, a word at a time: this vocabulary's normaliser and pre-tokenizer never look across
-    white space, so ids of a text are those of its words one after the other."""
+    """Ids of whole texts as the tokenizers library gives them, a word at a time: this vocabulary's normaliser,
+    pre-tokenizer and special tokens never look across white space, so ids of a text are those of its words one after
+    the other. A vocabulary with other rules is an error. Special tokens in a text are special, as in the library;
+    with special_as_text their strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        if rules["normalizer"] != NORMALIZER or rules["pre_tokenizer"] != PRE_TOKENIZER or rules["post_processor"]:
+            raise ValueError(f"{path}: not a vocabulary whose words can be encoded one by one")
+        special = [t["content"] for t in rules["added_tokens"]]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"]) or any(x.split() != [x] for x in special):
+            raise ValueError(f"{path}: its special tokens reach beyond a word")
+        self.special = [] if special_as_text else special
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = special_as_text
         self.model, self.split = self.full.model, regex.compile(SPLIT).findall
         # Byte-level text: a byte that is no visible Latin-1 character stands as the next code point from 256 on.
         seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         rest = [b for b in range(256) if b not in set(seen)]
         self.byte_level = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 100_000)
-        self.words = WordCache(self._words, 150_000)
+        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 150_000)
+        self.words = WordCache(self._words, 250_000)
 
     def _part(self, part: str) -> bytes:
         if not (part.isascii() and part.isprintable()):
             part = part.encode().decode("latin-1").translate(self.byte_level)
-        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        """By the tokenizer itself: for what needs its normaliser."""
+        """By the tokenizer itself: for what needs its normaliser or its special tokens."""
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: list[str]):
+    def _pieces(self, word: str) -> list[str] | None:
+        """The pre-tokenizer's parts of a word, None for one that is left to the tokenizer itself."""
         # Latin letters and ASCII are the same to Python's and the tokenizer's Unicode tables, whatever their versions.
-        plain = [w.isascii() or (max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)) for w in words]
-        split = [self.split(w.lower()) if p else [] for w, p in zip(words, plain)]
-        known = self.parts.prepare([x for s in split for x in s])
-        return [b"".join(map(known.__getitem__, s)) if p else self._whole(w) for w, p, s in zip(words, plain, split)]
+        if not word.isascii() and (max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word)):
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        if "<" in word and any(x in word for x in self.special):
+            return None
+        return self.split(low)
+
+    def _words(self, words: list[str]):
+        split = [self._pieces(w) for w in words]
+        known = self.parts.prepare([x for s in split if s for x in s])
+        return [self._whole(w) if s is None else b"".join([known[x] for x in s]) for w, s in zip(words, split)]
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of text."""
-        if any(c in text for c in ODD_SPACES):
-            return self._whole(text)
-        words = text.split()
-        return b"".join(map(self.words.prepare(words).__getitem__, words))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        odd = [any(c in t for c in ODD_SPACES) for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        known = self.words.prepare(list(chain.from_iterable(words)))
+        return [self._whole(t) if o else b"".join(map(known.__getitem__, w)) for t, w, o in zip(texts, words, odd)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -96,8 +130,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 doc_ids, rows = part.column("doc_id").to_pylist(), []
-                for doc_id, text in zip(doc_ids, texts_of(part)):
-                    ids = tokenizer.ids(text) + end
+                for doc_id, found in zip(doc_ids, tokenizer.ids(texts_of(part))):
+                    ids = found + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut_ids = ids[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)))
@@ -107,7 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                     [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return lighter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -229,5 +263,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 2048, blocks: i
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """Tokenise docs once, then pack all their pieces."""
+    """Tokenise docs (doc_id, text) once, then pack all their pieces: doc_id, piece, start, length, ids_crc32,
+    sequence_id, offset, by the rules of token_pieces and pack. Null and empty texts are one piece of the end id alone;
+    repeated rows are packed once each; extra columns are ignored; an empty table gives no rows."""
     return pack(spark, cut(token_pieces(docs, tokenizer_path, capacity)), capacity)

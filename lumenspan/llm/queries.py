@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm import bytebpe, chat, dartminhash, fingerprints, langid, linededup, packing, quality, sanitise, urlrules
+from lumenspan.llm.sparkkit import light_batches
 
 #: (host, path, action)
 URL_RULES = [
@@ -20,6 +21,7 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder from spark.checkpoint.dir; make a local one only where it is unset (tests)."""
+    """Use the cluster's shared folder from spark.checkpoint.dir. Where it is unset, a local master (tests) gets a
+    temporary folder; on a cluster that is an error, as executors do not share such folders."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -25,23 +30,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast of a materialised df if it has at most max_rows rows; beyond that Spark shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Most bytes of a side that is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def bytes_of(schema: T.StructType) -> Column:
+    """About how many bytes a row of this schema takes, from the values themselves."""
+    own = []
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            own.append(F.octet_length(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            own.append(F.octet_length(F.col(f.name).cast("string")))
+    return reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), own, F.lit(16 + 8 * len(schema.fields)).cast("long"))
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised df if its rows, counted in bytes, fit the bound; beyond it Spark shuffles."""
+    total = df.agg(F.sum(bytes_of(df.schema))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df.hint("merge")
 
 
 #: Long texts make the usual 10,000 rows a batch heavy on both sides of the pipe to Python.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
-def lighter(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches held to BATCHES (smaller settings stay) for the rows that go to Python."""
-    conf = df.sparkSession.conf
+def light_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCHES (smaller settings stay). Registered queries and pipeline stages call
+    this; operators leave the session as it is, and work with any setting."""
     for name, most in BATCHES.items():
-        now = str(conf.get(name)).rstrip("b")
+        now = str(spark.conf.get(name)).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(name, str(most))
-    return df
+            spark.conf.set(name, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
