@@ -229,21 +229,22 @@ def test_appends_and_edits_are_exact(data, more, at, n):
     assert table.data == edited and table.ids() == pairs._merge(edited)
 
 
+PROSE = " ".join(f"the letter of day {i} came before {i * i} people had seen it," for i in range(60)).encode()
+
+
 @settings(deadline=None, max_examples=60)
-@given(st.text(alphabet="ab cdé", min_size=0, max_size=12), st.integers(0, 500), st.integers(0, 12), st.randoms())
-def test_edits_stop_where_the_tables_meet(new, at, n, random):
-    pairs = bytebpe.byte_tokenizer(MULTI, P.PATTERN).pairs
-    data = "".join(random.choice("abcde fgh the and") for _ in range(600)).encode()
+@given(st.sampled_from([PROSE, b"a" * 400, b"abab " * 90]), st.text(alphabet="ab cdé", max_size=12), st.integers(0, 300), st.integers(0, 12))
+def test_edits_stop_where_the_tables_meet(data, new, at, n):
+    pairs, filled = bytebpe.byte_tokenizer(MULTI, P.PATTERN).pairs, []
     table = bytebpe.PrefixTable(pairs, data)
-    filled = []
     grow = table.append
     table.append = lambda more: (filled.append(len(more)), grow(more))
     table.replace(at, at + n, new.encode())
     edited = data[:at] + new.encode() + data[at + n :]
     whole = bytebpe.PrefixTable(pairs, edited)
     assert (table.data, table.last, table.length) == (edited, whole.last, whole.length)
-    if pairs.longest < 100:
-        assert sum(filled) < len(new.encode()) + 6 * (pairs.longest + bytebpe.STEP)
+    if data is PROSE:  # tables of a periodic text may never meet again
+        assert sum(filled) < len(new.encode()) + 5 * bytebpe.STEP
 
 
 def test_word_cache_stays_bounded_and_right():
