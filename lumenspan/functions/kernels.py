@@ -7,19 +7,59 @@ import numpy as np
 from lumenspan.functions.design import hann, tukey
 
 
+#: Samples that one matrix product filters at once.
+BLOCK = 128
+
+
+def section_matrices(coefficients: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a second-order section (direct form II transposed) does to a block of `size` samples: the outputs from its
+    inputs and from the state before it, and the state after it from either."""
+    b0, b1, b2, _, a1, a2 = coefficients
+    step, drive = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    response = np.array([b0] + [(p @ drive)[0] for p in powers[: size - 1]])
+    lag = np.arange(size)[:, None] - np.arange(size)
+    outputs = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    return outputs, np.array([p[0] for p in powers[:size]]), np.array([p @ drive for p in powers[size - 1 :: -1]]).T, powers[size]
+
+
+def section(x: np.ndarray, coefficients: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One section over (channels, samples), from a state (channels, 2), zero unless given; the outputs and the state
+    after them. Blocks go through matrix products for all channels at once; only their states follow one another.
+    A value that is not finite makes its output and all later ones of the channel NaN."""
+    channels, n = x.shape
+    state = np.zeros((channels, 2)) if state is None else state
+    if n == 0:
+        return x, state
+    bad = np.maximum.accumulate(~np.isfinite(x), axis=1)
+    size = min(BLOCK, n)
+    outputs, from_state, to_state, carry = section_matrices(coefficients, size)
+    count = -(-n // size)
+    u = np.zeros((channels, count * size))
+    u[:, :n] = np.where(bad, 0.0, x)
+    u = u.reshape(channels, count, size)
+    y, driven = u @ outputs.T, u @ to_state.T
+    before, z = np.empty((channels, count, 2)), state
+    for k in range(count):
+        before[:, k] = z
+        z = z @ carry.T + driven[:, k]
+    y = (y + before @ from_state.T).reshape(channels, -1)[:, :n]
+    _, b1, b2, _, a1, a2 = coefficients
+    earlier = b2 * x[:, -2] - a2 * y[:, -2] if n > 1 else state[:, 1]
+    after = np.stack([b1 * x[:, -1] - a1 * y[:, -1] + earlier, b2 * x[:, -1] - a2 * y[:, -1]], axis=1)
+    y[bad] = np.nan
+    after[bad[:, -1]] = np.nan
+    return y, after
+
+
 def sos_filter(x: np.ndarray, sos: np.ndarray, zerophase: bool = False) -> np.ndarray:
-    """Direct form II transposed sections from zero state, one step in time for all channels at once."""
-    if zerophase:
-        return sos_filter(sos_filter(x, sos)[:, ::-1], sos)[:, ::-1]
-    y = np.array(x.T, float)
-    for b0, b1, b2, _, a1, a2 in sos:
-        z1, z2 = np.zeros(y.shape[1]), np.zeros(y.shape[1])
-        for t in range(len(y)):
-            v = y[t]
-            out = b0 * v + z1
-            z1, z2 = b1 * v - a1 * out + z2, b2 * v - a2 * out
-            y[t] = out
-    return y.T
+    """All sections from zero state; zerophase runs forward, then backward."""
+    y = np.array(x, float)
+    for coefficients in sos:
+        y, _ = section(y, coefficients)
+    return sos_filter(y[:, ::-1], sos)[:, ::-1] if zerophase else y
 
 
 def sos_zerophase_padded(x: np.ndarray, sos: np.ndarray, pad: int) -> np.ndarray:
@@ -30,18 +70,14 @@ def sos_zerophase_padded(x: np.ndarray, sos: np.ndarray, pad: int) -> np.ndarray
     y = np.concatenate([left, x, right], axis=1)
 
     def once(v):
-        out, scale = v.T.copy(), v[:, 0].copy()
-        for b0, b1, b2, _, a1, a2 in sos:
+        scale = v[:, 0].copy()
+        for coefficients in sos:
+            b0, b1, b2, _, a1, a2 = coefficients
             gain = (b0 + b1 + b2) / (1 + a1 + a2)
             z2 = (b2 - a2 * gain) * scale
-            z1 = (b1 - a1 * gain) * scale + z2
-            for t in range(len(out)):
-                u = out[t]
-                w = b0 * u + z1
-                z1, z2 = b1 * u - a1 * w + z2, b2 * u - a2 * w
-                out[t] = w
+            v, _ = section(v, coefficients, np.stack([(b1 - a1 * gain) * scale + z2, z2], axis=1))
             scale = scale * gain
-        return out.T
+        return v
 
     y = once(once(y)[:, ::-1])[:, ::-1]
     return y[:, pad : pad + n]
@@ -67,6 +103,16 @@ def polynomial_residual(x: np.ndarray, order: int) -> np.ndarray:
     return x - (x @ q) @ q.T
 
 
+def cumulative_trapezoids(x: np.ndarray, step: float, axis: int) -> np.ndarray:
+    """Running integral by trapezoids along an axis, from 0."""
+    after, before = np.take(x, range(1, x.shape[axis]), axis), np.take(x, range(x.shape[axis] - 1), axis)
+    out = np.zeros_like(x)
+    inner = [slice(None)] * x.ndim
+    inner[axis] = slice(1, None)
+    out[tuple(inner)] = np.cumsum((after + before) * (step / 2), axis)
+    return out
+
+
 def preprocess(x: np.ndarray, order: int = 1) -> np.ndarray:
     """Detrend, demean, 10 % Tukey window."""
     y = polynomial_residual(x, order)

@@ -16,28 +16,26 @@ def std(record: Record) -> DataFrame:
     return record.traces.select("record_id", "channel", F.sqrt(mean_of(squares, n)).alias("std"))
 
 
-def segment_bounds(n: int, parts: int) -> list[tuple[int, int]]:
-    """Start and length of `parts` nearly equal parts of n, the longer ones first."""
-    base, longer = divmod(n, parts)
-    sizes = [base + (i < longer) for i in range(parts)]
-    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
-
-
 def rmsa(record: Record, window: float | None = None) -> DataFrame:
-    """channel, segment, time_idx (the sample in its middle), rms, over int(length / window) nearly equal segments.
+    """channel, segment, time_idx (the sample in its middle), rms, over int(length / window) nearly equal segments, the
+    longer ones first.
 
-    Each segment is a slice of the channel's array, so nothing is shuffled. A window longer than the record is an error."""
+    A segment's place follows from its number, so the plan is as large for any record; each is a slice of the channel's
+    array, and only the results are exploded. A window longer than the record is an error."""
     meta = record.meta
     parts = 1 if window is None else int(meta.time_length / window)
     if parts < 1:
         raise ValueError("the window is longer than the record")
-    bounds = segment_bounds(meta.n, parts)
-    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("segment"), F.lit(s).alias("start"), F.lit(k).alias("size")) for i, (s, k) in enumerate(bounds)])
-    rows = record.traces.select("record_id", "channel", "samples", F.explode(cells).alias("c"))
-    part = F.slice("samples", F.col("c.start") + 1, F.col("c.size"))
-    power = total(F.transform(part, lambda v: v * v)) / F.col("c.size").cast("double")
-    middle = (F.col("c.start") + F.floor(F.col("c.size") / 2)).cast("long")
-    return rows.select("record_id", "channel", F.col("c.segment").alias("segment"), middle.alias("time_idx"), F.sqrt(power).alias("rms"))
+    base, longer = divmod(meta.n, parts)
+
+    def cell(x: Column, i: Column) -> Column:
+        start, size = i * base + F.least(i, F.lit(longer)), F.lit(base) + (i < longer).cast("int")
+        power = F.try_divide(total(F.transform(F.slice(x, start + 1, size), lambda v: v * v)), size.cast("double"))
+        middle = (start + F.floor(size / 2)).cast("long")
+        return F.struct(i.cast("long").alias("segment"), middle.alias("time_idx"), F.sqrt(power).alias("rms"))
+
+    cells = let(F.col("samples"), lambda x: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: cell(x, i)))
+    return record.traces.select("record_id", "channel", F.inline(cells))
 
 
 def _range(array: Column) -> Column:
@@ -52,16 +50,19 @@ def peak_to_peak(record: Record) -> DataFrame:
     step = int(fs / 4)
     if step < 1:
         raise ValueError("peak to peak needs a sampling frequency of at least 4 Hz")
-    x = F.col("samples")
-    apart = F.abs(F.array_position(x, F.array_max(x)) - F.array_position(x, F.array_min(x)))
-    starts = range(0, max(n - step, 0), step)
-    full = [s for s in starts if s + step < n]
-    if full:
-        windows = F.transform(F.array(*map(F.lit, full)), lambda s: _range(F.slice(x, s + 1, F.lit(step))))
-        narrow = F.greatest(F.array_max(windows), F.lit(0.0))
-    else:
-        narrow = F.lit(0.0)
-    return record.traces.select("record_id", "channel", F.when(apart > fs / 2, narrow).otherwise(_range(x)).alias("pp"))
+    windows = max(0, -(-(n - step) // step))
+
+    def narrow(x: Column) -> Column:
+        if not windows:
+            return F.lit(0.0)
+        each = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: _range(F.slice(x, i * step + 1, F.lit(step))))
+        return F.greatest(F.array_max(each), F.lit(0.0))
+
+    def either(x: Column) -> Column:
+        apart = F.abs(F.array_position(x, F.array_max(x)) - F.array_position(x, F.array_min(x)))
+        return F.when(apart > fs / 2, narrow(x)).otherwise(_range(x))
+
+    return record.traces.select("record_id", "channel", let(F.col("samples"), either).alias("pp"))
 
 
 def colour_limit(record: Record) -> DataFrame:

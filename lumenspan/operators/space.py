@@ -1,14 +1,17 @@
-"""Operators across channels. Those that need other channels' samples work on the sample layout, dealt by record and
-sample number: one shuffle, many small groups, no group larger than the number of channels."""
+"""Operators across channels. Those that need other channels' samples meet in blocks of time: each trace is cut into
+arrays, dealt by record and block, and put together again; no group is larger than a block of all channels."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lumenspan.model import Record, from_samples
+from lumenspan.functions.kernels import cumulative_trapezoids
+from lumenspan.model import Record
 from lumenspan.operators.timeaxis import let, tukey_weight
 
 
@@ -77,21 +80,49 @@ def difference(record: Record, step: int, length: float, **changes) -> Record:
     return Record(paired.select("record_id", "channel_pos", "channel", out.alias("samples")), replace(record.meta, **changes))
 
 
-def _across(record: Record):
-    return record.samples(), Window.partitionBy("record_id", "sample_idx")
+#: About how many values a block of all channels has.
+BLOCK_VALUES = 1_000_000
+BLOCKED = "record_id string, block int, channel_pos int, channel double, part array<double>"
+
+
+def across(record: Record, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], unit: int = 1, **changes) -> Record:
+    """Apply a NumPy function of a (channels, samples) matrix and its channel positions to every block of time, the
+    channels in order of position. Samples that belong together come in groups of `unit`. Two shuffles of arrays."""
+    channels = max(1, record.traces.count())
+    size = unit * max(1, BLOCK_VALUES // (channels * unit))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / size).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * size + 1, F.lit(size)))
+    parts = record.traces.where(F.col("samples").isNotNull()).select("record_id", "channel_pos", "channel", F.posexplode(let(F.col("samples"), cut)).alias("block", "part"))
+
+    def compute(table: pa.Table) -> pa.Table:
+        table = table.sort_by("channel_pos").combine_chunks()
+        column = table.column("part").combine_chunks()
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        out = np.ascontiguousarray(kernel(flat.reshape(len(column), -1), table.column("channel_pos").to_numpy()))
+        offsets = pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32())
+        kept = [table.column(c) for c in ("record_id", "block", "channel_pos", "channel")]
+        return pa.table([*kept, pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], names=["record_id", "block", "channel_pos", "channel", "part"])
+
+    done = parts.select("record_id", "block", "channel_pos", "channel", "part").groupBy("record_id", "block").applyInArrow(compute, BLOCKED)
+    gathered = done.groupBy("record_id", "channel_pos", "channel").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("b"))
+    traces = gathered.select("record_id", "channel_pos", "channel", F.flatten(F.transform("b", lambda b: b["part"])).alias("samples"))
+    return Record(traces, replace(record.meta, **changes))
+
+
+def line_residual(m: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """m less its least-squares line over the positions, at each sample."""
+    t = positions - positions.mean()
+    slope = (t @ m) / (t @ t) if len(t) > 1 else np.zeros(m.shape[1])
+    return m - m.mean(axis=0) - np.outer(t, slope)
 
 
 def demean_channels(record: Record) -> Record:
     """Less the mean over channels at each sample."""
-    long, at = _across(record)
-    return from_samples(long.withColumn("value", F.col("value") - F.avg("value").over(at)), record.meta)
+    return across(record, lambda m, _: m - m.mean(axis=0))
 
 
 def detrend_channels(record: Record) -> Record:
     """Less the least-squares line over channel positions at each sample."""
-    long, at = _across(record)
-    line = F.regr_intercept("value", "channel_pos").over(at) + F.regr_slope("value", "channel_pos").over(at) * F.col("channel_pos")
-    return from_samples(long.withColumn("value", F.col("value") - line), record.meta)
+    return across(record, line_residual)
 
 
 def taper_channels(record: Record, channels: int, frac: float = 0.05) -> Record:
@@ -101,20 +132,16 @@ def taper_channels(record: Record, channels: int, frac: float = 0.05) -> Record:
 
 
 def differentiate_channels(record: Record) -> Record:
-    """Central differences over channel positions, one-sided at the ends, per metre of spacing."""
-    long, _ = _across(record)
-    order = Window.partitionBy("record_id", "sample_idx").orderBy("channel_pos")
-    before, after = F.lag("value").over(order), F.lead("value").over(order)
-    steps = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
-    slope = (F.coalesce(after, "value") - F.coalesce(before, "value")) / (steps * F.lit(record.meta.spatial_interval))
-    return from_samples(long.withColumn("value", slope), replace(record.meta, units="Strain rate"))
+    """Central differences over channel positions, one-sided at the ends, per metre of spacing; 0 for a single channel."""
+    dx = record.meta.spatial_interval
+
+    def slopes(m: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.gradient(m, dx, axis=0) if len(m) > 1 else np.zeros_like(m)
+
+    return across(record, slopes, units="Strain rate")
 
 
 def integrate_channels(record: Record, channels: int, tapered: bool = True) -> Record:
     """Cumulative trapezoids over channel positions from 0, then a linear detrend over them."""
-    source = taper_channels(record, channels) if tapered else record
-    order = Window.partitionBy("record_id", "sample_idx").orderBy("channel_pos")
-    half = F.lit(record.meta.spatial_interval / 2)
-    steps = source.samples().withColumn("step", F.coalesce((F.col("value") + F.lag("value").over(order)) * half, F.lit(0.0)))
-    summed = steps.withColumn("value", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
-    return detrend_channels(from_samples(summed, replace(record.meta, units="Strain")))
+    source, dx = taper_channels(record, channels) if tapered else record, record.meta.spatial_interval
+    return across(source, lambda m, positions: line_residual(cumulative_trapezoids(m, dx, 0), positions), units="Strain")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions import kernels
-from lumenspan.model import Record, from_samples
+from lumenspan.model import Record
+from lumenspan.operators.space import across
 
 
 def _rows(record: Record, frequency_step: float, name: str, norm: bool) -> DataFrame:
@@ -92,26 +93,19 @@ def envelope_ref(record: Record) -> Record:
 def fk_spectrum(record: Record, channels: int) -> DataFrame:
     """k_idx, freq_idx (both centred: shifted FFT order), k (per metre), freq, magnitude of the 2-D transform.
 
-    Separable: an FFT along time per channel, then one along channels per frequency; only the second needs a shuffle,
-    dealt by frequency, and no group is larger than the number of channels."""
+    Separable: an FFT along time per channel, then one along channels in blocks of frequencies."""
     n, fs, dx = record.meta.n, record.meta.fs, record.meta.spatial_interval
-    spectra = record.map_traces(lambda m: np.concatenate([(f := np.fft.fft(np.fft.ifftshift(m, axes=1), axis=1)).real, f.imag], axis=1)).traces
-    pairs = F.arrays_zip(F.slice("samples", 1, n).alias("re"), F.slice("samples", n + 1, n).alias("im"))
-    long = spectra.select("record_id", "channel_pos", F.posexplode(pairs).alias("f", "z"))
-    column = F.array_sort(F.collect_list(F.struct("channel_pos", F.col("z.re").alias("re"), F.col("z.im").alias("im"))))
-    by_frequency = long.groupBy("record_id", "f").agg(column.alias("z"))
-    packed = by_frequency.select(
-        "record_id", F.col("f").cast("int").alias("channel_pos"), F.col("f").cast("double").alias("channel"),
-        F.concat(F.transform("z", lambda z: z["re"]), F.transform("z", lambda z: z["im"])).alias("samples"),
-    )
 
-    def across(m):
-        z = m[:, : m.shape[1] // 2] + 1j * m[:, m.shape[1] // 2 :]
-        return np.abs(np.fft.fft(np.fft.ifftshift(z, axes=1), axis=1))
+    def along_time(m):
+        f = np.fft.fft(np.fft.ifftshift(m, axes=1), axis=1)
+        return np.stack([f.real, f.imag], axis=2).reshape(len(m), -1)
+
+    def along_channels(m, _):
+        return np.abs(np.fft.fft(np.fft.ifftshift(m[:, ::2] + 1j * m[:, 1::2], axes=0), axis=0))
 
-    rows = Record(packed, record.meta).map_traces(across).traces.select("record_id", "channel_pos", F.posexplode("samples").alias("k", "magnitude"))
+    rows = across(record.map_traces(along_time), along_channels, unit=2).traces.select("record_id", "channel_pos", F.posexplode("samples").alias("f", "magnitude"))
     centred = lambda c, size: (c + size // 2) % size
-    k, f = centred(F.col("k"), channels), centred(F.col("channel_pos"), n)
+    k, f = centred(F.col("channel_pos"), channels), centred(F.col("f"), n)
     return rows.select(
         "record_id", k.cast("long").alias("k_idx"), f.cast("long").alias("freq_idx"),
         ((k - channels // 2) / F.lit(channels * dx)).alias("k"), ((f - n // 2) * F.lit(fs / n)).alias("freq"), "magnitude",
@@ -119,21 +113,10 @@ def fk_spectrum(record: Record, channels: int) -> DataFrame:
 
 
 def fk_filter(record: Record, channels: int, freq_band: tuple[float, float], k_band: tuple[float, float]) -> Record:
-    """Keep |frequency| and |wavenumber| within the bands: the 2-D transform, masked, and its inverse."""
+    """Keep |frequency| and |wavenumber| within the bands: masked transforms along time, then along channels, each with
+    its inverse at once."""
     n, fs, dx = record.meta.n, record.meta.fs, record.meta.spatial_interval
     keep_f = (np.abs(np.fft.fftfreq(n, 1 / fs)) >= freq_band[0]) & (np.abs(np.fft.fftfreq(n, 1 / fs)) <= freq_band[1])
     keep_k = (np.abs(np.fft.fftfreq(channels, dx)) >= k_band[0]) & (np.abs(np.fft.fftfreq(channels, dx)) <= k_band[1])
     timewise = record.map_traces(lambda m: np.fft.ifft(np.fft.fft(m, axis=1) * keep_f, axis=1).real)
-    long = timewise.samples()
-    turned = long.groupBy("record_id", "sample_idx").agg(F.array_sort(F.collect_list(F.struct("channel_pos", "channel", "value"))).alias("z"))
-    labels = F.transform("z", lambda z: z["channel"])
-    held = turned.select("record_id", F.col("sample_idx").cast("int").alias("channel_pos"), F.col("sample_idx").cast("double").alias("channel"), F.concat(F.transform("z", lambda z: z["value"]), labels).alias("samples"))
-
-    def across(m):
-        half = m.shape[1] // 2
-        return np.concatenate([np.fft.ifft(np.fft.fft(m[:, :half], axis=1) * keep_k, axis=1).real, m[:, half:]], axis=1)
-
-    rows = Record(held, record.meta).map_traces(across).traces
-    pairs = F.arrays_zip(F.slice("samples", 1, channels).alias("v"), F.slice("samples", channels + 1, channels).alias("c"))
-    back = rows.select("record_id", F.col("channel_pos").cast("long").alias("sample_idx"), F.posexplode(pairs).alias("p", "z"))
-    return from_samples(back.select("record_id", F.col("p").alias("channel_pos"), F.col("z.c").alias("channel"), "sample_idx", F.col("z.v").alias("value")), record.meta)
+    return across(timewise, lambda m, _: np.fft.ifft(np.fft.fft(m, axis=0) * keep_k[:, None], axis=0).real)

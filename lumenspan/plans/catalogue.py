@@ -218,9 +218,14 @@ def das_taper(spark, sf_dir):
     return long(timeaxis.taper(embeddings(spark, sf_dir)))
 
 
-@query("das_taper_channels", f"WITH {E}, e AS (SELECT * FROM x WHERE ch < 100) " + out(f"x * {tukey_sql('ch', 100, 0.1)}", "e"))
+#: The number of channels of E, as SQL.
+WIDTH = "(SELECT count(*) FROM embeddings)"
+
+
+@query("das_taper_channels", f"WITH {E} " + out(f"x * {tukey_sql('ch', WIDTH, 0.1)}"))
 def das_taper_channels(spark, sf_dir):
-    return long(space.taper_channels(embeddings(spark, sf_dir, 100), 100))
+    record = embeddings(spark, sf_dir)
+    return long(space.taper_channels(record, record.traces.count()))
 
 
 DETAPER = f"CASE WHEN {tukey_sql('i', 64, 0.1)} = 0 THEN CASE WHEN x > 0 THEN 1e300 WHEN x < 0 THEN -1e300 ELSE 0 END ELSE round(x / {tukey_sql('i', 64, 0.1)}, 6) + 0.0 END"
@@ -253,13 +258,14 @@ def das_differentiate_channels(spark, sf_dir):
     return long(space.differentiate_channels(embeddings(spark, sf_dir)))
 
 
-INTEGRAL_CHANNELS = f"""WITH {E}, e AS (SELECT i AS ch, ch AS i, x FROM x WHERE ch < 100), {integral_sql('e', 'y', 100, '1.0::DOUBLE')}
+INTEGRAL_CHANNELS = f"""WITH {E}, e AS (SELECT i AS ch, ch AS i, x FROM x), {integral_sql('e', 'y', WIDTH, '1.0::DOUBLE')}
 SELECT i::DOUBLE AS channel, ch AS sample_idx, round(x, 6) + 0.0 AS value FROM y"""
 
 
 @query("das_integrate_channels", INTEGRAL_CHANNELS)
 def das_integrate_channels(spark, sf_dir):
-    return long(space.integrate_channels(embeddings(spark, sf_dir, 100), 100))
+    record = embeddings(spark, sf_dir)
+    return long(space.integrate_channels(record, record.traces.count()))
 
 
 @query("das_preprocess", f"WITH {PRE} " + out(t="p3"))
@@ -362,9 +368,38 @@ def das_lowpass_fir(spark, sf_dir):
     return long(filters.lowpass_fir(embeddings(spark, sf_dir), 10.0, 64))
 
 
-@query("das_decimate_cheby1")
+def padded_pass_sql(sos: np.ndarray, source: str, name: str, last: int, reverse: bool = False) -> str:
+    """Recursive CTEs, one a section, over source(ch, i, x) of last + 1 samples, each from the steady state of its first."""
+    parts = [f"{name}s AS MATERIALIZED (SELECT ch, {f'{last} - i' if reverse else 'i'} AS i, x FROM {source})"]
+    before, scale = f"{name}s", f"(SELECT x FROM {name}s s WHERE s.ch = n.ch AND s.i = 0)"
+    for k, row in enumerate(sos):
+        b0, b1, b2, _, a1, a2 = map(float, row)
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = b2 - a2 * gain
+        z1 = b1 - a1 * gain + z2
+        c = lambda v: f"({v!r}::DOUBLE)"
+        y0 = f"({c(b0)} * n.x + {c(z1)} * {scale})"
+        y = f"({c(b0)} * n.x + p.z1)"
+        parts.append(f"""{name}{k} AS MATERIALIZED (SELECT n.ch, 0::BIGINT AS i, {y0} AS x, {c(b1)} * n.x - {c(a1)} * {y0} + {c(z2)} * {scale} AS z1, {c(b2)} * n.x - {c(a2)} * {y0} AS z2 FROM {before} n WHERE n.i = 0
+ UNION ALL SELECT p.ch, n.i, {y}, {c(b1)} * n.x - {c(a1)} * {y} + p.z2, {c(b2)} * n.x - {c(a2)} * {y} FROM {name}{k} p JOIN {before} n ON n.ch = p.ch AND n.i = p.i + 1)""")
+        before, scale = f"{name}{k}", f"({c(gain)} * {scale})"
+    parts.append(f"{name} AS MATERIALIZED (SELECT ch, {f'{last} - i' if reverse else 'i'} AS i, x FROM {before})")
+    return ", ".join(parts)
+
+
+_CHEBY1 = design.iir_sos("cheby1", 8, 0.8 / 4, "lowpass", 0.05)
+#: V with an odd extension of 27 samples at both ends, forward, backward, every fourth sample.
+CHEBY1 = f"""WITH RECURSIVE {V}, e AS MATERIALIZED (SELECT ch, i + 27 AS i, x FROM x
+ UNION ALL SELECT x.ch, 27 - x.i, 2 * f.x - x.x FROM x JOIN x f ON f.ch = x.ch AND f.i = 0 WHERE x.i BETWEEN 1 AND 27
+ UNION ALL SELECT x.ch, 27 + 719 + (719 - x.i), 2 * f.x - x.x FROM x JOIN x f ON f.ch = x.ch AND f.i = 719 WHERE x.i BETWEEN 692 AND 718),
+{padded_pass_sql(_CHEBY1, 'e', 'f', 773)}, {padded_pass_sql(_CHEBY1, 'f', 'g', 773, True)}
+SELECT ch::DOUBLE AS channel, ((i - 27) // 4)::BIGINT AS sample_idx, round(x, 4) + 0.0 AS value FROM g WHERE i BETWEEN 27 AND 746 AND (i - 27) % 4 = 0"""
+
+
+@query("das_decimate_cheby1", CHEBY1)
 def das_decimate_cheby1(spark, sf_dir):
-    return long(filters.decimate(events(spark, sf_dir), 0.25, None))
+    rows = filters.decimate(events(spark, sf_dir), 0.25, None).samples()
+    return rows.select("channel", "sample_idx", (F.round("value", 4) + 0.0).alias("value"))
 
 
 # --- concatenation -----------------------------------------------------------------------------------------------
@@ -480,17 +515,31 @@ def das_envelope_ref(spark, sf_dir):
     return long(spectral.envelope_ref(embeddings(spark, sf_dir)))
 
 
-FK = f"""WITH {E}, e AS (SELECT (ch + 8) % 16 AS ch, (i + 32) % 64 AS i, x FROM x WHERE ch < 16), {dft_sql('e', 64, 64)},
-z AS (SELECT k AS f, m AS k, sum(re * cos(2 * pi() * ((m * ch) % 16) / 16) + im * sin(2 * pi() * ((m * ch) % 16) / 16)) AS re, sum(im * cos(2 * pi() * ((m * ch) % 16) / 16) - re * sin(2 * pi() * ((m * ch) % 16) / 16)) AS im FROM dft, (SELECT unnest(range(16))::BIGINT AS m) GROUP BY ALL)
-SELECT (k + 8) % 16 AS k_idx, (f + 32) % 64 AS freq_idx, ((k + 8) % 16 - 8) / 16.0::DOUBLE AS k, ((f + 32) % 64 - 32)::DOUBLE AS freq, round(sqrt(re * re + im * im), 6) + 0.0 AS magnitude FROM z"""
+FK = f"""WITH {E}, c AS (SELECT count(*)::BIGINT AS n FROM embeddings), e AS (SELECT (ch + (n + 1) // 2) % n AS ch, (i + 32) % 64 AS i, x FROM x, c), {dft_sql('e', 64, 64)},
+a AS (SELECT d, cos(2 * pi() * d / n) AS c, sin(2 * pi() * d / n) AS s FROM (SELECT n, unnest(range(n))::BIGINT AS d FROM c)),
+z AS (SELECT k AS f, m AS k, sum(re * c + im * s) AS re, sum(im * c - re * s) AS im FROM dft, (SELECT n, unnest(range(n))::BIGINT AS m FROM c) JOIN a ON d = (m * ch) % n GROUP BY ALL)
+SELECT (k + n // 2) % n AS k_idx, (f + 32) % 64 AS freq_idx, ((k + n // 2) % n - n // 2) / n::DOUBLE AS k, ((f + 32) % 64 - 32)::DOUBLE AS freq, round(sqrt(re * re + im * im), 4) + 0.0 AS magnitude FROM z, c"""
 
 
 @query("das_fk_spectrum", FK)
 def das_fk_spectrum(spark, sf_dir):
-    return spectral.fk_spectrum(embeddings(spark, sf_dir, 16), 16).drop("record_id").withColumn("magnitude", r6("magnitude"))
+    record = embeddings(spark, sf_dir)
+    rows = spectral.fk_spectrum(record, record.traces.count()).drop("record_id")
+    return rows.withColumn("magnitude", F.round("magnitude", 4) + 0.0)
+
+
+def kept_sql(name: str, n: str, low: float, high: float, fs: float) -> str:
+    """Relation (d, w): the real kernel of a transform of length n that keeps |frequency| from low to high."""
+    return f"""{name} AS (SELECT d, sum(cos(2 * pi() * ((k * d) % n) / n)) / any_value(n) AS w FROM (SELECT n, d, unnest(range(n))::BIGINT AS k FROM (SELECT n, unnest(range(n))::BIGINT AS d FROM (SELECT {n}::BIGINT AS n)))
+ WHERE least(k, n - k) * {fs}::DOUBLE / n BETWEEN {low} AND {high} GROUP BY d)"""
+
+
+FK_FILTER = f"""WITH {E}, c AS (SELECT count(*)::BIGINT AS n FROM embeddings), {kept_sql('ft', '64', 5.0, 20.0, 64.0)}, {kept_sql('fk', WIDTH, 0.0, 0.25, 1.0)},
+y AS (SELECT ch, o AS i, sum(w * x) AS x FROM x, (SELECT unnest(range(64))::BIGINT AS o) JOIN ft ON d = (o - i + 64) % 64 GROUP BY ch, o),
+z AS (SELECT o AS ch, i, sum(w * x) AS x FROM y, (SELECT n, unnest(range(n))::BIGINT AS o FROM c) JOIN fk ON d = (o - ch + n) % n GROUP BY o, i) """
 
 
-@query("das_fk_filter")
+@query("das_fk_filter", FK_FILTER + out(t="z"))
 def das_fk_filter(spark, sf_dir):
     record = embeddings(spark, sf_dir)
     return long(spectral.fk_filter(record, record.traces.count(), (5.0, 20.0), (0.0, 0.25)))
