@@ -1,43 +1,80 @@
-"""Near-duplicate components without pairs within groups: families of candidates, exact verification, union-find.
-
-Items that share a band key are a bucket; items tied through buckets are a family. In a large family every item is first
-compared with a few pivots, a test each, which joins whatever is alike to them. What is then left over is compared with
-the whole family in blocks of bounded size, small families as they are. A block computes exact similarities from the
-texts and lets only links out that join components. So no candidate pair across components is left untested, and no
-row is made for a pair.
+"""Near-duplicate components without pairs within groups: buckets of candidates, exact verification, union-find.
+
+Items that share a band key are a bucket; items tied through buckets are a family. A small family is compared as it is.
+In a large one every item is first compared with a few pivots, a test each, which joins whatever is alike to them. Then
+only buckets whose items are still in different components are compared, each on its own: an item goes to no more groups
+than it has bands, however large the family. A bucket too large for one task is dealt out by the prefix filter: two
+sets of at least the threshold share one of their first few elements in any common order, here that of a hash with
+the elements of one item of the bucket last, so what a template repeats deals out nothing. Only what even shares those
+is compared block by block. A task computes exact similarities from the texts and lets only links out that join
+components. So no candidate pair across components is left untested, and no row is made for a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, small, texts_of
+from lumenspan.llm.sparkkit import BROADCAST_BYTES, cut, small, texts_of
+from lumenspan.llm.textkit import MIX, mix64
 
-BROADCAST_ROWS = 1_000_000
 #: Most items, and about the most set elements, in a block.
 BLOCK_ROWS, BLOCK_ELEMENTS = 512, 300_000
 #: Pairs in a block from which on all overlaps at once are cheaper than one by one.
 MANY = 2000
+#: Rows of band keys that a task gathers before it combines them.
+COMBINED = 400_000
+BANDED = "id long, key long, tie long, at long"
 Sets = Callable[[list[str]], list[np.ndarray]]
 
 
+class Combiner:
+    """Pre-aggregates band keys (id, key) in a task: of those gathered, one id a key goes on as (id, key, null, key), the
+    others as ties to it, (id, key, that id, a hash of id), so that a key that many items have is no large group."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Equally long arrays; yields what is due."""
+        self.ids.append(ids)
+        self.keys.append(keys)
+        self.rows += len(ids)
+        if self.rows >= COMBINED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            ids, keys = np.concatenate(self.ids), np.concatenate(self.keys)
+            order = np.lexsort((ids, keys))
+            ids, keys = ids[order], keys[order]
+            fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
+            ids, keys = ids[fresh], keys[fresh]
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            low = ids[first][np.cumsum(first) - 1]
+            at = np.where(first, keys, mix64(ids.view(np.uint64) * MIX + np.uint64(1)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(low, mask=first), pa.array(at)], ["id", "key", "tie", "at"])
+        self.ids, self.keys, self.rows = [], [], 0
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the component's least node.
 
     Alternating large-star and small-star steps until the edge set stands still: a logarithmic number of rounds, each
     cut by a checkpoint. A node's neighbours are only reduced to their minimum, never gathered; the minima are broadcast
-    while twice the edges are within the bound, and shuffled beyond it."""
+    while they are within the bound, and shuffled beyond it, where Spark splits the join partition of a hub."""
     both = F.struct(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = cut(edges.where(F.col("u") != F.col("v")).select(both.alias("e")).select("e.*").distinct())
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
     last = now.agg(mark.alias("m")).first()["m"]
     while last["n"]:
-        side = F.broadcast if 2 * last["n"] <= BROADCAST_ROWS else (lambda df: df)
+        side = F.broadcast if 2 * 16 * last["n"] <= BROADCAST_BYTES else (lambda df: df.hint("merge"))
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
@@ -141,7 +178,7 @@ def pivot_links(large: DataFrame, sets_of: Sets, threshold: float, pivots: int)
     chosen = large.groupBy("family").agg(F.array_distinct(F.array(*drawn)).alias("ids")).select(F.explode("ids").alias("id"))
     texts = large.join(chosen, "id", "left_semi").groupBy("family", "id").agg(F.first("text").alias("text"))
     sides = cut(texts.groupBy("family").agg(F.collect_list(F.struct("id", "text")).alias("pivots")))
-    rows = large.join(small(sides, 2_000), "family").select("id", "text", "pivots")
+    rows = large.join(small(sides), "family").select("id", "text", "pivots")
 
     def compare(batches):
         known: dict[int, np.ndarray] = {}
@@ -164,74 +201,115 @@ def pivot_links(large: DataFrame, sets_of: Sets, threshold: float, pivots: int)
 
 
 def block_links(members: DataFrame, sets_of: Sets, threshold: float) -> DataFrame:
-    """Links (a, b) that join components of a family. members: id, family, text, root, settled, bin (null in a large family),
-    loose and fixed (its numbers of blocks of items that are not settled, and of settled ones).
-
-    Small families share bins. In a large one every two blocks meet in a group of their own, but for two settled ones,
-    so a group is as large in any family."""
-    own = F.when(F.col("settled"), F.col("loose") + F.pmod(F.xxhash64("id"), F.col("fixed"))).otherwise(F.pmod(F.xxhash64("id"), F.col("loose")))
-    last = F.when(F.col("settled"), F.col("loose")).otherwise(F.col("loose") + F.col("fixed")) - 1
-    others = F.when(F.col("bin").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
-    block = F.when(F.col("bin").isNotNull(), 0).otherwise(own).cast("long")
-    met = members.withColumn("block", block).where(F.col("bin").isNotNull() | (last >= 0)).withColumn("other", F.explode(others))
-    group = F.coalesce("bin", "family").alias("group")
-    pairs = met.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "family", "id", "root", "text")
+    """Links (a, b) that join components of a group. members: id, family (the group), text, root, bin, blocks.
+
+    Small groups share bins. In a group with blocks (bin null) every two blocks meet in a task of their own."""
+    none = F.col("bin").isNotNull()
+    own = F.when(none, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("long")
+    others = F.when(none, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = members.withColumn("block", own).withColumn("other", F.explode(others))
+    pairs = met.select(F.coalesce("bin", "family").alias("group"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "family", "id", "root", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        _, first = np.unique(table.column("id").to_numpy(), return_index=True)
-        table = table.take(pa.array(first))
         block, family, ids, roots = (table.column(c).to_numpy() for c in ("block", "family", "id", "root"))
-        sets, links = sets_of([t or "" for t in table.column("text").to_pylist()]), []
-        order = np.argsort(family, kind="stable")
+        distinct, which = np.unique(ids, return_inverse=True)
+        texts = table.column("text").take(pa.array(np.unique(which, return_index=True)[1])).to_pylist()
+        known, links = sets_of([t or "" for t in texts]), []
+        order = np.lexsort((which, family))
+        fresh = np.concatenate([[True], (family[order][1:] != family[order][:-1]) | (which[order][1:] != which[order][:-1])])
+        order = order[fresh]
         for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            left, right = part[block[part] == x], part[block[part] == y]
+            left, right = np.flatnonzero(block[part] == x), np.flatnonzero(block[part] == y)
             if len(left) and len(right):
-                links += group_links(ids, roots, sets, left, right, threshold)
+                links += group_links(ids[part], roots[part], [known[w] for w in which[part]], left, right, threshold)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return pairs.groupBy("group", "x", "y").applyInArrow(compare, "a long, b long")
 
 
+def mixed(members: DataFrame) -> DataFrame:
+    """members (id, root, size, key), of each key with items in different components, with n and m, its numbers of items
+    and of elements; of keys with the same items one stays."""
+    same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
+    keys = members.groupBy("key").agg(*same, F.sum("size").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    kept = keys.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("m").alias("m")).select("key", "n", "m")
+    return cut(members.join(small(cut(kept)), "key"))
+
+
+def too_large() -> Column:
+    return (F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ELEMENTS)
+
+
+def prefix_members(large: DataFrame, texts: DataFrame, sets_of: Sets, threshold: float) -> DataFrame:
+    """(id, root, size, key) of large buckets, a row for each element of the set's prefix; key from bucket and element.
+
+    The common order of a bucket: elements of its least item's set last, else by value, as these are hashes."""
+    pivots = large.groupBy("key").agg(F.min("id").alias("id"))
+    others = cut(pivots.join(texts, "id").groupBy("key").agg(F.first("text").alias("other")))
+    rows = large.join(texts, "id").join(small(others), "key").select("key", "id", "root", "size", "text", "other")
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for i, items in enumerate(sets_of(texts_of(batch))):
+                if keys[i] not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[keys[i]] = sets_of([batch.column("other")[i].as_py() or ""])[0]
+                order = np.lexsort((items, np.isin(items, known[keys[i]], assume_unique=True)))
+                first = items[order][: len(items) - int(np.ceil(threshold * len(items) - 1e-9)) + 1]
+                group = mix64(mix64(first.astype(np.uint64)) + keys[i].view(np.uint64)).view(np.int64)
+                same = [pa.array(np.full(len(first), batch.column(c)[i].as_py(), np.int64)) for c in ("id", "root", "size")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(group)], ["id", "root", "size", "key"])
+
+    return rows.mapInArrow(run, "id long, root long, size long, key long")
+
+
 def near_components(
     bands: DataFrame, locate: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], sets_of: Sets, threshold: float, pivots: int = 3
 ) -> DataFrame | None:
     """(id, root) of the items in components of two or more; None if no two items share a band.
 
-    bands: (id, key), repeats allowed. locate: ids -> one row an id with its size (set elements, roughly) and where it
-    is. fetch: rows of located ids, any columns more -> the same with text (an id may come again). sets_of: texts ->
-    sorted distinct 32-bit hashes of each text's set."""
-    by_key = Window.partitionBy("key")
-    ends = bands.select("id", "key", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"))
-    ties = cut(ends.where("low < high").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct())
+    bands: rows of a Combiner, repeats allowed. locate: ids -> one row an id with its size (set elements, roughly) and
+    where it is. fetch: rows of located ids, any columns more -> the same with text (an id may come again). sets_of:
+    texts -> sorted distinct 32-bit hashes of each text's set."""
+    together, own = Window.partitionBy("at"), F.when(F.col("tie").isNull(), F.col("id"))
+    ends = bands.select("id", "key", "tie", F.min(own).over(together).alias("low"), F.max(own).over(together).alias("high"))
+    ties = cut(ends.where("tie IS NOT NULL OR low < high").select("id", "key", F.coalesce("tie", "low").alias("low")))
     if ties.isEmpty():
         return None
-    families = cut(connected(ties).select(F.col("node").alias("id"), F.col("root").alias("family")))
-    placed = cut(locate(families.select("id")).join(small(families, BROADCAST_ROWS), "id"))
+    families = cut(connected(ties.select(F.col("id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("family")))
+    placed = cut(locate(families.select("id")).join(small(families), "id"))
     texts = cut(fetch(placed).select("id", "family", "size", "text"))
-    sizes = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
-    big = (F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ELEMENTS)
-    sizes = cut(sizes.withColumn("big", big))
-    n, m = sizes.where("NOT big").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    bins = int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1
-    sized = texts.join(small(sizes.select("family", "big"), BROADCAST_ROWS), "family")
-    bin_of = F.pmod(F.xxhash64("family"), F.lit(bins))
+    sizes = cut(placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m")).withColumn("big", too_large()))
     nothing = F.lit(None).cast("long")
-    members = sized.where("NOT big").drop("big").withColumns({"root": F.col("id"), "settled": F.lit(False), "bin": bin_of, "loose": nothing, "fixed": nothing})
+
+    def binned(groups: DataFrame, name: str) -> Column:
+        """Bins for groups (n, m) that are no larger than a block, so that each has about a block's work."""
+        n, m = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        return F.pmod(F.xxhash64(name), F.lit(int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1))
+
+    sized = texts.join(small(sizes.select("family", "big")), "family")
+    of_bin = binned(sizes.where("NOT big"), "family")
+    members = sized.where("NOT big").select("id", "family", "text", F.col("id").alias("root"), of_bin.alias("bin"), nothing.alias("blocks"))
     links = None
-    large = sized.where("big").drop("big")
     if not sizes.where("big").isEmpty():
+        large = cut(sized.where("big").select("id", "family", "size", "text").dropDuplicates(["id"]))
         links = cut(pivot_links(large, sets_of, threshold, pivots))
-        roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), BROADCAST_ROWS)
-        named = large.select("id", "family", "size").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left")
-        rooted = named.withColumn("root", F.coalesce("root", "id"))
-        groups = rooted.groupBy("family", "root").agg(F.count("*").alias("n"))
-        main = groups.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        rooted = cut(rooted.join(small(cut(main), BROADCAST_ROWS), "family").withColumn("settled", F.col("root") == F.col("main")).drop("main"))
-        count = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / BLOCK_ELEMENTS)).cast("long")
-        blocks = rooted.groupBy("family").agg(count(~F.col("settled")).alias("loose"), count(F.col("settled")).alias("fixed"))
-        rest = cut(rooted.join(small(cut(blocks), BROADCAST_ROWS), "family").where("loose > 0").withColumn("bin", nothing).drop("family", "size"))
-        members = members.unionByName(large.join(small(rest, BROADCAST_ROWS), "id").select(*members.columns))
+        roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+        rooted = cut(large.select("id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.col("size").cast("long").alias("size")))
+        ends = ties.select("id", "key").unionByName(ties.select(F.col("low").alias("id"), "key")).distinct()
+        buckets = mixed(ends.join(small(rooted), "id").select("id", "root", "size", "key"))
+        fits, rest = buckets.where(~too_large()), buckets.where(too_large())
+        if not rest.isEmpty():
+            dealt = mixed(prefix_members(rest, large.select("id", "text"), sets_of, threshold))
+            fits, rest = fits.unionByName(dealt.where(~too_large())), dealt.where(too_large())
+        bins = binned(fits.groupBy("key").agg(F.first("n").alias("n"), F.first("m").alias("m")), "key").alias("bin")
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("m") / BLOCK_ELEMENTS)).cast("long").alias("blocks")
+        groups = fits.select("id", F.col("key").alias("family"), "root", bins, nothing.alias("blocks")).unionByName(rest.select("id", F.col("key").alias("family"), "root", nothing.alias("bin"), blocks))
+        members = members.unionByName(groups.join(large.select("id", "text"), "id").select(*members.columns))
     found = block_links(members, sets_of, threshold)
     links = cut(found if links is None else links.unionByName(found))
     return cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.components import BROADCAST_ROWS, near_components
+from lumenspan.llm.components import BANDED, Combiner, near_components
 from lumenspan.llm.sparkkit import cut, slices, small, texts_of
-from lumenspan.llm.textkit import MIX, mix64, shingle_sets
+from lumenspan.llm.textkit import MIX, mix64, shingle_bags, shingle_sets
 
 BANDS, ROWS = 32, 5
 #: A working column beside those of the caller.
@@ -89,28 +89,37 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+def occurrences(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sorted hashes of (element, k) for k up to the element's count: their plain Jaccard similarity is the weighted one
+    of the counts."""
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(mix64(np.repeat(items, counts) + k.astype(np.uint64) * MIX))
+
+
 def set_id(items: np.ndarray) -> int:
     """A 64-bit id of a set of hashes; equal sets, equal ids."""
     with np.errstate(over="ignore"):
         return int(mix64(np.array([mix64(items).sum(dtype=np.uint64) + np.uint64(len(items))]))[0].view(np.int64))
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: its key, the id of its shingle set, and the set's band keys (null where the task has given them before
-    or the text has no words)."""
+def signed(docs: DataFrame, width: int, counted: bool = False) -> DataFrame:
+    """Per row: its key, the id of its (weighted) shingle set, and the set's band keys (null where the task has given them
+    before or the text has no words)."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 500_000):
-                sets = shingle_sets(texts_of(part), width)
-                ids, fresh = [set_id(s) for s in sets], []
+                bags = shingle_bags(texts_of(part), width) if counted else [(s, None) for s in shingle_sets(texts_of(part), width)]
+                sets = [s for s, _ in bags]
+                ids, fresh = [set_id(s if w is None else occurrences(s, w)) for s, w in bags], []
                 for i, (own, items) in enumerate(zip(ids, sets)):
                     if own not in seen and len(items):
                         fresh.append(i)
                         if len(seen) < 100_000:
                             seen.add(own)
-                keys = band_keys(signatures([sets[i] for i in fresh])) if fresh else []
+                weights = [bags[i][1].astype(float) for i in fresh] if counted else None
+                keys = band_keys(signatures([sets[i] for i in fresh], weights)) if fresh else []
                 bands: list = [None] * len(sets)
                 for i, row in zip(fresh, keys):
                     bands[i] = row
@@ -127,36 +136,53 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
 
 
-def short_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """Sorted distinct 32-bit shingle hashes."""
-    return [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in shingle_sets(texts, width)]
+def short_sets(texts: list[str], width: int, counted: bool = False) -> list[np.ndarray]:
+    """Sorted distinct 32-bit hashes of shingles, or of their occurrences."""
+    sets = [occurrences(*b) for b in shingle_bags(texts, width)] if counted else shingle_sets(texts, width)
+    return [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+
+
+def combined_bands(rows: DataFrame) -> DataFrame:
+    """Band keys of signed rows, combined in each task."""
+
+    def run(batches):
+        combiner = Combiner()
+        for batch in batches:
+            bands = batch.column("bands")
+            ids = np.repeat(batch.column("id").to_numpy(), np.diff(bands.offsets.to_numpy()))
+            yield from combiner.add(ids, bands.flatten().to_numpy())
+        yield from combiner.flush()
+
+    return rows.where(F.col("bands").isNotNull()).select("id", "bands").mapInArrow(run, BANDED)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, counted: bool = False) -> DataFrame:
     """doc_id, class_id, class_size, kept for each row of docs (doc_id, text).
 
     Documents whose sets of `width`-word shingles (lower-cased words between white space) have a Jaccard similarity of
     at least threshold are linked; a class is a component of links, its class_id the least doc_id in it (null only if
     all are), and only the rows with that id are kept. A text of fewer words is one shingle; texts without words, null
-    ones included, are one class. Rows of equal doc_id and text are one document. Extra columns are ignored."""
-    rows = cut(signed(docs, width))
-    bands = rows.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("key"))
+    ones included, are one class. Rows of equal doc_id and text are one document. Extra columns are ignored; an empty
+    table gives no rows. With counted, a shingle weighs as often as it occurs and the similarity is the weighted one,
+    the sum of the lesser over that of the greater counts; without, every weight is 1."""
+    rows = cut(signed(docs, width, counted))
+    bands = combined_bands(rows)
 
     def locate(ids: DataFrame) -> DataFrame:
-        mine = rows.join(small(ids, BROADCAST_ROWS), "id", "left_semi")
+        mine = rows.join(small(ids), "id", "left_semi")
         return mine.groupBy("id").agg(F.min("key").alias("key"), F.max("size").alias("size"))
 
     def fetch(located: DataFrame) -> DataFrame:
-        return keyed(docs).drop("doc_id").join(small(located, BROADCAST_ROWS), "key")
+        return keyed(docs).drop("doc_id").join(small(located), "key")
 
-    roots = near_components(bands, locate, fetch, partial(short_sets, width=width), threshold)
+    roots = near_components(bands, locate, fetch, partial(short_sets, width=width, counted=counted), threshold)
     if roots is None:
         classed = rows.select("doc_id", "key", F.col("id").alias("class"))
     else:
-        classed = rows.select("doc_id", "key", "id").join(small(roots, BROADCAST_ROWS), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("class"))
+        classed = rows.select("doc_id", "key", "id").join(small(roots), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))).alias("first")
     groups = classed.groupBy("class").agg(first, F.count("*").alias("class_size")).where("class_size > 1")
-    groups = small(cut(groups), BROADCAST_ROWS)
+    groups = small(cut(groups))
     joined = classed.join(groups, "class", "left")
     return joined.select(
         "doc_id",
@@ -168,11 +194,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """docs, all columns, with one document of each class; of rows equal in doc_id and text the first one stays."""
+    """docs, all columns, with one document of each class; of rows equal in doc_id and text one stays. Null and empty
+    texts are one class like any other; an empty table stays empty."""
     gone = cut(near_duplicates(docs, threshold, width).select("key", "kept", "class_size"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     dropped = gone.where("NOT kept").select(F.col("key").alias(KEY)).distinct()
-    left = docs.withColumn(KEY, key).join(small(cut(dropped), BROADCAST_ROWS), KEY, "left_anti")
+    left = docs.withColumn(KEY, key).join(small(cut(dropped)), KEY, "left_anti")
     repeats = gone.where("kept AND class_size > 1").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
         left = left.dropDuplicates([KEY])

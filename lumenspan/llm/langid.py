@@ -84,60 +84,78 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 12, rate: float = 20.0, batch: int = 32, max_chars: int = 6000, accuracy: float = 0.98) -> Model:
-    """Fit on labelled texts; every fifth row calibrates instead. Texts are cut to max_chars for training only."""
-    languages = tuple(sorted(set(labels)))
-    if not languages:
-        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bags_of(texts: list[str]) -> list[Bag]:
+    """Each whole text's distinct buckets and their shares of its subwords: at most 2**BITS numbers, however long."""
+    bucket, counts = subwords(texts)
+    out = []
+    for mine in np.split(bucket, np.cumsum(counts)[:-1]):
+        found, times = np.unique(mine, return_counts=True)
+        out.append((found, (times / max(len(mine), 1)).astype(np.float32)))
+    return out
+
+
+def averages(table: np.ndarray, bags: list[Bag]) -> np.ndarray:
+    """The average of table over each bag's subwords."""
+    bucket, share = np.concatenate([b for b, _ in bags]), np.concatenate([s for _, s in bags])
+    return segment_sums(table[bucket] * share[:, None], np.array([len(b) for b, _ in bags]))
+
+
+def sgd(bags: list[Bag], target: np.ndarray, languages: int, dim: int = 12, epochs: int = 12, rate: float = 20.0, batch: int = 32):
+    """Embeddings, weights and biases of the averaged-embedding softmax, by stochastic gradient descent."""
     random = np.random.default_rng(7)
-    target = np.array([languages.index(x) for x in labels])
-    held = np.arange(len(texts)) % 5 == 4
     embed = random.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
-    weight, bias = random.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
-    rows = np.flatnonzero(~held)
-    bags = {}
-    for i in rows:
-        bucket, _ = subwords([texts[i][:max_chars]])
-        found, times = np.unique(bucket, return_counts=True)
-        bags[i] = found, (times / max(len(bucket), 1)).astype(np.float32)
-    rows = np.array([i for i in rows if len(bags[i][0])], dtype=int)
+    weight, bias = random.normal(0, 0.1, (dim, languages)), np.zeros(languages)
+    rows = np.array([i for i, (b, _) in enumerate(bags) if len(b)], dtype=int)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         random.shuffle(rows)
         for at in range(0, len(rows), batch):
             mine = rows[at : at + batch]
-            bucket = np.concatenate([bags[i][0] for i in mine])
-            share = np.concatenate([bags[i][1] for i in mine])
-            counts = np.array([len(bags[i][0]) for i in mine])
-            hidden = segment_sums(embed[bucket] * share[:, None], counts)
+            some = [bags[i] for i in mine]
+            hidden = averages(embed, some)
             error = softmax(hidden @ weight + bias)
             error[np.arange(len(mine)), target[mine]] -= 1
             error /= len(mine)
             back = (error @ weight.T).astype(np.float32)
             weight -= step * hidden.T @ error
             bias -= 0.1 * step * error.sum(axis=0)
-            np.subtract.at(embed, bucket, step * np.repeat(back, counts, axis=0) * share[:, None])
+            bucket, share = np.concatenate([b for b, _ in some]), np.concatenate([s for _, s in some])
+            np.subtract.at(embed, bucket, step * np.repeat(back, [len(b) for b, _ in some], axis=0) * share[:, None])
+    return embed, weight, bias
+
+
+def train(bags: list[Bag], labels: list[str], accuracy: float = 0.98, most: float = 0.02) -> Model:
+    """Fit on labelled bags; every fifth calibrates instead."""
+    languages = tuple(sorted(set(labels)))
+    if not languages:
+        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    target = np.array([languages.index(x) for x in labels])
+    held = np.arange(len(bags)) % 5 == 4
+    fitted = [b for b, h in zip(bags, held) if not h]
+    embed, weight, bias = sgd(fitted, target[~held], len(languages))
     model = Model(languages, (embed @ weight).astype(np.float32), bias)
-    return calibrated(model, [texts[i] for i in np.flatnonzero(held)], target[held], accuracy)
+    return calibrated(model, [b for b, h in zip(bags, held) if h], target[held], accuracy, most)
 
 
-def calibrated(model: Model, texts: list[str], target: np.ndarray, accuracy: float) -> Model:
+def calibrated(model: Model, bags: list[Bag], target: np.ndarray, accuracy: float, most: float) -> Model:
     """The temperature with the least held-out loss; the lowest confidence from which predictions are right as often
-    as `accuracy`, but never one that turns away over a fiftieth of the held-out rows."""
-    if not len(texts):
+    as `accuracy`, but never one that turns away over a share of `most` of the held-out rows."""
+    if not bags:
         return model
-    bucket, counts = subwords(texts)
-    z = segment_sums(model.logits[bucket], counts) / np.maximum(counts, 1)[:, None] + model.bias
+    z = averages(model.logits, bags) + model.bias
     row = np.arange(len(target))
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[row, target], 1e-12)).mean()
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     p = softmax(z / temperature)
     sure, right = p.max(axis=1), p.argmax(axis=1) == target
-    order = np.argsort(-sure)
+    order = np.argsort(-sure, kind="stable")
     kept = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     enough = np.flatnonzero(kept >= accuracy)
     threshold = sure[order][enough[-1]] if len(enough) else sure.max()
-    return Model(model.languages, model.logits, model.bias, float(temperature), float(min(threshold, np.quantile(sure, 0.02))))
+    return Model(model.languages, model.logits, model.bias, float(temperature), float(min(threshold, np.quantile(sure, most))))
 
 
 def fold(doc_id="doc_id"):
@@ -146,8 +164,11 @@ def fold(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, per_language: int = 400, train_on_all: bool = False) -> Model:
-    """Train on rows with text, lang and fold other than 0 (all with train_on_all). The sample is bounded: rows are
-    drawn by a hash of the id at a rate that gives about per_language rows a language (at most twice as many)."""
+    """Train on rows with text, lang and fold other than 0 (all with train_on_all).
+
+    The sample is bounded: rows are drawn by a hash of the id at a rate that gives about per_language rows a language,
+    and of those the first 2 * per_language * languages by a hash of id and text are taken, the same ones on any
+    cluster. Their whole texts count; only their bags of subwords, bounded however long a text is, go to the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if not train_on_all:
         rows = rows.where(fold() != 0)
@@ -157,13 +178,29 @@ def fit(docs: DataFrame, per_language: int = 400, train_on_all: bool = False) ->
     scale = 1 << 30
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * per_language // n))])
     drawn = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(scale)) < rates[F.col("lang").cast("string")])
-    sample = drawn.select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), F.substring("text", 1, 20_000).alias("text"))
-    held = sorted((r["h"], r["lang"], r["text"]) for r in sample.limit(2 * per_language * len(counts)).collect())
-    return train([t for _, _, t in held], [x for _, x, _ in held])
+    sample = drawn.select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                bags = bags_of(texts_of(part))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("h"), part.column("lang"), pa.array([b.astype("<u2").tobytes() for b, _ in bags], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s in bags], pa.binary())],
+                    ["h", "lang", "buckets", "shares"],
+                )
+
+    bagged = sample.mapInArrow(run, "h long, lang string, buckets binary, shares binary")
+    held = bagged.orderBy("h", "lang", "buckets").limit(2 * per_language * len(counts)).collect()
+    bags = [(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in held]
+    return train(bags, [r["lang"] for r in held])
+
 
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text), by its whole text.
 
-def identify(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
-    """Prediction for every whole text: 'und' with score 0, rejected, if it is null or has no letter."""
+    'und' with score 0, rejected, if the text is null or has no letter, or nothing was learned. held_out is false for a
+    null doc_id, which stays null. Repeated rows are predicted alike, a row each; extra columns are ignored; an empty
+    table gives no rows."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -9,12 +9,12 @@ above the thresholds are generalised or removed wherever they occur, also in tex
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import cut, small
+from lumenspan.llm.sparkkit import cut, let, running, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: Working columns beside those of the caller.
@@ -30,7 +30,9 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORDS_EACH_SIDE, CONTEXT_CHARS = 5, 120
+WORDS_EACH_SIDE = 5
+#: Noncharacters that stand for the spans of each kind while a text is worked on.
+MARKS, FILLER = {"email": "\ufdd0", "ip": "\ufdd1", "card": "\ufdd2", "phone": "\ufdd3"}, "\ufdd4"
 TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]+"
 
 
@@ -56,26 +58,29 @@ def accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def spans(text: Column, kind: str) -> Column:
-    """Array of (start, rank, end, value) of a kind; positions are code points, rank is the kind's place."""
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(state: Column, match: Column) -> Column:
-        start = state["at"] + match["gap"]
-        end = start + F.length(match["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), match["value"].alias("value")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    hits = F.filter(F.aggregate(pairs, begin, step)["out"], lambda s: accepted(kind, s["value"]))
-    # The cheap test spares most texts the patterns.
-    likely = F.contains(text, F.lit({"email": "@", "ip": ".", "card": "", "phone": "+"}[kind]))
+def likely(text: Column, kind: str) -> Column:
+    """A cheap test that spares most texts the pattern."""
     if kind in ("ip", "card"):
-        likely = F.regexp_like(text, F.lit(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][ -]?[0-9]"))
-    return F.when(likely, hits).otherwise(empty)
+        return F.regexp_like(text, F.lit(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][ -]?[0-9]"))
+    return F.contains(text, F.lit({"email": "@", "phone": "+"}[kind]))
+
+
+def matches(text: Column, kind: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1))
+
+
+def spans(text: Column, kind: str) -> Column:
+    """Array of (start, rank, end, value) of a kind; positions are code points, rank is the kind's place. Work is linear
+    in the text, however many matches it has."""
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, PATTERNS[kind], -1), F.length), F.lit(1), F.size(found))
+        steps = F.zip_with(gaps, found, lambda g, v: g + F.length(v))
+        rank = F.lit(KINDS.index(kind)).alias("rank")
+        row = lambda v, end: F.struct((end - F.length(v)).alias("start"), rank, end.alias("end"), v.alias("value"))
+        return F.filter(F.zip_with(found, running(steps), row), lambda s: accepted(kind, s["value"]))
+
+    return F.when(likely(text, kind), let(matches(text, kind), placed)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))
 
 
 def with_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,6 +92,26 @@ def with_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def masked(text: Column) -> Column:
+    """text with each base span replaced by its kind's mark and fillers, as long as before, so that no word of a span is
+    taken for a term. A span that another one overlaps may lose only the rest of it: the longer kinds go first."""
+
+    def blank(text: Column, kind: str) -> Column:
+        mark = lambda v: F.when(accepted(kind, v), F.concat(F.lit(MARKS[kind]), F.repeat(F.lit(FILLER), F.length(v) - 1))).otherwise(v)
+        pieces = lambda found: F.zip_with(F.split(text, PATTERNS[kind], -1), F.concat(F.transform(found, mark), F.array(F.lit(""))), F.concat)
+        return F.when(likely(text, kind), let(matches(text, kind), lambda found: F.array_join(pieces(found), ""))).otherwise(text)
+
+    for kind in ("email", "phone", "card", "ip"):
+        text = let(text, partial(blank, kind=kind))
+    return text
+
+
+def shown(text: Column) -> Column:
+    """A masked text with [EMAIL] and the like for the marks."""
+    plain = lambda t: reduce(lambda a, k: F.regexp_replace(a, f"{MARKS[k]}{FILLER}*", f"[{k.upper()}]"), KINDS, t)
+    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(f"[{''.join(MARKS.values())}]")), plain(t)).otherwise(t))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
 
@@ -96,130 +121,106 @@ def candidates(words: Column) -> Column:
     return F.transform(F.filter(words, lambda w: (F.length(w) > 2) | F.regexp_like(w, F.lit(r"[\p{Lu}\p{Lo}\p{N}]"))), F.lower)
 
 
-def entity_of(mention: Column) -> Column:
-    return F.xxhash64(mention["rank"], F.lower(mention["value"]))
-
-
-def recurring(found: DataFrame, min_contexts: int) -> DataFrame:
-    """key, entity for every text and each of its entities that have min_contexts distinct texts or contexts."""
-    body, m = F.col("body"), F.col("m")
-    left_from = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
-    window = F.xxhash64(F.lower(F.substr(body, left_from + 1, m["start"] - left_from)), F.lower(F.substr(body, m["end"] + 1, F.lit(CONTEXT_CHARS))))
-    each = cut(found.select("key", "body", F.explode("base").alias("m")).select("key", entity_of(m).alias("entity"), window.alias("window")).distinct())
-    counts = each.groupBy("entity").agg(F.count_distinct("key").alias("texts"), F.count_distinct("window").alias("windows"))
-    often = cut(counts.where(F.greatest("texts", "windows") >= min_contexts).select("entity"))
-    return cut(each.select("key", "entity").distinct().join(small(often, 100_000), "entity").select("key", "entity"))
-
-
-def contexts(found: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """key, entity, term, window: a row per distinct text, entity (of owners if given) and word of the text, its window
-    null, and a row per word next to a mention, its window the hash of the context."""
-    owners = recurring(found, 1) if owners is None else owners
-    per = cut(owners.groupBy("key").agg(F.collect_list("entity").alias("entities")))
-    texts = found.select("key", "body", "base").join(small(per, 20_000), "key").dropDuplicates(["key"])
-    words = F.array_distinct(candidates(words_of(F.col("body"))))
-    whole = texts.select("key", words.alias("words"), F.explode("entities").alias("entity"))
-    whole = whole.select("key", "entity", F.explode("words").alias("term"), F.lit(None).cast("long").alias("window"))
-    body, m = F.col("body"), F.col("m")
-    left_from = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
-    left = F.substr(body, left_from + 1, m["start"] - left_from)
-    right = F.substr(body, m["end"] + 1, F.lit(CONTEXT_CHARS))
-    last = F.reverse(F.slice(F.reverse(words_of(left)), 1, WORDS_EACH_SIDE))
-    mentions = texts.select("key", "body", "entities", F.explode("base").alias("m")).withColumn("entity", entity_of(m)).where(F.array_contains("entities", F.col("entity")))
-    beside = mentions.select(
-        "key", "entity",
-        F.explode(candidates(F.concat(last, F.slice(words_of(right), 1, WORDS_EACH_SIDE)))).alias("term"),
-        F.xxhash64(F.lower(left), F.lower(right)).alias("window"),
-    )
-    return whole.unionByName(beside)
-
-
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """A row (key, text) per distinct text."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.xxhash64(text).alias("key"), text.alias("text")).dropDuplicates(["key"])
 
 
-def disclosing(near: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
-    """(entity, term, ratio) of terms whose PMI with an entity is at least `share` of its information.
-
-    A pair needs min_contexts distinct texts, or as many distinct contexts with the term beside a mention. Document
-    frequencies are counted over the rows of docs, joint ones over the keys of near, so docs should hold a row per key."""
-    counts = near.groupBy("entity", "term").agg(F.count_if(F.col("window").isNull()).alias("both"), F.count_distinct("window").alias("windows"))
-    joint = cut(counts.where((F.col("both") > 0) & (F.greatest("both", "windows") >= min_contexts)).drop("windows"))
-    if joint.isEmpty():
-        return joint.select("entity", "term", F.lit(0.0).alias("ratio"))
-    total = docs.count()
-    own = near.where(F.col("window").isNull()).groupBy("entity").agg(F.count_distinct("key").alias("mentions"))
-    words = F.array_distinct(F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(F.lower(w))))
-    frequency = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    terms = joint.select("term", F.xxhash64("term").alias("word")).distinct()
-    known = cut(frequency.join(small(cut(terms), 100_000), "word").select("term", "df"))
-    n = F.greatest(F.lit(float(total)), F.col("mentions") + 1.0)
-    p_given = F.least(F.col("both") / F.greatest(F.col("df"), F.col("both")), F.lit(1.0))
-    information = -F.log2(F.col("mentions") / n)
-    pmi = F.log2(p_given * n / F.col("mentions"))
-    rated = joint.join(small(cut(own), 100_000), "entity").join(small(known, 100_000), "term").select("entity", "term", (pmi / information).alias("ratio"))
-    return cut(rated.where(F.col("ratio") >= share))
-
-
-def term_spans(found: DataFrame, docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
-    """key, extra: the spans (start, rank = len(KINDS), end, ratio) of all disclosing words of each text that has some."""
-    texts = distinct_texts(docs)
-    guilty = disclosing(contexts(found, recurring(found, min_contexts)), texts, min_contexts, share)
-    known = small(cut(guilty.groupBy("term").agg(F.max("ratio").alias("ratio"))), 100_000)
-    lower = F.array_distinct(F.transform(words_of(F.col("text")), F.lower))
-    keys = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
-    hit = cut(docs.select(keys, F.explode(lower).alias("term")).join(known, "term", "left_semi").select("key").distinct())
-    gaps = F.transform(F.split("text", TERM, -1), F.length)
-    placed = docs.select(keys, "text").join(small(hit, 100_000), "key", "left_semi").dropDuplicates(["key"])
-    placed = placed.select("key", F.posexplode(F.arrays_zip(words_of(F.col("text")).alias("word"), gaps.alias("gap"))).alias("i", "w"))
-    end = F.sum(F.col("w.gap") + F.length("w.word")).over(Window.partitionBy("key").orderBy("i")).cast("int")
-    placed = placed.where(F.col("w.word").isNotNull()).select("key", F.lower("w.word").alias("term"), (end - F.length("w.word")).alias("start"), end.alias("end"))
-    span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ratio"))
-    return cut(placed.join(known, "term").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra")))
-
-
-def outside(extra: Column, base: Column) -> Column:
-    """Term spans that overlap no base span."""
-    return F.filter(F.coalesce(extra, F.array().cast("array<struct<start:int,rank:int,end:int,ratio:double>>")), lambda e: ~F.exists(base, lambda b: (e["start"] < b["end"]) & (b["start"] < e["end"])))
+def mentions(found: DataFrame) -> DataFrame:
+    """key, entity, window, beside for every mention in the rows (key, body) of distinct texts: the words beside it, up to
+    WORDS_EACH_SIDE whole words a side and no further than the neighbouring match of its kind, and their hash."""
+
+    def of(kind: str) -> Column:
+        def sides(found: Column) -> Column:
+            pieces = F.split("body", PATTERNS[kind], -1)
+            lefts = lambda p: F.zip_with(found, F.slice(p, F.lit(1), F.size(found)), lambda v, x: F.struct(v.alias("value"), x.alias("left")))
+            both = lambda a, x: F.struct(F.lit(KINDS.index(kind)).alias("rank"), a["value"].alias("value"), a["left"].alias("left"), x.alias("right"))
+            return let(pieces, lambda p: F.zip_with(lefts(p), F.slice(p, F.lit(2), F.size(found)), both))
+
+        kept = F.filter(let(matches(F.col("body"), kind), sides), lambda m: accepted(kind, m["value"]))
+        return F.when(likely(F.col("body"), kind), kept).otherwise(F.array().cast("array<struct<rank:int,value:string,left:string,right:string>>"))
+
+    m = F.col("m")
+    rows = found.select("key", F.explode(reduce(F.concat, map(of, KINDS))).alias("m"))
+    last = let(words_of(m["left"]), lambda w: F.slice(w, F.greatest(F.size(w) - WORDS_EACH_SIDE, F.lit(0)) + 1, F.lit(WORDS_EACH_SIDE)))
+    near = rows.select("key", F.xxhash64(m["rank"], F.lower(m["value"])).alias("entity"), F.concat(last, F.slice(words_of(m["right"]), 1, WORDS_EACH_SIDE)).alias("words"))
+    return near.select("key", "entity", F.xxhash64(F.lower(F.array_join("words", " "))).alias("window"), F.array_distinct(candidates(F.col("words"))).alias("beside"))
+
+
+def disclosing(found: DataFrame, texts: DataFrame, min_contexts: int, share: float) -> DataFrame:
+    """(entity, term, both, df, mentions, ratio) of terms whose PMI with an entity is at least `share` of its information.
+
+    found: key, body of the distinct texts that mention an entity; texts: key, text of all distinct texts, n in number.
+    A pair needs min_contexts distinct texts with both, or as many distinct contexts with the term beside a mention.
+    A ratio of share needs df <= mentions * (n / mentions) ** (1 - share), so only such words of a text meet its
+    entities, and only those entities that enough texts have; the pairs beside mentions are taken as they are."""
+    near = cut(mentions(found))
+    entities = near.groupBy("entity").agg(F.count_distinct("key").alias("mentions"), F.count_distinct("window").alias("windows"))
+    n = F.greatest(F.lit(float(texts.count())), F.col("mentions") + 1.0)
+    often = cut(entities.where(F.greatest("mentions", "windows") >= min_contexts).withColumn("n", n).withColumn("most", F.col("mentions") * F.pow(F.col("n") / F.col("mentions"), F.lit(1 - share)) * (1 + 1e-9)))
+    owners = cut(near.select("key", "entity").distinct().join(small(often.drop("windows")), "entity"))
+    holders = small(cut(owners.select("key").distinct()))
+    every = F.array_distinct(F.transform(words_of(masked(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
+    frequency = texts.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    mine = found.join(holders, "key", "left_semi").select("key", F.explode(F.array_distinct(candidates(words_of(masked(F.col("body")))))).alias("term"))
+    mine = cut(mine.withColumn("word", F.xxhash64("term")))
+    known = cut(frequency.join(mine.select("word").distinct(), "word"))
+    held = mine.join(small(known), "word").drop("word")
+    wide = owners.where(F.col("mentions") >= min_contexts)
+    joint = held.where(F.col("df") >= min_contexts).join(wide, "key").where("df <= most").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_contexts)
+    beside = near.select("entity", "window", F.explode("beside").alias("term")).groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"))
+    close = cut(beside.where(F.col("windows") >= min_contexts).select("entity", "term"))
+    shared = owners.select("key", "entity").join(small(close), "entity").join(mine.select("key", "term"), ["key", "term"]).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    pairs = joint.unionByName(shared).distinct().withColumn("word", F.xxhash64("term")).join(small(known), "word").join(small(often.drop("windows", "most")), "entity")
+    n, m = F.col("n"), F.col("mentions")
+    ratio = F.log2(F.col("both") / F.greatest("df", "both") * n / m) / F.log2(n / m)
+    return cut(pairs.select("entity", "term", "both", "df", "mentions", ratio.alias("ratio")).where(F.col("ratio") >= share))
+
+
+def guilty_terms(docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
+    """(term, ratio): all disclosing terms with their highest ratio."""
+    found = with_spans(docs).where(F.size("base") > 0).select("key", "body").dropDuplicates(["key"])
+    return cut(disclosing(cut(found), distinct_texts(docs), min_contexts, share).groupBy("term").agg(F.max("ratio").alias("ratio")))
+
+
+def placed_terms(docs: DataFrame, guilty: DataFrame) -> DataFrame:
+    """For each distinct text with a guilty term, its masked text in pieces: key, i, gap (what stands before the word),
+    word (null at the end), end (its place), ratio (null for a plain word)."""
+    known = small(guilty)
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), masked(F.translate(F.coalesce("text", F.lit("")), "".join([*MARKS.values(), FILLER]), "�" * 5)).alias("body"))
+    hit = keyed.select("key", F.explode(F.array_distinct(F.transform(words_of(F.col("body")), F.lower))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
+    texts = keyed.join(small(cut(hit)), "key", "left_semi").dropDuplicates(["key"])
+    gaps, words = F.split("body", TERM, -1), words_of(F.col("body"))
+    steps = let(F.transform(gaps, F.length), lambda g: let(F.transform(words, F.length), lambda w: running(F.zip_with(g, w, lambda a, b: a + F.coalesce(b, F.lit(0))))))
+    parts = texts.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"), steps.alias("end"))).alias("i", "p")).select("key", "i", "p.gap", "p.word", "p.end")
+    return cut(parts.withColumn("term", F.lower("word")).join(known, "term", "left").drop("term"))
 
 
 def find(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFrame:
-    """doc_id, base (spans) and extra (term spans) for every row of docs (doc_id, text).
+    """doc_id, base (spans) and extra (spans of disclosing terms) for every row of docs (doc_id, text).
 
-    A null text is empty: no spans. Equal rows have equal spans; a null doc_id stays null. Extra columns are ignored."""
-    found = cut(with_spans(docs).where(F.size("base") > 0))
-    extra = small(term_spans(found, docs, min_contexts, share), 100_000)
-    return with_spans(docs).drop("body").join(extra, "key", "left").select("doc_id", "base", outside(F.col("extra"), F.col("base")).alias("extra"))
+    A null text is empty: no spans. Equal rows have equal spans; a null doc_id stays null. Extra columns are ignored; an
+    empty table gives no rows."""
+    parts = placed_terms(docs, guilty_terms(docs, min_contexts, share)).where(F.col("ratio").isNotNull())
+    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ratio"))
+    extra = small(cut(parts.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra"))))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,ratio:double>>")
+    return with_spans(docs).drop("body").join(extra, "key", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
 
 
 def sanitise(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFrame:
     """docs, all columns, with text sanitised: base spans become [EMAIL], [IP], [CARD] or [PHONE]; terms that fully
     determine an entity (ratio 1) are removed, other disclosing terms become [TERM]. Texts without either, null ones
-    included, stay as they are; n_chars, where it exists, follows the text."""
-    found = cut(with_spans(docs).where(F.size("base") > 0))
-    extra = term_spans(found, docs, min_contexts, share)
-    # Texts without base spans may have terms too.
-    others = docs.select("doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).join(small(extra, 100_000), "key", "left_semi")
-    touched = found.unionByName(with_spans(others).where(F.size("base") == 0))
-    merged = touched.join(small(extra, 100_000), "key", "left").select("key", "body", F.col("base"), outside(F.col("extra"), F.col("base")).alias("extra"))
-    marks = F.concat(
-        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), b["rank"] + 1)), F.lit("]")).alias("mark"))),
-        F.transform("extra", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.when(e["ratio"] >= 1.0 - 1e-12, "").otherwise("[TERM]").alias("mark"))),
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, mark: Column) -> Column:
-        skip = mark["start"] < state["at"]
-        between = F.substr(F.col("body"), state["at"] + 1, F.greatest(mark["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], mark["end"]).alias("at"), F.when(skip, state["out"]).otherwise(F.concat(state["out"], F.array(between, mark["mark"]))).alias("out"))
-
-    folded = F.aggregate(F.array_sort(marks), begin, step)
-    clean = F.concat(F.array_join(folded["out"], ""), F.substr(F.col("body"), folded["at"] + 1))
-    done = cut(merged.select("key", clean.alias(CLEAN)).dropDuplicates(["key"]))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn(KEY, key).join(small(done.withColumnRenamed("key", KEY), 20_000), KEY, "left")
-    text = F.coalesce(CLEAN, "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col(CLEAN).isNotNull(), F.length(CLEAN).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    included, stay as they are; n_chars, where it exists, follows the text. Repeated rows are treated alike; an empty
+    table stays empty. The noncharacters U+FDD0 to U+FDD4, which mark spans meanwhile, become U+FFFD."""
+    parts = placed_terms(docs, guilty_terms(docs, min_contexts, share))
+    out = F.when(F.col("ratio").isNull(), F.coalesce("word", F.lit(""))).when(F.col("ratio") >= 1.0 - 1e-12, "").otherwise("[TERM]")
+    joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", F.concat("gap", out).alias("t")))).alias("t"))
+    terms = cut(joined.select(F.col("key").alias(KEY), shown(F.array_join(F.transform("t", lambda p: p["t"]), "")).alias(CLEAN)))
+    plain = shown(masked(F.translate("text", "".join([*MARKS.values(), FILLER]), "�" * 5)))
+    rows = docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit("")))).join(small(terms), KEY, "left").withColumn(CLEAN, F.coalesce(CLEAN, plain))
+    changed = {"text": F.col(CLEAN)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(CLEAN) != F.col("text"), F.length(CLEAN).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -64,6 +64,28 @@ def light_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once: Spark inlines a projected column wherever it is used, a lambda's variable
+    never."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, width: int = 256) -> Column:
+    """Running totals of an array of integers, in blocks of `width`, so that no array grows element by element."""
+
+    def scan(some: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out"))
+        return F.aggregate(some, begin, step)["out"]
+
+    def summed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, F.lit(width)))
+        starts = lambda parts: F.concat(F.array(F.lit(0)), scan(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0)))
+        return let(blocks, lambda parts: F.flatten(F.zip_with(parts, F.slice(starts(parts), F.lit(1), F.size(parts)), scan)))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(F.when(F.size(v) <= width, scan(v, F.lit(0))).otherwise(summed(v))))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -55,9 +55,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64)), counts
 
 
-def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
-    """Each text's distinct shingles of `width` words, as sorted 64-bit hashes; a shorter text is one shingle, a text
-    without words has none."""
+def shingle_lists(texts: list[str], width: int = 5) -> list[np.ndarray]:
+    """Each text's shingles of `width` words in order, as 64-bit hashes; a shorter text is one shingle, a text without
+    words has none."""
     words, counts = word_hashes(texts)
     n = len(words) - width + 1
     window = np.zeros(max(n, 0), np.uint64)
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     out, at = [], 0
     for count in counts.tolist():
         if count >= width:
-            out.append(np.unique(window[at : at + count - width + 1]))
+            out.append(window[at : at + count - width + 1])
         elif count:
             short = np.uint64(count)
             with np.errstate(over="ignore"):
@@ -77,3 +77,13 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
             out.append(np.zeros(0, np.uint64))
         at += count
     return out
+
+
+def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
+    return [np.unique(x) for x in shingle_lists(texts, width)]
+
+
+def shingle_bags(texts: list[str], width: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct shingles, sorted, and how often it has each."""
+    return [np.unique(x, return_counts=True) for x in shingle_lists(texts, width)]

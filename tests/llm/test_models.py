@@ -46,6 +46,60 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert langid.keep_identified(empty, model).count() == 0
 
 
+def brute_subwords(text):
+    """Buckets of every subword of two to four characters within the text's words, blanks at their ends included."""
+    plain, out = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ", []
+    for width in (2, 3, 4):
+        for i in range(len(plain) - width + 1):
+            part = plain[i : i + width]
+            if " " in part[1:-1] or part == "  ":
+                continue
+            h = width
+            for c in part:
+                h = (((h * 0x01000193) & 0xFFFFFFFF) ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append(((h * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - langid.BITS))
+    return out
+
+
+def test_predictions_equal_brute_force(spark, real):
+    """Every document, by its whole text: a mean over single subwords, then a softmax."""
+    model = langid.fit(real)
+    got = {r["doc_id"]: r for r in langid.identify(real, model).collect()}
+    for d in real.collect():
+        text, r = d["text"] or "", got[d["doc_id"]]
+        if not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        z = (np.mean([model.logits[b].astype(float) for b in brute_subwords(text)], axis=0) + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        assert r["score"] == pytest.approx(p.max(), abs=1e-6) and r["lang_pred"] == model.languages[p.argmax()]
+        assert r["rejected"] == (r["score"] < model.threshold)
+
+
+def test_folded_table_is_both_layers(real):
+    rows = [r for r in real.collect() if r["text"] and r["lang"]][:60]
+    bags, labels = langid.bags_of([r["text"] for r in rows]), [r["lang"] for r in rows]
+    languages = sorted(set(labels))
+    held = np.arange(len(rows)) % 5 == 4
+    target = np.array([languages.index(x) for x in labels])
+    embed, weight, bias = langid.sgd([b for b, h in zip(bags, held) if not h], target[~held], len(languages))
+    model = langid.train(bags, labels)
+    for r in rows[:20]:
+        z = (np.mean([embed[b].astype(float) for b in brute_subwords(r["text"])], axis=0) @ weight + bias) / model.temperature
+        assert langid.scores(model, [r["text"]])[0] == pytest.approx(np.exp(z) / np.exp(z).sum(), abs=1e-4)
+
+
+def test_fit_reads_whole_texts(spark):
+    """What tells two languages apart stands behind a long common beginning."""
+    same = "the of and to in " * 3000
+    rows = [(i, same + (" zwölf süße äpfel grün" if i % 2 else " vingt-cinq élèves français") * 300, "de" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, train_on_all=True)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_prediction_uses_text_only(spark, real):
     model = langid.fit(real)
     a = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(real, model).collect()}

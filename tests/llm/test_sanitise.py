@@ -1,7 +1,11 @@
 import hashlib
 import re
+import time
+from collections import Counter, defaultdict
+from math import log2
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumenspan.llm import sanitise
@@ -93,16 +97,77 @@ def test_disclosing_terms(spark):
     assert all(clean[i]["text"] == text[i] for i in range(10, 60))
 
 
-def test_ratio_is_the_formula(spark):
-    from math import log2
-
-    docs = spark.createDataFrame(story(), "doc_id long, text string")
-    near = sanitise.contexts(sanitise.with_spans(docs).where(F.size("base") > 0))
-    rated = {r["term"]: r["ratio"] for r in sanitise.disclosing(near, docs, 3, 0.0).collect()}
-    n, mentions = 85, 5
-    for term, df in (("quillfeather", 5), ("note", 55), ("the", 55)):
-        joint = 5
-        assert rated[term] == pytest.approx(log2(joint / df * n / mentions) / -log2(mentions / n))
+TERM = regex.compile(sanitise.TERM)
+
+
+def blanked(text):
+    """The text with base spans blanked, kind by kind."""
+    for kind in ("email", "phone", "card", "ip"):
+        text = re.sub(PLAIN[kind], lambda m, k=kind: "\ufdd0" * len(m[0]) if good(k, m[0]) else m[0], text)
+    return text
+
+
+def brute_terms(docs, min_contexts=3, share=0.9):
+    """Disclosing terms by the formula, over sets of distinct texts."""
+    texts = sorted({t or "" for t in docs})
+    may = lambda w: len(w) > 2 or regex.search(r"[\p{Lu}\p{Lo}\p{N}]", w)
+    words = [set(w.lower() for w in TERM.findall(blanked(t))) for t in texts]
+    able = [set(w.lower() for w in TERM.findall(blanked(t)) if may(w)) for t in texts]
+    df = Counter(w for ws in words for w in ws)
+    owners, windows, beside = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        for kind, pattern in PLAIN.items():
+            found = list(re.finditer(pattern, text))
+            for k, m in enumerate(found):
+                if not good(kind, m[0]):
+                    continue
+                left = text[found[k - 1].end() if k else 0 : m.start()]
+                right = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+                near, e = TERM.findall(left)[-5:] + TERM.findall(right)[:5], (kind, m[0].lower())
+                window = " ".join(near).lower()
+                owners[e].add(i)
+                windows[e].add(window)
+                for w in near:
+                    if may(w):
+                        beside[e, w.lower()].add(window)
+    out = {}
+    for e, mine in owners.items():
+        if max(len(mine), len(windows[e])) < min_contexts:
+            continue
+        n, m = max(len(texts), len(mine) + 1), len(mine)
+        for t in set().union(*(able[i] for i in mine)):
+            both = sum(t in able[i] for i in mine)
+            if both >= min_contexts or len(beside.get((e, t), ())) >= min_contexts:
+                ratio = log2(both / max(df[t], both) * n / m) / log2(n / m)
+                if ratio >= share:
+                    out[t] = max(out.get(t, 0), ratio)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.9, 0.4])
+def test_terms_equal_brute_force(spark, share):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = rows.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in story()], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    want = brute_terms(texts.values(), share=share)
+    guilty = {r["term"]: r["ratio"] for r in sanitise.guilty_terms(rows, 3, share).collect()}
+    assert guilty.keys() == want.keys() and len(want) >= 1
+    assert all(guilty[t] == pytest.approx(want[t]) for t in want)
+    for r in sanitise.find(rows, share=share).collect():
+        text = blanked(texts[r["doc_id"]] or "")
+        assert [(e["start"], e["end"]) for e in r["extra"]] == [m.span() for m in TERM.finditer(text) if m[0].lower() in want]
+
+
+def test_many_matches_in_one_text(spark):
+    """A log of addresses: linear work in the matches of one text."""
+    text = "\n".join(f"host {i % 256}.{i // 256 % 256}.7.9 says word{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = sanitise.with_spans(docs).where("doc_id = 1").select("base").first()["base"]
+    assert time.perf_counter() - began < 10
+    assert len(found) == 100_000 and [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer(PLAIN["ip"], text)]
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs).collect()}
+    assert clean[2] == "plain" and clean[1].count("[IP]") == 100_000 and not re.search(PLAIN["ip"], clean[1])
 
 
 def test_copies_do_not_hide_a_term(spark):
