@@ -1,13 +1,14 @@
 """Near-duplicate components without pairs within groups: buckets of candidates, exact verification, union-find.
 
 Items that share a band key are a bucket; items tied through buckets are a family. A small family is compared as it is.
-In a large one every item is first compared with a few pivots, a test each, which joins whatever is alike to them. Then
-only buckets whose items are still in different components are compared, each on its own: an item goes to no more groups
-than it has bands, however large the family. A bucket too large for one task is dealt out by the prefix filter: two
-sets of at least the threshold share one of their first few elements in any common order, here that of a hash with
-the elements of one item of the bucket last, so what a template repeats deals out nothing. Only what even shares those
-is compared block by block. A task computes exact similarities from the texts and lets only links out that join
-components. So no candidate pair across components is left untested, and no row is made for a pair.
+In a large one every item is first compared with a few pivots, a test each, which joins whatever is alike to them. If
+few blocks of items are left outside the largest component, these are compared with the family block by block. Else
+only buckets whose items are in different components are compared, each on its own, so that an item goes to no more
+groups than it has bands, however large the family. A bucket with many blocks left is dealt out by the prefix filter:
+two sets of at least the threshold share one of their first few elements in any common order, here that of a hash with
+the elements of one item of the bucket last, so what a template repeats deals out nothing. Which way a family goes
+changes what is shipped, never what is found. A task computes exact similarities from the texts and lets only links
+out that join components. So no candidate pair across components is left untested, and no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lumenspan.llm.textkit import MIX, mix64
 
 #: Most items, and about the most set elements, in a block.
 BLOCK_ROWS, BLOCK_ELEMENTS = 512, 300_000
+#: Blocks left over up to which a family, or a bucket, is compared block by block.
+FEW_BLOCKS = 16
 #: Pairs in a block from which on all overlaps at once are cheaper than one by one.
 MANY = 2000
 #: Rows of band keys that a task gathers before it combines them.
@@ -201,58 +204,69 @@ def pivot_links(large: DataFrame, sets_of: Sets, threshold: float, pivots: int)
 
 
 def block_links(members: DataFrame, sets_of: Sets, threshold: float) -> DataFrame:
-    """Links (a, b) that join components of a group. members: id, family (the group), text, root, bin, blocks.
+    """Links (a, b) that join components of a group. members: id, group, text, root, settled, bin (null in a large group),
+    loose and fixed (its numbers of blocks of items that are not settled, and of settled ones).
 
-    Small groups share bins. In a group with blocks (bin null) every two blocks meet in a task of their own."""
-    none = F.col("bin").isNotNull()
-    own = F.when(none, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("long")
-    others = F.when(none, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = members.withColumn("block", own).withColumn("other", F.explode(others))
-    pairs = met.select(F.coalesce("bin", "family").alias("group"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "family", "id", "root", "text")
+    Small groups share bins. In a large one every two blocks meet in a task of their own, but for two settled ones."""
+    own = F.when(F.col("settled"), F.col("loose") + F.pmod(F.xxhash64("id"), F.col("fixed"))).otherwise(F.pmod(F.xxhash64("id"), F.col("loose")))
+    last = F.when(F.col("settled"), F.col("loose")).otherwise(F.col("loose") + F.col("fixed")) - 1
+    others = F.when(F.col("bin").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    met = members.withColumn("block", F.when(F.col("bin").isNotNull(), 0).otherwise(own).cast("long")).withColumn("other", F.explode(others))
+    pairs = met.select(F.coalesce("bin", "group").alias("bin"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "group", "id", "root", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        block, family, ids, roots = (table.column(c).to_numpy() for c in ("block", "family", "id", "root"))
+        block, group, ids, roots = (table.column(c).to_numpy() for c in ("block", "group", "id", "root"))
         distinct, which = np.unique(ids, return_inverse=True)
         texts = table.column("text").take(pa.array(np.unique(which, return_index=True)[1])).to_pylist()
         known, links = sets_of([t or "" for t in texts]), []
-        order = np.lexsort((which, family))
-        fresh = np.concatenate([[True], (family[order][1:] != family[order][:-1]) | (which[order][1:] != which[order][:-1])])
+        order = np.lexsort((which, group))
+        fresh = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (which[order][1:] != which[order][:-1])])
         order = order[fresh]
-        for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             left, right = np.flatnonzero(block[part] == x), np.flatnonzero(block[part] == y)
             if len(left) and len(right):
                 links += group_links(ids[part], roots[part], [known[w] for w in which[part]], left, right, threshold)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return pairs.groupBy("group", "x", "y").applyInArrow(compare, "a long, b long")
+    return pairs.groupBy("bin", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def mixed(members: DataFrame) -> DataFrame:
-    """members (id, root, size, key), of each key with items in different components, with n and m, its numbers of items
-    and of elements; of keys with the same items one stays."""
-    same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
-    keys = members.groupBy("key").agg(*same, F.sum("size").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    kept = keys.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("m").alias("m")).select("key", "n", "m")
-    return cut(members.join(small(cut(kept)), "key"))
+def settled(items: DataFrame) -> DataFrame:
+    """items (group, id, root, size) of groups in several components, with n and m, the group's numbers of items and of
+    elements, whether an item is settled (its component is the group's largest), and loose and fixed, the group's numbers
+    of blocks of other items and of settled ones."""
+    main = items.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    marked = items.join(small(cut(main)), "group").withColumn("settled", F.col("root") == F.col("main")).drop("main")
+    count = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / BLOCK_ELEMENTS)).cast("long")
+    own = F.col("settled")
+    blocks = marked.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("m"), count(~own).alias("loose"), count(own).alias("fixed")).where("loose > 0")
+    return cut(marked.join(small(cut(blocks)), "group"))
 
 
-def too_large() -> Column:
-    return (F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ELEMENTS)
+def distinct_groups(items: DataFrame) -> DataFrame:
+    """items (group, id, root, size) of one of the groups that have the same ids each, if they are in several components."""
+    same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    groups = items.groupBy("group").agg(*same, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return items.join(small(cut(groups.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"))), "group")
+
+
+def one_block() -> Column:
+    return (F.col("n") <= BLOCK_ROWS) & (F.col("m") <= BLOCK_ELEMENTS)
 
 
 def prefix_members(large: DataFrame, texts: DataFrame, sets_of: Sets, threshold: float) -> DataFrame:
-    """(id, root, size, key) of large buckets, a row for each element of the set's prefix; key from bucket and element.
+    """(group, id, root, size) for items of large groups, a row for each element of the set's prefix; its group from both.
 
-    The common order of a bucket: elements of its least item's set last, else by value, as these are hashes."""
-    pivots = large.groupBy("key").agg(F.min("id").alias("id"))
-    others = cut(pivots.join(texts, "id").groupBy("key").agg(F.first("text").alias("other")))
-    rows = large.join(texts, "id").join(small(others), "key").select("key", "id", "root", "size", "text", "other")
+    The common order of a group: elements of its least item's set last, else by value, as these are hashes."""
+    pivots = large.groupBy("group").agg(F.min("id").alias("id"))
+    others = cut(pivots.join(texts, "id").groupBy("group").agg(F.first("text").alias("other")))
+    rows = large.join(texts, "id").join(small(others), "group").select("group", "id", "root", "size", "text", "other")
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys = batch.column("group").to_numpy()
             for i, items in enumerate(sets_of(texts_of(batch))):
                 if keys[i] not in known:
                     if len(known) > 64:
@@ -262,9 +276,9 @@ def prefix_members(large: DataFrame, texts: DataFrame, sets_of: Sets, threshold:
                 first = items[order][: len(items) - int(np.ceil(threshold * len(items) - 1e-9)) + 1]
                 group = mix64(mix64(first.astype(np.uint64)) + keys[i].view(np.uint64)).view(np.int64)
                 same = [pa.array(np.full(len(first), batch.column(c)[i].as_py(), np.int64)) for c in ("id", "root", "size")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(group)], ["id", "root", "size", "key"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(group)], ["id", "root", "size", "group"])
 
-    return rows.mapInArrow(run, "id long, root long, size long, key long")
+    return rows.mapInArrow(run, "id long, root long, size long, group long")
 
 
 def near_components(
@@ -283,33 +297,34 @@ def near_components(
     families = cut(connected(ties.select(F.col("id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("family")))
     placed = cut(locate(families.select("id")).join(small(families), "id"))
     texts = cut(fetch(placed).select("id", "family", "size", "text"))
-    sizes = cut(placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m")).withColumn("big", too_large()))
-    nothing = F.lit(None).cast("long")
+    sizes = cut(placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("m")).withColumn("big", ~one_block()))
+    nothing, columns = F.lit(None).cast("long"), ("id", "group", "text", "root", "settled", "bin", "loose", "fixed")
 
-    def binned(groups: DataFrame, name: str) -> Column:
+    def binned(groups: DataFrame) -> Column:
         """Bins for groups (n, m) that are no larger than a block, so that each has about a block's work."""
         n, m = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        return F.pmod(F.xxhash64(name), F.lit(int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1))
+        return F.pmod(F.xxhash64("group"), F.lit(int(max(n / BLOCK_ROWS, m / BLOCK_ELEMENTS)) + 1))
 
-    sized = texts.join(small(sizes.select("family", "big")), "family")
-    of_bin = binned(sizes.where("NOT big"), "family")
-    members = sized.where("NOT big").select("id", "family", "text", F.col("id").alias("root"), of_bin.alias("bin"), nothing.alias("blocks"))
+    sized = texts.join(small(sizes.select("family", "big")), "family").withColumnRenamed("family", "group")
+    alone = {"root": F.col("id"), "settled": F.lit(False), "bin": binned(sizes.where("NOT big")), "loose": nothing, "fixed": nothing}
+    members = sized.where("NOT big").withColumns(alone).select(*columns)
     links = None
     if not sizes.where("big").isEmpty():
-        large = cut(sized.where("big").select("id", "family", "size", "text").dropDuplicates(["id"]))
+        large = cut(sized.where("big").select("id", F.col("group").alias("family"), F.col("size").cast("long").alias("size"), "text").dropDuplicates(["id"]))
         links = cut(pivot_links(large, sets_of, threshold, pivots))
-        roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))))
-        rooted = cut(large.select("id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.col("size").cast("long").alias("size")))
-        ends = ties.select("id", "key").unionByName(ties.select(F.col("low").alias("id"), "key")).distinct()
-        buckets = mixed(ends.join(small(rooted), "id").select("id", "root", "size", "key"))
-        fits, rest = buckets.where(~too_large()), buckets.where(too_large())
-        if not rest.isEmpty():
-            dealt = mixed(prefix_members(rest, large.select("id", "text"), sets_of, threshold))
-            fits, rest = fits.unionByName(dealt.where(~too_large())), dealt.where(too_large())
-        bins = binned(fits.groupBy("key").agg(F.first("n").alias("n"), F.first("m").alias("m")), "key").alias("bin")
-        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("m") / BLOCK_ELEMENTS)).cast("long").alias("blocks")
-        groups = fits.select("id", F.col("key").alias("family"), "root", bins, nothing.alias("blocks")).unionByName(rest.select("id", F.col("key").alias("family"), "root", nothing.alias("bin"), blocks))
-        members = members.unionByName(groups.join(large.select("id", "text"), "id").select(*members.columns))
+        roots = small(cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))).withColumnRenamed("node", "id")
+        rooted = settled(large.join(roots, "id", "left").select(F.col("family").alias("group"), "id", F.coalesce("root", "id").alias("root"), "size"))
+        left, many = rooted.where(F.col("loose") <= FEW_BLOCKS).withColumn("bin", nothing), rooted.where(F.col("loose") > FEW_BLOCKS)
+        if not many.isEmpty():
+            ends = ties.select("id", "key").unionByName(ties.select(F.col("low").alias("id"), "key")).distinct()
+            buckets = settled(distinct_groups(ends.join(small(many.select("id", "root", "size")), "id").select(F.col("key").alias("group"), "id", "root", "size")))
+            hot = buckets.where(~one_block() & (F.col("loose") > FEW_BLOCKS))
+            buckets = buckets.where(one_block() | (F.col("loose") <= FEW_BLOCKS))
+            if not hot.isEmpty():
+                buckets = buckets.unionByName(settled(distinct_groups(prefix_members(hot, large.select("id", "text"), sets_of, threshold))))
+            bins = binned(buckets.where(one_block()).groupBy("group").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+            left = left.unionByName(buckets.withColumn("bin", F.when(one_block(), bins)))
+        members = members.unionByName(left.join(large.select("id", "text"), "id").select(*columns))
     found = block_links(members, sets_of, threshold)
     links = cut(found if links is None else links.unionByName(found))
     return cut(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")

@@ -3,14 +3,16 @@
 Modular prefix arrays give the hash of any span in constant time: the texts of a batch share one pair of arrays
 (two bases modulo the prime 2**31 - 1), from which spans at different places compare equal exactly when their
 text is equal, up to a collision chance of about 2**-60. A fingerprint keeps a text's length, its whole hash and
-the hashes of its prefixes and suffixes on a grid; grids of different texts nest, so the longest common extension
-of two fingerprints from either end is found by binary search.
+its prefix arrays from either end on a grid; grids of different texts nest, so two fingerprints answer whether any two
+spans between grid points are equal, and their longest common extensions are found by binary search.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -103,23 +105,48 @@ def fingerprints(texts: list[str]) -> list[str]:
     return out
 
 
+def differences(a: str, b: str, step: int, own: tuple[int, int], suffix: bool) -> list[tuple[int, int]]:
+    """Prefix arrays of a minus those of b at every `step` characters, from either end: two entries are equal exactly
+    when the texts are between them. a, b: hexadecimal hashes at steps own[0] and own[1]."""
+    x, y = ([int(side[at : at + 16], 16) for at in range(16 * (step // size - 1), len(side), 16 * (step // size))] for side, size in zip((a, b), own))
+    shrink = [pow(base, -step, int(PRIME)) if suffix else 1 for base in BASES]
+    out, scale, low = [(0, 0)], [1, 1], (1 << 31) - 1
+    for p, q in zip(x, y):
+        # A suffix hash begins at its own first character; scaled, all begin at the text's end.
+        scale = [c * s % int(PRIME) for c, s in zip(scale, shrink)]
+        out.append(tuple((u - v) * c % int(PRIME) for u, v, c in zip((p >> 31, p & low), (q >> 31, q & low), scale)))
+    return out
+
+
+def matched(entries: list[tuple[int, int]]) -> list[bool]:
+    """Which steps are equal: each longest common extension is found by binary search, and the step after it differs."""
+    out: list[bool] = []
+    last = len(entries) - 1
+    while len(out) < last:
+        i = len(out)
+        if entries[i + 1] == entries[i]:
+            end = bisect_left(range(i + 1, last + 1), True, key=lambda j: entries[j] != entries[i])  # noqa: B023
+            out += [True] * end
+        if len(out) < last:
+            out.append(False)
+    return out
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that the common prefix and suffix cover, as far as the grids tell; 1 for equal
-    texts only."""
+    """Share of the longer text that both texts have at the same distance from the beginning or, behind some point, from
+    the end, as far as the grids tell; 1 for equal texts only. So it sees edits anywhere, and one insertion or deletion."""
     (na, whole_a, *sides_a), (nb, whole_b, *sides_b) = a.split("."), b.split(".")
     na, nb = int(na, 16), int(nb, 16)
     if na == nb and whole_a == whole_b:
         return 1.0
     if not na or not nb:
         return 0.0
-    step_a, step_b = grid_step(na), grid_step(nb)
-    step, covered = max(step_a, step_b), 0
-    fa, fb = step // step_a, step // step_b
-    most = min(len(sides_a[0]) // 16 // fa, len(sides_b[0]) // 16 // fb)
-    for x, y in zip(sides_a, sides_b):
-        differs = lambda k: x[16 * (k * fa - 1) :][:16] != y[16 * (k * fb - 1) :][:16]  # noqa: B023, E731
-        covered += step * (bisect_left(range(1, most + 1), True, key=differs))
-    return min(covered, na, nb) / max(na, nb)
+    own = grid_step(na), grid_step(nb)
+    step = max(own)
+    left, right = (matched(differences(x, y, step, own, suffix)) for x, y, suffix in zip(sides_a, sides_b, (False, True)))
+    before, after = list(accumulate(left, initial=0)), list(accumulate(right, initial=0))
+    covered = step * max(map(add, before, reversed(after)))
+    return min(covered, na, nb, max(na, nb) - 1) / max(na, nb)
 
 
 def edited(text: str, following: str) -> str:

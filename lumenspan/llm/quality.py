@@ -1,8 +1,8 @@
 """Quality rules by tokeniser fertility.
 
 A public vocabulary tokenises every word; documents whose characters per token, byte-fallback share or token
-entropy lie outside their language's band are rejected. Bands are quartile fences over all documents of the
-language (for the entropy: of its length class) that pass the base rules, so they follow the corpus, without labels.
+entropy lie outside the band of their language and length are rejected. Bands are quartile fences over all documents
+that pass the base rules, so they follow the corpus, without labels.
 """
 
 from __future__ import annotations
@@ -24,6 +24,12 @@ MEASURES = (
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
+#: Steps a unit in which measures are counted for their quartiles.
+STEPS = 10_000
+#: The least interquartile ranges that count.
+FLOORS = {"chars_per_token": 0.02, "byte_share": 0.01}
+#: What a band is taken over, from the closest class to all documents.
+LEVELS = {"of_fine": ("lang", "fine"), "of_coarse": ("lang", "coarse"), "of_lang": ("lang",), "of_all": ()}
 
 
 class Fertility:
@@ -38,7 +44,7 @@ class Fertility:
 
     def _measure(self, words: list[bytes]):
         found = self.model.encode([w.decode() for w in words], num_threads=1)
-        return [(xxhash.xxh64_intdigest(w), np.array(ids, "<u2").tobytes()) for w, ids in zip(words, found)]
+        return [(xxhash.xxh64_intdigest(w), np.array(ids, "<u4").tobytes()) for w, ids in zip(words, found)]
 
 
 _models: dict[str, Fertility] = {}
@@ -95,7 +101,7 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
                 n_words = np.array([len(ws) for ws in words], np.int64)
                 hashes = np.fromiter((h for f in found for h, _ in f), np.uint64, int(n_words.sum()))
                 repeats = repeated(hashes, np.repeat(np.arange(len(texts)), n_words), len(texts))
-                ids = [np.frombuffer(b"".join([x for _, x in f]), "<u2") for f in found]
+                ids = [np.frombuffer(b"".join([x for _, x in f]), "<u4") for f in found]
                 chars = np.array([len(t) - sum(map(t.count, BLANKS)) for t in texts], np.int64)
                 lines = [[x for x in t.split("\n") if x.strip(BLANKS)] for t in texts]
                 n_tokens = np.array([len(x) for x in ids], np.int64)
@@ -118,53 +124,53 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text").mapInArrow(run, MEASURES)
 
 
-def quartiles(column: str) -> tuple[Column, Column]:
-    q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    return q[0], q[1]
+def bands(passing: DataFrame, level: tuple[str, ...], name: str) -> DataFrame:
+    """Quartiles of the three measures over the documents of each class of a level, and their number. Values are
+    counted in steps of 1 / STEPS, so the quartiles are exact, from a bounded histogram, and alike on any cluster."""
+    measured = [F.percentile(F.round(F.col(c) * STEPS), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in (*FLOORS, "entropy")]
+    band = F.struct(F.count("*").alias("n"), *measured).alias(name)
+    return passing.groupBy(*level).agg(band)
 
 
-def language_bands(passing: DataFrame, width: float) -> DataFrame:
-    """Fences of characters per token and byte share by language, over all documents that pass the base rules."""
-    columns = []
-    for c, floor in (("chars_per_token", 0.1), ("byte_share", 0.01)):
-        low, high = quartiles(c)
-        spread = F.greatest(high - low, F.lit(floor)) * width
-        columns += [low.alias(f"{c}_q1"), high.alias(f"{c}_q3"), spread.alias(f"{c}_spread")]
-    return passing.groupBy("lang").agg(*columns)
-
-
-def entropy_bands(passing: DataFrame, length_class: str, width: float, least: int) -> DataFrame:
-    """The lower fence of the entropy by language and length class; classes of fewer than `least` documents have none."""
-    low, high = quartiles("entropy")
-    fence = (low - F.greatest(high - low, F.lit(0.01)) * width).alias(f"{length_class}_low")
-    return passing.groupBy("lang", length_class).agg(fence, F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-
-
-def judge(docs: DataFrame, model_path: str, width: float = 6.0, entropy_width: float = 2.5, least: int = 30) -> DataFrame:
+def judge(docs: DataFrame, model_path: str, width: float = 2.5, least: int = 30) -> DataFrame:
     """Measures, base_failed and kept for each row of docs (doc_id, lang, text).
 
-    Characters per token and byte share may lie `width` interquartile ranges beyond their language's quartiles, further
-    for short texts, whose means scatter more; the entropy `entropy_width` ranges below those of its length class. As
-    entropy falls with length, a class spans a quarter of an octave of tokens, or an octave where that has too few.
-    Text without words fails the base rules. A language all of whose documents fail has no band and keeps nothing.
-    Repeated rows are judged alike."""
+    Each measure may lie `width` interquartile ranges beyond the quartiles of its class (at 2.5 about one in 20,000 normal
+    values lies outside): characters per token on either side, the byte share above, the entropy, less its linear
+    trend in the logarithm of the length, below. A class is a language and a quarter of an octave of tokens, as short
+    texts scatter more; with fewer than `least` passing documents an octave, then the language, then all documents,
+    so every document has a band. Bands that span all lengths are wider for short texts, as their means scatter.
+    A byte share may also hold one odd character of four bytes. Text without words fails the base rules; null text has
+    none; a null lang is a language of its own. Repeated rows are judged alike; extra columns are ignored; an empty
+    table gives no rows."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     octaves = F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))
-    classes = {"fine": F.floor(4 * octaves), "coarse": F.floor(octaves)}
-    held = cut(measure(docs, model_path).withColumns({"base_failed": failed, **classes}))
-    passing = held.where(~F.col("base_failed"))
-    language = small(cut(language_bands(passing, width)), 10_000)
-    fine, coarse = (small(cut(entropy_bands(passing, c, entropy_width, least)), 100_000) for c in classes)
-    scatter = F.sqrt(1 + F.lit(100.0) / F.greatest("n_tokens", F.lit(1)))
-    off = F.greatest(F.col("chars_per_token_q1") - F.col("chars_per_token"), F.col("chars_per_token") - F.col("chars_per_token_q3"))
+    held = cut(measure(docs, model_path).withColumns({"base_failed": failed, "fine": F.floor(4 * octaves), "coarse": F.floor(octaves)}))
+    counted = held.where(~F.col("base_failed"))
+    slope = counted.agg(F.round(F.regr_slope("entropy", F.log2("n_tokens")), 6)).first()[0] or 0.0
+    levelled = held.withColumn("raw", F.col("entropy")).withColumn("entropy", F.col("entropy") - F.lit(slope) * octaves)
+    passing = levelled.where(~F.col("base_failed"))
+    banded = levelled
+    for name, level in LEVELS.items():
+        found = small(cut(bands(passing, level, name)))
+        banded = banded.join(found, list(level), "left") if level else banded.crossJoin(F.broadcast(found))  # a single row
+    narrow = F.coalesce(*[F.when(F.col(f"{k}.n") >= least, F.col(k)) for k in ("of_fine", "of_coarse")])
+    wide = F.coalesce(F.when(F.col("of_lang.n") >= least, F.col("of_lang")), F.col("of_all"))
+    scatter = F.when(F.col("narrow").isNull(), F.sqrt(1 + F.lit(100.0) / F.greatest("n_tokens", F.lit(1)))).otherwise(1.0)
+    banded = banded.withColumns({"narrow": narrow, "wide": wide}).withColumns({"band": F.coalesce("narrow", "wide"), "room": scatter * width})
+
+    def fence(measure: str, side: int, floor: float) -> Column:
+        low, high = F.col(f"band.{measure}")[0] / STEPS, F.col(f"band.{measure}")[1] / STEPS
+        return (high if side > 0 else low) + side * F.greatest(high - low, F.lit(floor)) * F.col("room")
+
+    cpt, share = FLOORS["chars_per_token"], FLOORS["byte_share"]
     inside = (
-        (off <= F.col("chars_per_token_spread") * scatter)
-        & (F.col("byte_share") - F.col("byte_share_q3") <= F.col("byte_share_spread") * scatter)
-        & (F.col("entropy") >= F.coalesce("fine_low", "coarse_low", F.lit(0.0)))
+        F.col("chars_per_token").between(fence("chars_per_token", -1, cpt), fence("chars_per_token", 1, cpt))
+        & (F.col("byte_share") <= fence("byte_share", 1, share) + F.lit(4.0) / F.greatest("n_tokens", F.lit(1)))
+        & (F.col("entropy") >= fence("entropy", -1, 0.01))
     )
-    banded = held.join(language, "lang", "left").join(fine, ["lang", "fine"], "left").join(coarse, ["lang", "coarse"], "left")
     return banded.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
-        "n_tokens", "chars_per_token", "byte_share", "entropy",
+        "n_tokens", "chars_per_token", "byte_share", F.col("raw").alias("entropy"),
     )

@@ -154,4 +154,47 @@ r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT e.b, r.root
 m AS (SELECT d, min(root) AS class_id FROM r GROUP BY d)
 SELECT d::BIGINT AS doc_id, class_id::BIGINT AS class_id, count(*) OVER (PARTITION BY class_id)::BIGINT AS class_size, d = class_id AS kept FROM m"""
 
-ORACLES: dict[str, str] = {"op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL}
+
+
+def _powers_sql(name: str, step: int) -> str:
+    """Relation (i, v): powers of `step` modulo the prime, from tables of 512 small and 4096 large steps."""
+    p = int(fingerprints.PRIME)
+    big = pow(step, 512, p)
+    return f"""{name}l AS (SELECT 0::BIGINT AS i, 1::BIGINT AS v UNION ALL SELECT i + 1, v * {step % p} % {p} FROM {name}l WHERE i < 511),
+{name}h AS (SELECT 0::BIGINT AS i, 1::BIGINT AS v UNION ALL SELECT i + 1, v * {big} % {p} FROM {name}h WHERE i < 4095),
+{name} AS MATERIALIZED (SELECT h.i * 512 + l.i AS i, h.v * l.v % {p} AS v FROM {name}h h, {name}l l WHERE h.i * 512 + l.i <= (SELECT max(len(t)) FROM v))"""
+
+
+def _fingerprint_sql() -> str:
+    """Hashes character by character; likeness from the characters themselves, cell by cell."""
+    p, (b, c) = int(fingerprints.PRIME), fingerprints.BASES
+    at = lambda e, s: f"(((e.a - {s}.a + {p}) % {p}) * ia.v % {p} << 31) | (((e.b - {s}.b + {p}) % {p}) * ib.v % {p})" if s else f"(({e}.a << 31) | {e}.b)"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '') DESC) AS r, count(*) OVER () AS n FROM documents),
+x AS MATERIALIZED (SELECT a.doc_id, a.r, a.t, b.t AS after, left(a.t, len(a.t) - len(a.t) // 3) || left(b.t, len(a.t) // 3) AS e, b.r AS br FROM d a JOIN d b ON b.r = a.r % a.n + 1),
+v AS MATERIALIZED (SELECT r, 0 AS kind, t, len(t)::BIGINT AS n FROM x UNION ALL SELECT r, 1, e, len(e) FROM x),
+g AS MATERIALIZED (SELECT v.*, (SELECT min(1::BIGINT << m) FROM range(40) s(m) WHERE v.n <= {fingerprints.GRID} * (1::BIGINT << m)) AS step FROM v),
+{_powers_sql('pa', b)}, {_powers_sql('pb', c)}, {_powers_sql('qa', pow(b, -1, p))}, {_powers_sql('qb', pow(c, -1, p))},
+u AS (SELECT r, kind, unnest(string_split(t, '')) AS ch, unnest(range(len(t)))::BIGINT AS i FROM v WHERE n > 0),
+h AS MATERIALIZED (SELECT r, kind, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b FROM v UNION ALL
+  SELECT r, kind, u.i + 1, (sum((unicode(ch) + 1) * pa.v % {p}) OVER w % {p})::BIGINT, (sum((unicode(ch) + 1) * pb.v % {p}) OVER w % {p})::BIGINT
+  FROM u JOIN pa ON pa.i = u.i JOIN pb ON pb.i = u.i WINDOW w AS (PARTITION BY r, kind ORDER BY u.i)),
+k AS (SELECT r, kind, n, step, unnest(range(1, n // step + 1))::BIGINT AS k FROM g WHERE n > 0),
+m AS (SELECT k.r, k.kind, string_agg(format('{{:016x}}', {at('f', '')}), '' ORDER BY k) AS prefixes, string_agg(format('{{:016x}}', {at('e', 's')}), '' ORDER BY k) AS suffixes
+  FROM k JOIN h f ON f.r = k.r AND f.kind = k.kind AND f.i = k.k * k.step JOIN h e ON e.r = k.r AND e.kind = k.kind AND e.i = k.n
+  JOIN h s ON s.r = k.r AND s.kind = k.kind AND s.i = k.n - k.k * k.step JOIN qa ia ON ia.i = s.i JOIN qb ib ON ib.i = s.i GROUP BY ALL),
+f AS MATERIALIZED (SELECT g.r, g.kind, g.t, g.n, g.step, format('{{:x}}', g.n) || '.' || format('{{:016x}}', {at('h', '')}) || '.' || coalesce(prefixes, '') || '.' || coalesce(suffixes, '') AS mark
+  FROM g JOIN h ON h.r = g.r AND h.kind = g.kind AND h.i = g.n LEFT JOIN m ON m.r = g.r AND m.kind = g.kind),
+pair AS (SELECT x.r, 'e' AS what, a.t AS a, b.t AS b, a.n AS na, b.n AS nb, greatest(a.step, b.step) AS step FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.r AND b.kind = 1
+  UNION ALL SELECT x.r, 'n', a.t, b.t, a.n, b.n, greatest(a.step, b.step) FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.br AND b.kind = 0),
+cell AS (SELECT r, what, na, nb, step, k, substr(a, (k * step + 1)::BIGINT, step) = substr(b, (k * step + 1)::BIGINT, step) AS l,
+    substr(a, (na - (k + 1) * step + 1)::BIGINT, step) = substr(b, (nb - (k + 1) * step + 1)::BIGINT, step) AS e
+  FROM (SELECT *, unnest(range(least(na, nb) // step))::BIGINT AS k FROM pair WHERE least(na, nb) > 0)),
+side AS (SELECT r, what, list(l::INT ORDER BY k) AS l, list(e::INT ORDER BY k) AS e FROM cell GROUP BY r, what),
+cover AS (SELECT r, what, list_max(list_transform(range(len(l) + 1), lambda t: coalesce(list_sum(l[1 : t]), 0) + coalesce(list_sum(e[1 : len(e) - t]), 0))) AS cells FROM side),
+like_ AS (SELECT pair.r, pair.what, CASE WHEN a = b THEN 1.0 WHEN least(na, nb) = 0 THEN 0.0 ELSE least(coalesce(cells, 0) * step, na, nb, greatest(na, nb) - 1)::DOUBLE / greatest(na, nb) END AS near FROM pair LEFT JOIN cover ON cover.r = pair.r AND cover.what = pair.what)
+SELECT x.doc_id::BIGINT AS doc_id, len(x.t)::BIGINT AS n_chars, sha256(x.e) AS edited_sha256, a.mark AS fingerprint, b.mark AS edited_fingerprint, p.near::DOUBLE AS near_edited, q.near::DOUBLE AS near_next
+FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.r AND b.kind = 1 JOIN like_ p ON p.r = x.r AND p.what = 'e' JOIN like_ q ON q.r = x.r AND q.what = 'n'"""
+
+
+ORACLES: dict[str, str] = {"op1_fingerprints": _fingerprint_sql(), "op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL}

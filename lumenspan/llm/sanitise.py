@@ -9,7 +9,7 @@ above the thresholds are generalised or removed wherever they occur, also in tex
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,11 +98,12 @@ def masked(text: Column) -> Column:
 
     def blank(text: Column, kind: str) -> Column:
         mark = lambda v: F.when(accepted(kind, v), F.concat(F.lit(MARKS[kind]), F.repeat(F.lit(FILLER), F.length(v) - 1))).otherwise(v)
-        pieces = lambda found: F.zip_with(F.split(text, PATTERNS[kind], -1), F.concat(F.transform(found, mark), F.array(F.lit(""))), F.concat)
+        pieces = lambda found: F.zip_with(F.split(text, PATTERNS[kind], -1), F.concat(F.transform(found, mark), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
         return F.when(likely(text, kind), let(matches(text, kind), lambda found: F.array_join(pieces(found), ""))).otherwise(text)
 
+    of = lambda kind: lambda t: blank(t, kind)
     for kind in ("email", "phone", "card", "ip"):
-        text = let(text, partial(blank, kind=kind))
+        text = let(text, of(kind))
     return text
 
 

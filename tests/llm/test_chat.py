@@ -55,6 +55,22 @@ def test_nulls_ties_repeats_and_empty_tables(spark):
     assert texts(frame.limit(0)) == {}
 
 
+def test_the_log_of_the_query_has_every_kind_of_event(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    kinds = {r["kind"]: r["n"] for r in chat.events_of(rows).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds.keys() == {"delta", "edit", "regenerate"} and min(kinds.values()) > 20
+    messages = chat.fold(chat.events_of(rows), ("turn", "place"))
+    got = sorted((r["conv_id"], r["message"]["turn"], r["role"], r["text"]) for r in messages.collect())
+    assert got == sorted((r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in rows.collect())
+
+
+def test_many_turns_and_long_texts(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <") for i in range(2000)] + [(2, 0, "assistant", "x[" * 200_000)]
+    back = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).select("conv_id", F.size("turns").alias("n"), chat.under_mask().alias("loss")).collect()
+    by = {r["conv_id"]: r for r in back}
+    assert by[1]["n"] == 2000 and by[1]["loss"] == "".join(f"turn {i} <" for i in range(1, 2000, 2)) and by[2]["loss"] == "x[" * 200_000
+
+
 def test_folding_of_deltas_edits_and_regenerations(spark):
     log = [
         (1, 1, "m1", "user", "delta", "He"), (1, 2, "m2", "assistant", "delta", "Wrong"), (1, 3, "m1", "user", "delta", "llo"), (1, 4, "m2", None, "regenerate", None),

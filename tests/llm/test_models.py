@@ -1,6 +1,7 @@
 """Language identification, packing, quality rules, byte-level BPE."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -226,6 +227,59 @@ def test_quality_rejects_odd_fertility(spark, real):
     assert not got[10**6]["base_failed"] and got[10**6]["byte_share"] > 0.5 and not got[10**6]["kept"]
 
 
+def test_verdicts_equal_brute_force(spark):
+    """kept of every document, from bands by NumPy over the measures."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] or "und" for r in docs.collect()}
+    rows = [r.asDict() for r in quality.judge(docs, PIECES).collect()]
+    passing = [r for r in rows if not r["base_failed"]]
+    x = np.log2([r["n_tokens"] for r in passing])
+    slope = round(float(np.polyfit(x, [r["entropy"] for r in passing], 1)[0]), 6)
+    for r in rows:
+        octaves = np.log2(max(r["n_tokens"], 1))
+        r |= {"fine": int(np.floor(4 * octaves)), "coarse": int(np.floor(octaves)), "lang": lang[r["doc_id"]], "rest": r["entropy"] - slope * octaves}
+
+    def alike(r, keys):
+        return [q for q in passing if all(q[k] == r[k] for k in keys)]
+
+    used = Counter()
+    for r in rows:
+        if r["base_failed"]:
+            assert not r["kept"]
+            continue
+        for keys in (("lang", "fine"), ("lang", "coarse"), ("lang",), ()):
+            mine = alike(r, keys)
+            if len(mine) >= 30 or not keys:
+                break
+        used[keys] += 1
+        room = 2.5 * (1 if len(keys) > 1 else np.sqrt(1 + 100 / r["n_tokens"]))
+        q = {c: np.percentile(np.round(np.array([m[c] for m in mine]) * 10_000), [25, 75]) / 10_000 for c in ("chars_per_token", "byte_share", "rest")}
+        spread = {c: max(q[c][1] - q[c][0], f) * room for c, f in (("chars_per_token", 0.02), ("byte_share", 0.01), ("rest", 0.01))}
+        inside = q["chars_per_token"][0] - spread["chars_per_token"] <= r["chars_per_token"] <= q["chars_per_token"][1] + spread["chars_per_token"]
+        inside &= r["byte_share"] <= q["byte_share"][1] + spread["byte_share"] + 4 / r["n_tokens"]
+        assert r["kept"] == (inside and r["rest"] >= q["rest"][0] - spread["rest"]), r
+    assert len(used) >= 3
+
+
+@pytest.mark.parametrize("words", [15, 30, 50])
+def test_quality_rejects_short_latin_junk(spark, words):
+    rng = random.Random(words)
+    junk = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(words)) for _ in range(20)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(docs.unionByName(more), PIECES).collect()}
+    assert not any(got[10**6 + i]["kept"] for i in range(20))
+
+
+def test_good_documents_stay(spark):
+    """Against labels that the bands never see."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), PIECES).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    good = [r["kept"] for r in got if labels[r["doc_id"]]["quality"] == 1 and labels[r["doc_id"]]["toxic"] == 0]
+    assert np.mean(good) > 0.99
+
+
 def test_quality_of_odd_rows(odd, empty):
     got = quality.judge(odd, PIECES)
     assert got.count() == odd.count() and quality.judge(empty, PIECES).count() == 0
