@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenspan.functions.kernels import cumulative_trapezoids, polynomial_residual
-from lumenspan.model import Record
+from lumenspan.model import Record, RecordMeta
 
 
 def _x() -> Column:
@@ -37,21 +37,24 @@ def mean_of(array: Column, n: int) -> Column:
     return total(array) / F.lit(float(max(n, 1)))
 
 
-def trim(record: Record, t0=None, tf=None, inclusive_end: bool = False) -> Record:
-    """Samples from the last one at or before t0 up to, not including, the last one at or before tf.
-
-    Bounds are clamped to the record; None is an open bound; ISO strings are accepted. A full-range trim therefore
-    drops the last sample unless inclusive_end. tf before the start is an error; t0 beyond the end gives no samples."""
-    meta = record.meta
+def trim_range(meta: RecordMeta, t0=None, tf=None, inclusive_end: bool = False) -> tuple[int, int]:
+    """First sample and number of samples of a trim."""
     index = lambda t: math.floor((t - meta.start_time).total_seconds() * meta.fs + 1e-6)
     start = 0 if t0 is None else max(0, index(_moment(t0)))
     if tf is not None and _moment(tf) < meta.start_time:
         raise ValueError("the trim ends before the record starts")
     end = meta.n - 1 if tf is None else min(meta.n - 1, index(_moment(tf)))
-    end += inclusive_end
-    count = max(0, end - start)
+    return start, max(0, end + inclusive_end - start)
+
+
+def trim(record: Record, t0=None, tf=None, inclusive_end: bool = False) -> Record:
+    """Samples from the last one at or before t0 up to, not including, the last one at or before tf.
+
+    Bounds are clamped to the record; None is an open bound; ISO strings are accepted. A full-range trim therefore
+    drops the last sample unless inclusive_end. tf before the start is an error; t0 beyond the end gives no samples."""
+    start, count = trim_range(record.meta, t0, tf, inclusive_end)
     cut = F.slice(_x(), start + 1, count) if count else F.array().cast("array<double>")
-    return record.with_samples(cut, start_time=meta.time_of(start), n=count)
+    return record.with_samples(cut, start_time=record.meta.time_of(start), n=count)
 
 
 def integer_decimation(record: Record, factor: int) -> Record:

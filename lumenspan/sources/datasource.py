@@ -1,18 +1,25 @@
 """spark.read.format("lumenspan"): recordings as a Python data source.
 
 For files on a disk or mount that all executors share; recordings.traces_of reads any path Spark itself can open.
-Options: path (a file, folder or glob), vendor, and channels (labels, comma-separated)."""
+Options: path (a file, folder or glob), vendor, and channels (labels, comma-separated).
+
+spark.read.format("lumenspan_chunks") reads .npy recordings (time by channel) of any size in chunks of time, one a
+partition, planned from the files' headers alone; a task maps only its rows of the file and copies only the wanted
+channels. Options: path, channels, size (samples a chunk, 1,000,000), first and last (samples, last not included)."""
 
 from __future__ import annotations
 
 import glob
 import os
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenspan.model import TRACES
+from lumenspan.operators.chunks import CHUNKS
 from lumenspan.sources.parsers import parse
 
 
@@ -51,5 +58,50 @@ class RecordingSource(DataSource):
         return RecordingReader(dict(self.options))
 
 
+@dataclass
+class ChunkPartition(InputPartition):
+    file: str
+    start: int
+    end: int
+
+
+class ChunkReader(RecordingReader):
+    """A partition for each chunk of each file."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.size, self.first = int(options.get("size", 1_000_000)), int(options.get("first", 0))
+        self.last = int(options["last"]) if options.get("last") else None
+
+    def partitions(self) -> list[InputPartition]:
+        found = []
+        for file in self.files:
+            n = len(np.load(file, mmap_mode="r", allow_pickle=False))
+            end = n if self.last is None else min(n, self.last)
+            found += [ChunkPartition(file, at, min(at + self.size, end)) for at in range(self.first, end, self.size)]
+        return found
+
+    def read(self, partition: ChunkPartition):
+        rows = np.load(partition.file, mmap_mode="r", allow_pickle=False)[partition.start : partition.end]
+        kept = [i for i in range(rows.shape[1]) if self.channels is None or float(i) in self.channels]
+        for pos, i in enumerate(kept):
+            samples = pa.array([np.asarray(rows[:, i], float)], pa.list_(pa.float64()))
+            columns = [pa.array([partition.file]), pa.array([pos], pa.int32()), pa.array([float(i)]), pa.array([partition.start - self.first]), samples]
+            yield pa.RecordBatch.from_arrays(columns, ["record_id", "channel_pos", "channel", "start", "samples"])
+
+
+class ChunkSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "lumenspan_chunks"
+
+    def schema(self) -> str:
+        return CHUNKS
+
+    def reader(self, schema) -> ChunkReader:
+        return ChunkReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordingSource)
+    spark.dataSource.register(ChunkSource)
