@@ -168,7 +168,8 @@ def _powers_sql(name: str, step: int) -> str:
 def _fingerprint_sql() -> str:
     """Hashes character by character; likeness from the characters themselves, cell by cell."""
     p, (b, c) = int(fingerprints.PRIME), fingerprints.BASES
-    at = lambda e, s: f"(((e.a - {s}.a + {p}) % {p}) * ia.v % {p} << 31) | (((e.b - {s}.b + {p}) % {p}) * ib.v % {p})" if s else f"(({e}.a << 31) | {e}.b)"
+    packed = lambda a, b: f"format('{{:016x}}', (({a}) << 31) | ({b}))"
+    suffix = packed(f"(e.a - h.a + {p}) % {p} * qa.v % {p}", f"(e.b - h.b + {p}) % {p} * qb.v % {p}")
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '') DESC) AS r, count(*) OVER () AS n FROM documents),
 x AS MATERIALIZED (SELECT a.doc_id, a.r, a.t, b.t AS after, left(a.t, len(a.t) - len(a.t) // 3) || left(b.t, len(a.t) // 3) AS e, b.r AS br FROM d a JOIN d b ON b.r = a.r % a.n + 1),
@@ -179,12 +180,12 @@ u AS (SELECT r, kind, unnest(string_split(t, '')) AS ch, unnest(range(len(t)))::
 h AS MATERIALIZED (SELECT r, kind, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b FROM v UNION ALL
   SELECT r, kind, u.i + 1, (sum((unicode(ch) + 1) * pa.v % {p}) OVER w % {p})::BIGINT, (sum((unicode(ch) + 1) * pb.v % {p}) OVER w % {p})::BIGINT
   FROM u JOIN pa ON pa.i = u.i JOIN pb ON pb.i = u.i WINDOW w AS (PARTITION BY r, kind ORDER BY u.i)),
-k AS (SELECT r, kind, n, step, unnest(range(1, n // step + 1))::BIGINT AS k FROM g WHERE n > 0),
-m AS (SELECT k.r, k.kind, string_agg(format('{{:016x}}', {at('f', '')}), '' ORDER BY k) AS prefixes, string_agg(format('{{:016x}}', {at('e', 's')}), '' ORDER BY k) AS suffixes
-  FROM k JOIN h f ON f.r = k.r AND f.kind = k.kind AND f.i = k.k * k.step JOIN h e ON e.r = k.r AND e.kind = k.kind AND e.i = k.n
-  JOIN h s ON s.r = k.r AND s.kind = k.kind AND s.i = k.n - k.k * k.step JOIN qa ia ON ia.i = s.i JOIN qb ib ON ib.i = s.i GROUP BY ALL),
-f AS MATERIALIZED (SELECT g.r, g.kind, g.t, g.n, g.step, format('{{:x}}', g.n) || '.' || format('{{:016x}}', {at('h', '')}) || '.' || coalesce(prefixes, '') || '.' || coalesce(suffixes, '') AS mark
-  FROM g JOIN h ON h.r = g.r AND h.kind = g.kind AND h.i = g.n LEFT JOIN m ON m.r = g.r AND m.kind = g.kind),
+e AS MATERIALIZED (SELECT r, kind, arg_max(a, i) AS a, arg_max(b, i) AS b FROM h GROUP BY r, kind),
+m AS (SELECT r, kind, coalesce(string_agg(prefix, '' ORDER BY i) FILTER (i > 0 AND i % step = 0), '') AS prefixes, coalesce(string_agg(suffix, '' ORDER BY i DESC) FILTER (i < n AND (n - i) % step = 0), '') AS suffixes
+  FROM (SELECT h.r, h.kind, h.i, g.n, g.step, {packed('h.a', 'h.b')} AS prefix, {suffix} AS suffix FROM h JOIN g ON g.r = h.r AND g.kind = h.kind JOIN e ON e.r = h.r AND e.kind = h.kind
+    JOIN qa ON qa.i = h.i JOIN qb ON qb.i = h.i WHERE h.i % g.step = 0 OR (g.n - h.i) % g.step = 0) GROUP BY r, kind),
+f AS MATERIALIZED (SELECT g.r, g.kind, g.t, g.n, g.step, format('{{:x}}', g.n) || '.' || {packed('e.a', 'e.b')} || '.' || prefixes || '.' || suffixes AS mark
+  FROM g JOIN e ON e.r = g.r AND e.kind = g.kind JOIN m ON m.r = g.r AND m.kind = g.kind),
 pair AS (SELECT x.r, 'e' AS what, a.t AS a, b.t AS b, a.n AS na, b.n AS nb, greatest(a.step, b.step) AS step FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.r AND b.kind = 1
   UNION ALL SELECT x.r, 'n', a.t, b.t, a.n, b.n, greatest(a.step, b.step) FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.br AND b.kind = 0),
 cell AS (SELECT r, what, na, nb, step, k, substr(a, (k * step + 1)::BIGINT, step) = substr(b, (k * step + 1)::BIGINT, step) AS l,
