@@ -27,7 +27,7 @@ WINDOW = 5
 #: Steps a unit in which measures are counted for their quartiles.
 STEPS = 10_000
 #: The least interquartile ranges that count.
-FLOORS = {"chars_per_token": 0.02, "byte_share": 0.01}
+FLOORS = {"chars_per_token": 0.15, "byte_share": 0.02, "entropy": 0.01}
 #: What a band is taken over, from the closest class to all documents.
 LEVELS = {"of_fine": ("lang", "fine"), "of_coarse": ("lang", "coarse"), "of_lang": ("lang",), "of_all": ()}
 
@@ -127,15 +127,15 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
 def bands(passing: DataFrame, level: tuple[str, ...], name: str) -> DataFrame:
     """Quartiles of the three measures over the documents of each class of a level, and their number. Values are
     counted in steps of 1 / STEPS, so the quartiles are exact, from a bounded histogram, and alike on any cluster."""
-    measured = [F.percentile(F.round(F.col(c) * STEPS), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in (*FLOORS, "entropy")]
+    measured = [F.percentile(F.round(F.col(c) * STEPS), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in FLOORS]
     band = F.struct(F.count("*").alias("n"), *measured).alias(name)
     return passing.groupBy(*level).agg(band)
 
 
-def judge(docs: DataFrame, model_path: str, width: float = 2.5, least: int = 30) -> DataFrame:
+def judge(docs: DataFrame, model_path: str, width: float = 3.0, least: int = 30) -> DataFrame:
     """Measures, base_failed and kept for each row of docs (doc_id, lang, text).
 
-    Each measure may lie `width` interquartile ranges beyond the quartiles of its class (at 2.5 about one in 20,000 normal
+    Each measure may lie `width` interquartile ranges beyond the quartiles of its class (at 3 about one in 400,000 normal
     values lies outside): characters per token on either side, the byte share above, the entropy, less its linear
     trend in the logarithm of the length, below. A class is a language and a quarter of an octave of tokens, as short
     texts scatter more; with fewer than `least` passing documents an octave, then the language, then all documents,
@@ -159,15 +159,14 @@ def judge(docs: DataFrame, model_path: str, width: float = 2.5, least: int = 30)
     scatter = F.when(F.col("narrow").isNull(), F.sqrt(1 + F.lit(100.0) / F.greatest("n_tokens", F.lit(1)))).otherwise(1.0)
     banded = banded.withColumns({"narrow": narrow, "wide": wide}).withColumns({"band": F.coalesce("narrow", "wide"), "room": scatter * width})
 
-    def fence(measure: str, side: int, floor: float) -> Column:
+    def fence(measure: str, side: int) -> Column:
         low, high = F.col(f"band.{measure}")[0] / STEPS, F.col(f"band.{measure}")[1] / STEPS
-        return (high if side > 0 else low) + side * F.greatest(high - low, F.lit(floor)) * F.col("room")
+        return (high if side > 0 else low) + side * F.greatest(high - low, F.lit(FLOORS[measure])) * F.col("room")
 
-    cpt, share = FLOORS["chars_per_token"], FLOORS["byte_share"]
     inside = (
-        F.col("chars_per_token").between(fence("chars_per_token", -1, cpt), fence("chars_per_token", 1, cpt))
-        & (F.col("byte_share") <= fence("byte_share", 1, share) + F.lit(4.0) / F.greatest("n_tokens", F.lit(1)))
-        & (F.col("entropy") >= fence("entropy", -1, 0.01))
+        F.col("chars_per_token").between(fence("chars_per_token", -1), fence("chars_per_token", 1))
+        & (F.col("byte_share") <= fence("byte_share", 1) + F.lit(4.0) / F.greatest("n_tokens", F.lit(1)))
+        & (F.col("entropy") >= fence("entropy", -1))
     )
     return banded.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

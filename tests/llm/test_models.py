@@ -93,8 +93,8 @@ def test_folded_table_is_both_layers(real):
 
 def test_fit_reads_whole_texts(spark):
     """What tells two languages apart stands behind a long common beginning."""
-    same = "the of and to in " * 3000
-    rows = [(i, same + (" zwölf süße äpfel grün" if i % 2 else " vingt-cinq élèves français") * 300, "de" if i % 2 else "fr") for i in range(60)]
+    same = "the of and to in " * 1250
+    rows = [(i, same + (" zwölf süße äpfel grün" if i % 2 else " vingt-cinq élèves français") * 1000, "de" if i % 2 else "fr") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs, train_on_all=True)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
@@ -252,9 +252,9 @@ def test_verdicts_equal_brute_force(spark):
             if len(mine) >= 30 or not keys:
                 break
         used[keys] += 1
-        room = 2.5 * (1 if len(keys) > 1 else np.sqrt(1 + 100 / r["n_tokens"]))
+        room = 3.0 * (1 if len(keys) > 1 else np.sqrt(1 + 100 / r["n_tokens"]))
         q = {c: np.percentile(np.round(np.array([m[c] for m in mine]) * 10_000), [25, 75]) / 10_000 for c in ("chars_per_token", "byte_share", "rest")}
-        spread = {c: max(q[c][1] - q[c][0], f) * room for c, f in (("chars_per_token", 0.02), ("byte_share", 0.01), ("rest", 0.01))}
+        spread = {c: max(q[c][1] - q[c][0], f) * room for c, f in (("chars_per_token", 0.15), ("byte_share", 0.02), ("rest", 0.01))}
         inside = q["chars_per_token"][0] - spread["chars_per_token"] <= r["chars_per_token"] <= q["chars_per_token"][1] + spread["chars_per_token"]
         inside &= r["byte_share"] <= q["byte_share"][1] + spread["byte_share"] + 4 / r["n_tokens"]
         assert r["kept"] == (inside and r["rest"] >= q["rest"][0] - spread["rest"]), r
@@ -264,11 +264,11 @@ def test_verdicts_equal_brute_force(spark):
 @pytest.mark.parametrize("words", [15, 30, 50])
 def test_quality_rejects_short_latin_junk(spark, words):
     rng = random.Random(words)
-    junk = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(words)) for _ in range(20)]
+    junk = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(words)) for _ in range(3)]  # quartiles stand under a quarter of junk in a class
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     more = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality.judge(docs.unionByName(more), PIECES).collect()}
-    assert not any(got[10**6 + i]["kept"] for i in range(20))
+    assert not any(got[10**6 + i]["kept"] for i in range(3))
 
 
 def test_good_documents_stay(spark):
