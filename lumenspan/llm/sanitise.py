@@ -163,7 +163,8 @@ def disclosing(found: DataFrame, texts: DataFrame, min_contexts: int, share: flo
     owners = cut(near.select("key", "entity").distinct().join(small(often.drop("windows")), "entity"))
     holders = small(cut(owners.select("key").distinct()))
     every = F.array_distinct(F.transform(words_of(masked(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
-    frequency = texts.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    # An outer explode: the plain one would work out the words once more, to see whether there are any.
+    frequency = texts.select(F.explode_outer(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     mine = found.join(holders, "key", "left_semi").select("key", F.explode(F.array_distinct(candidates(words_of(masked(F.col("body")))))).alias("term"))
     mine = cut(mine.withColumn("word", F.xxhash64("term")))
     known = cut(frequency.join(mine.select("word").distinct(), "word"))
@@ -190,7 +191,7 @@ def placed_terms(docs: DataFrame, guilty: DataFrame) -> DataFrame:
     word (null at the end), end (its place), ratio (null for a plain word)."""
     known = small(guilty)
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), masked(F.translate(F.coalesce("text", F.lit("")), "".join([*MARKS.values(), FILLER]), "�" * 5)).alias("body"))
-    hit = keyed.select("key", F.explode(F.array_distinct(F.transform(words_of(F.col("body")), F.lower))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
+    hit = keyed.select("key", F.explode_outer(F.array_distinct(F.transform(words_of(F.col("body")), F.lower))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
     texts = keyed.join(small(cut(hit)), "key", "left_semi").dropDuplicates(["key"])
     gaps, words = F.split("body", TERM, -1), words_of(F.col("body"))
     steps = let(F.transform(gaps, F.length), lambda g: let(F.transform(words, F.length), lambda w: running(F.zip_with(g, w, lambda a, b: a + F.coalesce(b, F.lit(0))))))
