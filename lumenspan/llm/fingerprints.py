@@ -160,7 +160,8 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     next range at the end (helper = true), so that every document's successor is the row after it.
 
     Order: doc_id descending, null last, then text descending; after the last comes the first. The ranges' bounds
-    are quantiles over all ids, at most four a shuffle partition, so no task sees more than its range."""
+    are quantiles over all ids, at most four a shuffle partition, so no task sees more than its range. Rows of one
+    doc_id, null included, share a range, since their order needs their texts; ids are meant to be keys."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     held = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = min(2000, 4 * partitions(spark))

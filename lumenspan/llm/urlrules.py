@@ -59,8 +59,10 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     """Rules (rule_id, antecedent, support, confidence) for blocking, from labelled (tokens, block boolean).
 
     Of a rule and its generalisations (fewer tokens) that all pass the bounds, only the general ones stay, since they
-    fire wherever it does. A rule also needs min_count labelled urls, so that few labels prove nothing. A null label is not learned from; nothing labelled gives no rules. FP-growth itself keeps
-    at most 1/min_support times the tokens of a url as frequent items on the driver."""
+    fire wherever it does. The support must reach min_support and min_count labelled urls, whichever is more, so that few
+    labels prove nothing: in a small table the second bound holds, in a large one the first. A null label is not
+    learned from; nothing labelled gives no rules. FP-growth itself keeps at most 1/min_support times the tokens of a url
+    as frequent items on the driver."""
     items = F.array_distinct(F.concat("tokens", F.when(F.col("block"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))))
     baskets = cut(labelled.where(F.col("block").isNotNull()).select(items.alias("items")))
     n = baskets.count()
@@ -103,8 +105,10 @@ def fired(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_pages(spark: SparkSession, pages: DataFrame, rules: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict, mined confidence for each row of pages (page_id, url).
 
-    Listed rules decide first; where none fits, the rules mined from labels (url, block) do. Urls are judged once each and joined back, so repeated
-    rows agree; a null url has empty host and path and no tokens: no rule, 'allow'."""
+    Listed rules decide first; where none fits, the rules mined from labels (url, block) do. Urls are judged once each and
+    joined back, so repeated rows agree; a null url has empty host and path and no tokens: no rule, 'allow'; a null
+    page_id stays null. Extra columns are ignored; without pages there are no rows, without labels no mined rules, and
+    without listed rules only mined ones."""
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"))
     host, path = host_and_path(F.col("url"))

@@ -74,3 +74,19 @@ def test_mined_rules_match_brute_force(spark):
     rules = spark.createDataFrame([], "host string, path string, action string")
     got = {r["page_id"]: r["verdict"] for r in urlrules.judge_pages(spark, pages, rules, frame).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Columns that the operator uses itself, none of them read; no pages, no labels, no rules."""
+    plain = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(None, "http://a.net/es/1"), (3, URLS[3])], "page_id long, url string")
+    clash = plain
+    for name in ("key", "host", "path", "tokens", "rule", "action", "suffix", "prefix", "best", "verdict", "confidence", "rule_id"):
+        clash = clash.withColumn(name, F.lit(f"x{name}"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    labels = spark.createDataFrame([], "url string, block boolean")
+    sort = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = sort(urlrules.judge_pages(spark, plain, rules, labels))
+    assert sort(urlrules.judge_pages(spark, clash, rules.withColumn("n", F.lit("x")), labels.withColumn("tokens", F.lit("x")))) == want and len(want) == len(URLS) + 2
+    assert urlrules.judge_pages(spark, plain.limit(0), rules, labels).count() == 0
+    none = urlrules.judge_pages(spark, plain, rules.limit(0), labels).collect()
+    assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
