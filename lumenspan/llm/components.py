@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.sparkkit import BROADCAST_BYTES, cut, small, texts_of
+from lumenspan.llm.sparkkit import BROADCAST_BYTES, cut, slices, small, texts_of
 from lumenspan.llm.textkit import MIX, mix64
 
 #: Most items, and about the most set elements, in a block.
@@ -30,7 +30,9 @@ FEW_BLOCKS = 16
 #: Pairs in a block from which on all overlaps at once are cheaper than one by one.
 MANY = 2000
 #: Rows of band keys that a task gathers before it combines them.
-COMBINED = 400_000
+COMBINED = 200_000
+#: Bytes of text whose sets are in memory at once.
+SLICE = 500_000
 BANDED = "id long, key long, tie long, at long"
 Sets = Callable[[list[str]], list[np.ndarray]]
 
@@ -185,7 +187,7 @@ def pivot_links(large: DataFrame, sets_of: Sets, threshold: float, pivots: int)
 
     def compare(batches):
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             a, b = [], []
             for own, items, others in zip(batch.column("id").to_pylist(), sets_of(texts_of(batch)), batch.column("pivots")):
                 for other in others:
@@ -265,7 +267,7 @@ def prefix_members(large: DataFrame, texts: DataFrame, sets_of: Sets, threshold:
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             keys = batch.column("group").to_numpy()
             for i, items in enumerate(sets_of(texts_of(batch))):
                 if keys[i] not in known:
