@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import bytebpe, chat, dartminhash, fingerprints, langid, linededup, packing, quality, sanitise, urlrules
+from lumenspan.llm import bytebpe, chat, dartminhash, exactdedup, fim, fingerprints, langid, linededup, merkle, packing, quality, sanitise, urlrules
 from lumenspan.llm.sparkkit import light_batches
 
 #: (host, path, action)
@@ -96,6 +96,29 @@ def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.check_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("hash").alias("leaf"),
+        "subroot",
+        "root",
+        F.sha2("proof", 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat": op2_chat,
@@ -107,6 +130,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_sanitise": op10_sanitise,
+    "op11_merkle": op11_merkle,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 _ESCAPED = "len({0}) + len({0}) * 3 - len(replace({0}, '\\', '')) - len(replace({0}, '<', '')) - len(replace({0}, '[', ''))"
 
@@ -198,4 +224,54 @@ SELECT x.doc_id::BIGINT AS doc_id, len(x.t)::BIGINT AS n_chars, sha256(x.e) AS e
 FROM x JOIN f a ON a.r = x.r AND a.kind = 0 JOIN f b ON b.r = x.r AND b.kind = 1 JOIN like_ p ON p.r = x.r AND p.what = 'e' JOIN like_ q ON q.r = x.r AND q.what = 'n'"""
 
 
-ORACLES: dict[str, str] = {"op1_fingerprints": _fingerprint_sql(), "op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL}
+def _digest_sql(*columns: str) -> str:
+    shown = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns]
+    return f"sha256({' || '.join(shown)})"
+
+
+#: Trees level by level; of every leaf all siblings, then its fold.
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS id, coalesce('=' || lang, '') AS scope, {_digest_sql('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+    {_digest_sql('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')} AS changed FROM documents),
+crc AS (SELECT i::BIGINT AS i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+c AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 0::BIGINT AS k, 4294967295::BIGINT AS r FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, xor(r >> 8, v) FROM c JOIN crc ON i = xor(r, ascii(substr(s, (k + 1)::BIGINT, 1))) & 255 WHERE k < len(s)),
+seven AS (SELECT doc_id FROM c WHERE k = len(s) AND xor(r, 4294967295) % 7 = 0),
+leaves AS MATERIALIZED (SELECT id, d.doc_id, scope, leaf, CASE WHEN seven.doc_id IS NULL THEN leaf ELSE changed END AS claim,
+    row_number() OVER (PARTITION BY scope ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS pos FROM d LEFT JOIN seven ON seven.doc_id = d.doc_id),
+t AS (SELECT 0 AS level, scope, pos, leaf AS h, count(*) OVER (PARTITION BY scope) AS n FROM leaves
+  UNION ALL SELECT level + 1, scope, pos // 2, sha256(h || coalesce(after, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (PARTITION BY scope ORDER BY pos) AS after FROM t WHERE n > 1) WHERE pos % 2 = 0),
+tree AS MATERIALIZED (SELECT * FROM t),
+subroots AS MATERIALIZED (SELECT scope, h AS subroot, row_number() OVER (ORDER BY scope) - 1 AS pos, level AS height FROM tree WHERE n = 1),
+u AS (SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(h || coalesce(after, '')), (n + 1) // 2 FROM (SELECT *, lead(h) OVER (ORDER BY pos) AS after FROM u WHERE n > 1) WHERE pos % 2 = 0),
+upper AS MATERIALIZED (SELECT * FROM u),
+place AS (SELECT id, l.scope, tree.level AS level, l.pos >> tree.level::BIGINT AS p, tree.h AS h FROM leaves l JOIN tree ON tree.scope = l.scope AND tree.n > 1 AND tree.pos = xor(l.pos >> tree.level::BIGINT, 1)),
+above AS (SELECT id, s.height + u.level AS level, s.pos >> u.level::BIGINT AS p, u.h AS h FROM leaves l JOIN subroots s ON s.scope = l.scope JOIN upper u ON u.n > 1 AND u.pos = xor(s.pos >> u.level::BIGINT, 1)),
+sibling AS MATERIALIZED (SELECT id, level, p, h FROM place UNION ALL SELECT id, level, p, h FROM above),
+proofs AS (SELECT id, sha256(string_agg(h, '' ORDER BY level)) AS proof FROM sibling GROUP BY id),
+heights AS (SELECT l.id, l.claim, s.height + (SELECT max(level) FROM upper) AS top FROM leaves l JOIN subroots s ON s.scope = l.scope),
+f AS (SELECT id, 0 AS level, claim AS h, top FROM heights
+  UNION ALL SELECT f.id, f.level + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.p % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END), top
+  FROM f LEFT JOIN sibling s ON s.id = f.id AND s.level = f.level WHERE f.level < top)
+SELECT l.doc_id::BIGINT AS doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root,
+  f.h = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM leaves l JOIN subroots s ON s.scope = l.scope JOIN f ON f.id = l.id AND f.level = f.top LEFT JOIN proofs ON proofs.id = l.id"""
+
+FIM_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+r AS (SELECT doc_id, t, len(t)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM h),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q FROM r),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+    ELSE '<S>' || substr(t, q + 1) || '<P>' || left(t, p) || '<M>' || substr(t, p + 1, q - p) END AS output FROM f)
+SELECT doc_id::BIGINT AS doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, len(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+w AS (SELECT *, row_number() OVER g AS place, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size FROM d WINDOW g AS (PARTITION BY bare ORDER BY chars DESC, doc_id NULLS FIRST, id))
+SELECT doc_id::BIGINT AS doc_id, keep_id::BIGINT AS keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM w"""
+
+ORACLES: dict[str, str] = {"op1_fingerprints": _fingerprint_sql(), "op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL, "op11_merkle": MERKLE_SQL, "op12_fill_in_middle": FIM_SQL, "op13_exact_dedup": EXACT_SQL}
