@@ -93,6 +93,14 @@ def fir_outputs(x: np.ndarray, taps: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def fir_at(x: np.ndarray, taps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """fir_outputs at evenly spaced samples at, by FFT where that is less work."""
+    if len(taps) <= 64 or len(at) < 2 or at[1] - at[0] > 8 or not np.isfinite(x).all():
+        return fir_outputs(x, taps, at)
+    size = 1 << (x.shape[1] + len(taps) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[:, at]
+
+
 def polynomial_residual(x: np.ndarray, order: int) -> np.ndarray:
     """x less its least-squares polynomial of the sample number."""
     n = x.shape[1]
@@ -132,7 +140,7 @@ def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop]
 
 
-def _density(segments: np.ndarray, fs: float, window: np.ndarray, nfft: int) -> np.ndarray:
+def density(segments: np.ndarray, fs: float, window: np.ndarray, nfft: int) -> np.ndarray:
     y = (segments - segments.mean(axis=-1, keepdims=True)) * window
     power = np.abs(np.fft.rfft(y, nfft, axis=-1)) ** 2 / (fs * (window**2).sum())
     last = power.shape[-1] - (nfft % 2 == 0)
@@ -143,13 +151,13 @@ def _density(segments: np.ndarray, fs: float, window: np.ndarray, nfft: int) ->
 def welch(x: np.ndarray, fs: float, nperseg: int = 256) -> np.ndarray:
     """One-sided density: periodic Hann, half overlap, segments less their mean, averaged."""
     size = min(nperseg, x.shape[1])
-    return _density(frames(x, size, size - size // 2), fs, hann(size), size).mean(axis=1)
+    return density(frames(x, size, size - size // 2), fs, hann(size), size).mean(axis=1)
 
 
 def stft(x: np.ndarray, fs: float, nperseg: int, nfft: int) -> np.ndarray:
     """(channels, frames, bins) density: periodic Tukey(0.25), half overlap, segments less their mean."""
     size = min(nperseg, x.shape[1])
-    return _density(frames(x, size, size - size // 2), fs, tukey(size, 0.25, sym=False), nfft)
+    return density(frames(x, size, size - size // 2), fs, tukey(size, 0.25, sym=False), nfft)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import math
 import warnings
 
 import numpy as np
@@ -76,15 +79,25 @@ def lowpass_cheby_2(record: Record, freq: float, maxorder: int = 12) -> Record:
 
 
 def cheby_2_sections(freq: float, fs: float, maxorder: int = 12) -> tuple[np.ndarray, float]:
-    """Sections of 96 dB stop band from freq on, and the pass band edge in Hz that maxorder allows (1 % steps)."""
+    """Sections of 96 dB stop band from freq on, and the pass band edge in Hz: the widest edge, in steps of 1 % below freq,
+    that maxorder allows. The order falls with every step, so the number of steps is found by bisection."""
     stop = freq / (fs / 2)
     if not 0 < stop < 1:
         raise ValueError("the corner frequency is not below the Nyquist frequency")
-    edge, order = stop, maxorder + 1
-    while order > maxorder:
-        edge *= 0.99
-        order, corner = design.cheb2_order(edge, stop, 1, 96)
-    return design.iir_sos("cheby2", order, corner, "lowpass", 96), edge * fs / 2
+    needed = lambda steps: design.cheb2_order(stop * 0.99**steps, stop, 1, 96)
+    most = 1
+    while needed(most)[0] > maxorder:
+        most *= 2
+    steps = bisect.bisect_left(range(most + 1), True, lo=1, key=lambda k: needed(k)[0] <= maxorder)
+    order, corner = needed(steps)
+    return design.iir_sos("cheby2", order, corner, "lowpass", 96), stop * 0.99**steps * fs / 2
+
+
+def cheby_2_polynomials(freq: float, fs: float, maxorder: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of the whole filter, the products of its sections'."""
+    sos, _ = cheby_2_sections(freq, fs, maxorder)
+    product = lambda rows: functools.reduce(np.polymul, rows, np.ones(1))
+    return product(sos[:, :3]), product(sos[:, 3:])
 
 
 def remez_bandpass_taps(freqmin: float, freqmax: float, fs: float) -> np.ndarray:
@@ -104,9 +117,15 @@ def remez_fir(record: Record, freqmin: float, freqmax: float) -> Record:
 
 
 def sinc_taps(freq: float, fs: float, winlen: int = 2048) -> np.ndarray:
-    """Ideal lowpass by inverse FFT, its magnitude under a Kaiser window (beta 11.7)."""
-    passes = (np.abs(np.fft.fftfreq(winlen, 1 / fs)) < freq).astype(float)
-    return np.abs(np.fft.fftshift(np.fft.ifft(passes)) * design.kaiser(winlen, 11.7))
+    """The periodic sinc that sums all bins of winlen below freq, its magnitude under a Kaiser window (beta 11.7)."""
+    at = np.arange(winlen) - winlen // 2
+    half = min(math.ceil(freq * winlen / fs) - 1, (winlen - 1) // 2)
+    turn = np.pi * at / winlen
+    with np.errstate(invalid="ignore", divide="ignore"):
+        kernel = np.where(at == 0, 2 * half + 1, np.sin((2 * half + 1) * turn) / np.sin(turn)) / winlen
+    if winlen % 2 == 0 and freq > fs / 2:
+        kernel += np.cos(np.pi * at) / winlen  # the bin at the Nyquist frequency has no partner
+    return np.abs(kernel * design.kaiser(winlen, 11.7))
 
 
 def lowpass_fir(record: Record, freq: float, winlen: int = 2048) -> Record:

@@ -243,7 +243,10 @@ def integral_sql(source: str, name: str, m: int | str, dt: str) -> str:
 {name}3 AS (SELECT ch, i, sum(x) OVER (PARTITION BY ch ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM {name}2), {detrend_sql(name, name + '3')}"""
 
 
-@query("das_integrate", f"WITH {V}, {integral_sql('x', 'y', 720, '1.0::DOUBLE')} " + "SELECT ch::DOUBLE AS channel, i AS sample_idx, round(x, 4) + 0.0 AS value FROM y")
+INTEGRAL = f"WITH {V}, {integral_sql('x', 'y', 720, '1.0::DOUBLE')} " + "SELECT ch::DOUBLE AS channel, i AS sample_idx, round(x, 4) + 0.0 AS value FROM y"
+
+
+@query("das_integrate", INTEGRAL)
 def das_integrate(spark, sf_dir):
     return timeaxis.integrate(events(spark, sf_dir)).samples().select("channel", "sample_idx", (F.round("value", 4) + 0.0).alias("value"))
 
@@ -279,7 +282,10 @@ def das_std(spark, sf_dir):
     return aggregates.std(embeddings(spark, sf_dir)).select("channel", r6("std").alias("std"))
 
 
-@query("das_rmsa", f"WITH {V}, q AS (SELECT ch, {bucket_sql(720, 7)}::BIGINT AS segment, i, x FROM x) SELECT ch::DOUBLE AS channel, segment, (min(i) + count(*) // 2)::BIGINT AS time_idx, round(sqrt(avg(x * x)), 6) + 0.0 AS rms FROM q GROUP BY ch, segment")
+RMSA = f"WITH {V}, q AS (SELECT ch, {bucket_sql(720, 7)}::BIGINT AS segment, i, x FROM x) SELECT ch::DOUBLE AS channel, segment, (min(i) + count(*) // 2)::BIGINT AS time_idx, round(sqrt(avg(x * x)), 6) + 0.0 AS rms FROM q GROUP BY ch, segment"
+
+
+@query("das_rmsa", RMSA)
 def das_rmsa(spark, sf_dir):
     return aggregates.rmsa(events(spark, sf_dir), 100.0).select("channel", "segment", "time_idx", r6("rms").alias("rms"))
 
@@ -352,7 +358,10 @@ def convolution_sql(base: str, taps: np.ndarray, at: str, index: str, places: in
 SELECT o.ch::DOUBLE AS channel, ({index})::BIGINT AS sample_idx, round(sum(b * x), {places}) + 0.0 AS value FROM o, t, x WHERE x.ch = o.ch AND x.i = o.o - t.j GROUP BY o.ch, o.o"""
 
 
-@query("das_fir_decimate", convolution_sql(L, design.decimation_taps(4), "range(90, n, 4)", "(o.o - 90) // 4", 2))
+FIR_DECIMATE = convolution_sql(L, design.decimation_taps(4), "range(90, n, 4)", "(o.o - 90) // 4", 2)
+
+
+@query("das_fir_decimate", FIR_DECIMATE)
 def das_fir_decimate(spark, sf_dir):
     rows = filters.decimate(lineitem(spark, sf_dir), 0.25).samples()
     return rows.select("channel", "sample_idx", (F.round("value", 2) + 0.0).alias("value"))
@@ -465,7 +474,11 @@ def das_spectrum_norm(spark, sf_dir):
     return amplitude(spectral.spectrum(embeddings(spark, sf_dir), norm=True))
 
 
-@query("das_spectrogram", f"WITH {PRE}, q AS (SELECT ch, i + 15 AS i, x FROM p3), {dft_sql('q', 95, 47)} SELECT ch::DOUBLE AS channel, k AS freq_idx, k * ({64 / 95!r}::DOUBLE) AS freq, round(2.0 / 95 * sqrt(re * re + im * im), 6) + 0.0 AS amplitude FROM dft")
+def spectrogram_sql() -> str:
+    return f"WITH {PRE}, q AS (SELECT ch, i + 15 AS i, x FROM p3), {dft_sql('q', 95, 47)} SELECT ch::DOUBLE AS channel, k AS freq_idx, k * ({64 / 95!r}::DOUBLE) AS freq, round(2.0 / 95 * sqrt(re * re + im * im), 6) + 0.0 AS amplitude FROM dft"
+
+
+@query("das_spectrogram", spectrogram_sql())
 def das_spectrogram(spark, sf_dir):
     return amplitude(spectral.spectrogram(embeddings(spark, sf_dir)))
 
@@ -495,10 +508,16 @@ def das_channel_spectrogram(spark, sf_dir):
     return spectral.channel_spectrogram(embeddings(spark, sf_dir), 5).drop("record_id").withColumn("power", r6("power"))
 
 
-HILBERT = f"""{E}, {dft_sql('x', 64, 33)}, h AS (SELECT dft.ch, i, sum(CASE WHEN k IN (0, 32) THEN 0 ELSE 2 END * (re * sin(2 * pi() * ((k * i) % 64) / 64) + im * cos(2 * pi() * ((k * i) % 64) / 64))) / 64 AS h FROM dft, (SELECT unnest(range(64))::BIGINT AS i) GROUP BY dft.ch, i),
+def hilbert_sql(base: str, n: int) -> str:
+    """Relation y(ch, i, x, h) of an even number of samples: h the Hilbert transform."""
+    half, turn = n // 2, f"2 * pi() * ((k * i) % {n}) / {n}"
+    return f"""{base}, {dft_sql('x', n, half + 1)}, h AS (SELECT dft.ch, i, sum(CASE WHEN k IN (0, {half}) THEN 0 ELSE 2 END * (re * sin({turn}) + im * cos({turn}))) / {n} AS h FROM dft, (SELECT unnest(range({n}))::BIGINT AS i) GROUP BY dft.ch, i),
 y AS (SELECT x.ch, x.i, x, h FROM x JOIN h USING (ch, i))"""
 
 
+HILBERT = hilbert_sql(E, 64)
+
+
 @query("das_hilbert", f"WITH {HILBERT} SELECT ch::DOUBLE AS channel, i AS sample_idx, round(x, 6) + 0.0 AS re, round(h, 6) + 0.0 AS im FROM y")
 def das_hilbert(spark, sf_dir):
     rows = spectral.hilbert(embeddings(spark, sf_dir)).select("channel", F.posexplode("analytic").alias("sample_idx", "z"))
