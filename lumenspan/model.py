@@ -98,10 +98,10 @@ class Record:
         long = self.traces.select(*columns, F.posexplode("samples").alias("sample_idx", "value"))
         return long.withColumn("sample_idx", F.col("sample_idx").cast("long"))
 
-    def times(self, time_type: str = "UTC") -> DataFrame:
-        """sample_idx and time for the actual number of rows: a timestamp (UTC), an ISO string (isoformat) or days since
-        1970-01-01 (matplotlib)."""
-        micros = F.round(F.col("id") * (1e6 / self.meta.fs)).cast("long")
+    def _time(self, index: Column, time_type: str) -> Column:
+        """When sample number index was taken: a timestamp (UTC), an ISO string (isoformat) or days since 1970-01-01
+        (matplotlib)."""
+        micros = F.round(index * (1e6 / self.meta.fs)).cast("long")
         stamp = F.timestamp_add("MICROSECOND", micros, F.lit(self.meta.start_time).cast("timestamp_ntz"))
         epoch = F.unix_micros(stamp.cast("timestamp"))
         kinds = {
@@ -112,8 +112,16 @@ class Record:
         }
         if time_type not in kinds:
             raise ValueError(f"time_type must be one of {sorted(kinds)}")
+        return kinds[time_type]
+
+    def times(self, time_type: str = "UTC") -> DataFrame:
+        """sample_idx and time for the actual number of rows."""
         index = self.traces.sparkSession.range(self.meta.n)
-        return index.select(F.col("id").alias("sample_idx"), kinds[time_type].alias("time"))
+        return index.select(F.col("id").alias("sample_idx"), self._time(F.col("id"), time_type).alias("time"))
+
+    def timed_samples(self, time_type: str = "UTC") -> DataFrame:
+        """The sample layout with each sample's time."""
+        return self.samples().withColumn("time", self._time(F.col("sample_idx"), time_type))
 
     def metadata(self) -> DataFrame:
         """(key, value) rows of all metadata and properties."""

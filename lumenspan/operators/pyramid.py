@@ -64,12 +64,11 @@ def level_for(samples: int, channels: int, pixels: tuple[int, int], levels: int,
     return levels - 1
 
 
-def view(spark: SparkSession, path: str, samples: tuple[int, int], channels: tuple[int, int], pixels: tuple[int, int], base: int = 64, factor: int = 4) -> DataFrame:
+def view(spark: SparkSession, path: str, levels: int, samples: tuple[int, int], channels: tuple[int, int], pixels: tuple[int, int], base: int = 64, factor: int = 4) -> DataFrame:
     """record_id, first_sample, first_channel, low, high of the cells that reach into [samples) and [channels), from the
-    one level of a written pyramid that fits the pixels; no other level is read."""
-    levels = spark.read.parquet(path).select("level").distinct().count()
+    one level of a written pyramid of `levels` that fits the pixels; no other level is opened."""
     level = level_for(samples[1] - samples[0], channels[1] - channels[0], pixels, levels, base, factor)
     wide, high = base * factor**level, factor**level
-    rows = spark.read.parquet(path).where(F.col("level") == level)
+    rows = spark.read.parquet(f"{path}/level={level}")
     rows = rows.where(F.col("time_block").between(samples[0] // wide, (samples[1] - 1) // wide) & F.col("channel_block").between(channels[0] // high, (channels[1] - 1) // high))
     return rows.select("record_id", (F.col("time_block") * wide).alias("first_sample"), (F.col("channel_block") * high).alias("first_channel"), "low", "high")

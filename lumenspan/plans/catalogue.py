@@ -113,22 +113,27 @@ def das_get_channel(spark, sf_dir):
     return long(Record(space.get_data(record, 42), record.meta))
 
 
-TIMES = "FROM (SELECT unnest(range(64))::BIGINT AS i)"
+def times_sql(time: str) -> str:
+    return f"WITH {E} SELECT ch::DOUBLE AS channel, i AS sample_idx, round(x, 6) + 0.0 AS value, {time} AS time FROM x"
 
 
-@query("das_times_utc", f"SELECT i AS sample_idx, TIMESTAMP '2024-01-01' + to_microseconds(i * 15625) AS time {TIMES}")
+def timed(record: Record, time_type: str) -> DataFrame:
+    return record.timed_samples(time_type).select("channel", "sample_idx", r6("value").alias("value"), "time")
+
+
+@query("das_times_utc", times_sql("TIMESTAMP '2024-01-01' + to_microseconds(i * 15625)"))
 def das_times_utc(spark, sf_dir):
-    return embeddings(spark, sf_dir).times()
+    return timed(embeddings(spark, sf_dir), "UTC")
 
 
-@query("das_times_isoformat", f"SELECT i AS sample_idx, strftime(TIMESTAMP '2024-01-01' + to_microseconds(i * 15625), '%Y-%m-%dT%H:%M:%S.%fZ') AS time {TIMES}")
+@query("das_times_isoformat", times_sql("strftime(TIMESTAMP '2024-01-01' + to_microseconds(i * 15625), '%Y-%m-%dT%H:%M:%S.%fZ')"))
 def das_times_isoformat(spark, sf_dir):
-    return embeddings(spark, sf_dir).times("isoformat")
+    return timed(embeddings(spark, sf_dir), "isoformat")
 
 
-@query("das_times_matplotlib", f"SELECT i AS sample_idx, round((epoch_us(TIMESTAMP '2024-01-01') + i * 15625) / 86400000000.0, 9)::DOUBLE AS time {TIMES}")
+@query("das_times_matplotlib", times_sql("round((epoch_us(TIMESTAMP '2024-01-01') + i * 15625) / 86400000000.0, 9)::DOUBLE"))
 def das_times_matplotlib(spark, sf_dir):
-    return embeddings(spark, sf_dir).times("matplotlib").select("sample_idx", F.round("time", 9).alias("time"))
+    return timed(embeddings(spark, sf_dir), "matplotlib").withColumn("time", F.round("time", 9))
 
 
 @query("das_downsample", f"WITH {E} " + out() + " WHERE ch % 2 = 0")

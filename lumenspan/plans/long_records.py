@@ -18,14 +18,10 @@ from lumenspan.plans.records import embeddings, events, lineitem
 V_CHUNK, E_CHUNK, L_CHUNK, CELLS = 100, 10, 300, 1 << 12
 
 
-def long_chunks(record: chunks.Chunked):
-    """channel, sample_idx, value, rounded."""
+def long_chunks(record: chunks.Chunked, places: int = 6):
+    """channel, sample_idx, value, rounded once."""
     rows = record.chunks.select("channel", "start", F.posexplode("samples").alias("i", "value"))
-    return rows.select("channel", (F.col("start") + F.col("i")).cast("long").alias("sample_idx"), r6("value").alias("value"))
-
-
-def coarse(rows, places: int):
-    return rows.withColumn("value", F.round("value", places) + 0.0)
+    return rows.select("channel", (F.col("start") + F.col("i")).cast("long").alias("sample_idx"), (F.round("value", places) + 0.0).alias("value"))
 
 
 def e(spark, sf_dir):
@@ -102,7 +98,7 @@ def das_long_preprocess(spark, sf_dir):
 
 @query("das_long_integrate", c.INTEGRAL)
 def das_long_integrate(spark, sf_dir):
-    return coarse(long_chunks(chunkmath.integrate(v(spark, sf_dir))), 4)
+    return long_chunks(chunkmath.integrate(v(spark, sf_dir)), 4)
 
 
 @query("das_long_rmsa", c.RMSA)
@@ -139,7 +135,7 @@ def das_long_lowpass_fir(spark, sf_dir):
 
 @query("das_long_fir_decimate", c.FIR_DECIMATE)
 def das_long_fir_decimate(spark, sf_dir):
-    return coarse(long_chunks(windows.fir_decimate(chunks.chunked(lineitem(spark, sf_dir), L_CHUNK), 4, size=L_CHUNK)), 2)
+    return long_chunks(windows.fir_decimate(chunks.chunked(lineitem(spark, sf_dir), L_CHUNK), 4, size=L_CHUNK), 2)
 
 
 # --- recursive filters ----------------------------------------------------------------------------------------------
@@ -150,16 +146,16 @@ def das_long_bandpass_zerophase(spark, sf_dir):
 
 @query("das_long_decimate_cheby1", c.CHEBY1)
 def das_long_decimate_cheby1(spark, sf_dir):
-    return coarse(long_chunks(chunkmath.decimate_cheby(v(spark, sf_dir), 4)), 4)
+    return long_chunks(chunkmath.decimate_cheby(v(spark, sf_dir), 4), 4)
 
 
 # --- many recordings --------------------------------------------------------------------------------------------------
 #: Fifty recordings of V: number, first hour, length; they overlap in every way, and leave gaps.
 PARTS = [(r, 14 * r + (r * 37) % 23, 4 + (r * 11) % 29) for r in range(50)]
 MANY = f"""WITH {c.V}, r(r, a, n) AS (VALUES {', '.join(map(str, PARTS))}), p AS (SELECT r, a, least(n, 720 - a) AS n FROM r WHERE a < 720),
-s AS (SELECT ch, i, arg_min(x + 1000 * r, (a, r)) AS x FROM x JOIN p ON i >= a AND i < a + n GROUP BY ch, i),
+spoken AS (SELECT ch, i, arg_min(x + 1000 * r, (a, r)) AS x FROM x JOIN p ON i >= a AND i < a + n GROUP BY ch, i),
 g AS (SELECT ch, unnest(range((SELECT max(a + n) FROM p)))::BIGINT AS i FROM (SELECT DISTINCT ch FROM x))
-SELECT ch::DOUBLE AS channel, g.i - (SELECT min(a) FROM p) AS sample_idx, round(coalesce(x, -1.5), 6) + 0.0 AS value FROM g LEFT JOIN s USING (ch, i) WHERE g.i >= (SELECT min(a) FROM p)"""
+SELECT ch::DOUBLE AS channel, g.i - (SELECT min(a) FROM p) AS sample_idx, round(coalesce(x, -1.5), 6) + 0.0 AS value FROM g LEFT JOIN spoken USING (ch, i) WHERE g.i >= (SELECT min(a) FROM p)"""
 
 
 @query("das_concat_many", MANY)
@@ -172,7 +168,7 @@ def das_concat_many(spark, sf_dir):
     met = whole.chunks.drop("record_id").join(F.broadcast(table), reach)
     lo = F.greatest(F.col("a") - F.col("start"), F.lit(0))
     hi = F.least(F.col("a") + F.col("n") - F.col("start"), F.size("samples").cast("long"))
-    own = F.transform(F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")), lambda x: x + F.col("r") * 1000)
+    own = F.transform(F.slice("samples", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), lambda x: x + F.col("r") * 1000)
     rows = met.select("record_id", "channel_pos", "channel", (F.col("start") + lo - F.col("a")).alias("start"), own.alias("samples"))
     return long_chunks(sweep.concatenate_all(rows, table, replace(whole.meta), -1.5, gap_row=8))
 

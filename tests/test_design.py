@@ -97,3 +97,31 @@ def test_a_bad_value_spoils_only_what_follows():
     y = kernels.sos_filter(x, sos)
     assert np.isfinite(y[0, :200]).all() and np.isnan(y[0, 200:]).all() and np.isfinite(y[1]).all()
     assert np.allclose(y[0, :200], y[1, :200])
+
+
+def test_the_least_number_of_steps_that_the_order_allows():
+    """Bisection finds what trying step after step does; polynomials are the sections' product."""
+    from lumenspan.functions import design
+    from lumenspan.operators import filters
+
+    for freq, fs, most in ((16.0, 64.0, 12), (10.0, 100.0, 12), (3.0, 500.0, 6), (30.0, 64.0, 40)):
+        steps = next(k for k in range(1, 5000) if design.cheb2_order(freq / (fs / 2) * 0.99**k, freq / (fs / 2), 1, 96)[0] <= most)
+        sos, edge = filters.cheby_2_sections(freq, fs, most)
+        assert np.isclose(edge, freq * 0.99**steps)
+        b, a = filters.cheby_2_polynomials(freq, fs, most)
+        assert len(a) <= 2 * len(sos) + 1
+        if freq < fs / 8:
+            continue  # polynomials of narrow filters lose digits
+        z = np.exp(-1j * np.linspace(0.01, 3.1, 50))
+        by_sections = np.prod([(s[0] + s[1] * z + s[2] * z**2) / (s[3] + s[4] * z + s[5] * z**2) for s in sos], axis=0)
+        assert np.allclose(np.polyval(b[::-1], z) / np.polyval(a[::-1], z), by_sections, atol=1e-6)
+
+
+def test_periodic_sinc_sums_the_passing_bins():
+    from lumenspan.functions import design
+    from lumenspan.operators import filters
+
+    for freq, fs, n in ((10.0, 64.0, 64), (9.7, 64.0, 65), (0.1, 64.0, 64), (31.9, 64.0, 64), (40.0, 64.0, 64), (40.0, 64.0, 33)):
+        passes = np.abs(np.fft.fftfreq(n, 1 / fs)) < freq
+        kernel = np.array([sum(np.exp(2j * np.pi * k * j / n) for k in np.flatnonzero(passes)) for j in np.arange(n) - n // 2]) / n
+        assert np.allclose(filters.sinc_taps(freq, fs, n), np.abs(kernel) * design.kaiser(n, 11.7), atol=1e-12)

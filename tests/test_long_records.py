@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import kernels
 from lumenspan.model import RecordMeta, from_matrix
-from lumenspan.operators import aggregates, chunkmath, chunks, filters, longfft, spectral, timeaxis, windows
+from lumenspan.operators import aggregates, chunkmath, chunks, filters, longfft, pyramid, spectral, sweep, timeaxis, windows
 
 META = RecordMeta(fs=100.0, n=0, start_time=datetime(2024, 1, 1))
 
@@ -182,3 +182,81 @@ def test_no_chunks(spark):
     none = replace(uneven(record, [0]), chunks=uneven(record, [0]).chunks.limit(0))
     for frame in (longfft.transform(none), longfft.hilbert(none), chunkmath.detrend(none).chunks, chunkmath.rmsa(none), chunkmath.peak_to_peak(none), windows.psd(none), windows.lowpass_fir(none, 10.0, 16).chunks, chunkmath.decimate_cheby(none, 2).chunks):
         assert frame.count() == 0
+
+
+# --- many recordings ---------------------------------------------------------------------------------------------
+def joined(parts, fill):
+    """parts: (id, first, {channel: values}); the earliest recording that covers a sample speaks."""
+    total = max(first + len(next(iter(v.values()))) for _, first, v in parts)
+    channels = sorted({c for _, _, v in parts for c in v})
+    out = np.full((len(channels), total), fill)
+    for i, c in enumerate(channels):
+        taken = np.zeros(total, bool)
+        for _, first, values in sorted((p for p in parts if c in p[2]), key=lambda p: (p[1], p[0])):
+            span = np.arange(first, first + len(values[c]))
+            free = ~taken[span]
+            out[i, span[free]] = values[c][free]
+            taken[span] = True
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_concatenate_all(spark, seed):
+    """Overlaps in every way, recordings within others, equal starts, gaps, channels that some recordings lack."""
+    rng = np.random.default_rng(seed)
+    parts = []
+    for r in range(12):
+        first = int(rng.integers(0, 300)) if r else 0
+        n = int(rng.integers(1, 60))
+        labels = [1.0, 2.0, 7.5] if r % 4 else [2.0, 7.5]
+        parts.append((f"r{r:02d}", first, {c: rng.normal(size=n) for c in labels}))
+    parts.append(("r99", parts[3][1], {c: rng.normal(size=70) for c in (1.0, 2.0)}))
+    rows, records = [], []
+    for k, first, values in parts:
+        n = len(next(iter(values.values())))
+        records.append((k, datetime(2024, 1, 1) + first * (datetime(2024, 1, 2) - datetime(2024, 1, 1)) / 86400 / 100, 100.0, n))
+        for i, (c, x) in enumerate(values.items()):
+            at = 0
+            while at < n:
+                size = int(rng.integers(1, 25))
+                rows.append((k, i, c, at, [float(v) for v in x[at : at + size]]))
+                at += size
+    frame = spark.createDataFrame(rows, "record_id string, channel_pos int, channel double, start long, samples array<double>")
+    table = spark.createDataFrame(records, "record_id string, start_time timestamp_ntz, fs double, n long")
+    got = sweep.concatenate_all(frame, table, META, -3.0, gap_row=7)
+    whole = np.array([r["samples"] for r in chunks.gathered(got).traces.orderBy("channel").collect()])
+    assert got.meta.n == whole.shape[1]
+    assert np.array_equal(whole, joined(parts, -3.0))
+    ends = got.chunks.selectExpr("channel", "start", "start + size(samples) AS end").orderBy("channel", "start").collect()
+    for a, b in zip(ends, ends[1:]):
+        assert a.channel != b.channel or a.end == b.start
+
+
+def test_concatenate_all_needs_one_frequency(spark):
+    table = spark.createDataFrame([("a", META.start_time, 1.0, 5), ("b", META.start_time, 2.0, 5)], "record_id string, start_time timestamp_ntz, fs double, n long")
+    frame = spark.createDataFrame([], "record_id string, channel_pos int, channel double, start long, samples array<double>")
+    with pytest.raises(ValueError, match="sampling frequency"):
+        sweep.concatenate_all(frame, table, META)
+    assert sweep.concatenate_all(frame, table.limit(0), META).chunks.count() == 0
+
+
+# --- pyramids ------------------------------------------------------------------------------------------------------
+def test_pyramid_and_views(spark, tmp_path):
+    record = made(spark, 437, channels=9)
+    cut, x = uneven(record, CUTS[1]), matrix(record)
+    path = str(tmp_path / "pyramid")
+    pyramid.write(cut, path, 3, base=5, factor=3)
+    rows = pyramid.pyramid(cut, 3, 5, 3).collect()
+    written = spark.read.parquet(path)
+    assert sorted(map(tuple, written.select("level", "record_id", "channel_block", "time_block", "low", "high").collect())) == sorted(map(tuple, rows))
+    for r in rows:
+        f = 3**r.level
+        cell = x[r.channel_block * f : (r.channel_block + 1) * f, r.time_block * 5 * f : (r.time_block + 1) * 5 * f]
+        assert (r.low, r.high) == (cell.min(), cell.max())
+    assert len(rows) == 9 * 88 + 3 * 30 + 1 * 10
+    seen = pyramid.view(spark, path, 3, (100, 250), (2, 8), (11, 4), base=5, factor=3)
+    assert {(r.first_sample, r.first_channel) for r in seen.collect()} == {(s, c) for s in range(90, 250, 15) for c in (0, 3, 6)}
+    files = seen.inputFiles()
+    assert files and all("level=1" in f for f in files)
+    assert pyramid.level_for(437, 9, (1, 1), 3, 5, 3) == 2
+    assert pyramid.level_for(437, 9, (88, 9), 3, 5, 3) == 0
