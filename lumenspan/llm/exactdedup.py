@@ -167,9 +167,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
     narrow = alike.select(F.sha2("bare", 256).alias("sha"), F.xxhash64("bare").alias("other"), "rows", place)
     groups = narrow.groupBy("sha").agg(F.sum("rows").alias("rows"), F.min("place").alias("best"), F.min("other").alias("a"), F.max("other").alias("b"))
     size = F.when(F.col("a") == F.col("b"), F.col("rows")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
-    groups = groups.select("sha", "best", size.cast("long").alias("group_size"))
+    groups = cut(groups.select("sha", "best", size.cast("long").alias("group_size")))
     one = suspects.groupBy("sha", "chars", "doc_id").agg(F.count("*").alias("copies"))  # repeated rows
-    each = one.join(groups, "sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    each = one.join(small(groups), "sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     kept = (F.col("copy") == 1) & (-F.col("chars") == F.col("best.fewer")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
     shared = each.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
     alone = seen.where("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
