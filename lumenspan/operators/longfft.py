@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions.arrays import lists, repeated, vectors
 from lumenspan.operators.chunkmath import preprocess
-from lumenspan.operators.chunks import Chunked
+from lumenspan.operators.chunks import CHUNKS, Chunked
 
 #: About as many complex numbers meet in a task.
 CELLS = 1 << 20
@@ -404,3 +404,60 @@ def band_kept(record: Chunked, band: tuple[float, float], size: int = 1 << 16, c
     fs = record.meta.fs
     gain = lambda k, n: ((np.minimum(k, n - k) * fs / n >= band[0]) & (np.minimum(k, n - k) * fs / n <= band[1])).astype(float)
     return Chunked(filtered(record, gain, size, cells).select(*KEYS, "start", F.col("re").alias("samples")), replace(record.meta))
+
+
+# --- over channels too ---------------------------------------------------------------------------------------------
+def _across(table: pa.Table, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The channel numbers of a group and the matrix of its rows; channels that are missing are 0."""
+    positions = table.column("channel_pos").to_numpy()
+    parts = complexes(table)
+    x = np.zeros((channels, max(len(z) for z in parts)), complex)
+    for p, z in zip(positions, parts):
+        x[p, : len(z)] = z
+    return positions, x
+
+
+def fk_spectrum(record: Chunked, channels: int, cells: int = CELLS) -> DataFrame:
+    """As spectral.fk_spectrum: record_id, k_idx, freq_idx (both centred), k (per metre), freq, magnitude.
+
+    The transform along time leaves every channel's bins in rows; pieces of these, of all channels, meet in a task and are
+    transformed along the channels. A task holds `cells` numbers, or one bin of all channels."""
+    n, fs, dx = record.meta.n, record.meta.fs, record.meta.spatial_interval
+    width = max(1, cells // channels)
+    piece = lambda c, p: F.slice(c, p * width + 1, F.lit(width))
+    bins = transform(record, cells=cells)
+    parts = bins.select("record_id", "channel_pos", "first", "step", "re", "im", F.explode(F.sequence(F.lit(0), F.floor((F.size("re") - 1) / width).cast("int"))).alias("part"))
+    parts = parts.select("record_id", "channel_pos", "first", "step", "part", piece("re", F.col("part")).alias("re"), piece("im", F.col("part")).alias("im"))
+
+    def run(table: pa.Table) -> pa.Table:
+        _, x = _across(table, channels)
+        x = np.abs(np.fft.fft(x, axis=0))
+        same = lambda c, t: pa.array([table.column(c)[0].as_py()] * channels, t)
+        return pa.table({
+            "record_id": same("record_id", pa.string()), "first": same("first", pa.int64()), "step": same("step", pa.int64()), "part": same("part", pa.int32()),
+            "m": pa.array(np.arange(channels), pa.int64()), "magnitude": lists(list(x)),
+        })
+
+    found = parts.groupBy("record_id", "first", "part").applyInArrow(run, "record_id string, first long, step long, part int, m long, magnitude array<double>")
+    rows = found.select("record_id", "m", "first", "step", "part", F.posexplode("magnitude").alias("i", "magnitude"))
+    centred = lambda c, size: (c + size // 2) % size
+    k, f = centred(F.col("m"), channels), centred(F.col("first") + F.col("step") * (F.col("part") * width + F.col("i")), n)
+    return rows.select(
+        "record_id", k.cast("long").alias("k_idx"), f.cast("long").alias("freq_idx"),
+        ((k - channels // 2) / F.lit(channels * dx)).alias("k"), ((f - n // 2) * F.lit(fs / n)).alias("freq"), "magnitude",
+    )
+
+
+def fk_filter(record: Chunked, channels: int, freq_band: tuple[float, float], k_band: tuple[float, float], cells: int = CELLS) -> Chunked:
+    """As spectral.fk_filter, in chunks: |frequency| within its band over whole channels, then |wavenumber| within its band,
+    where chunks of all channels meet, so long that a task holds `cells` numbers."""
+    dx = record.meta.spatial_interval
+    keep = (np.abs(np.fft.fftfreq(channels, dx)) >= k_band[0]) & (np.abs(np.fft.fftfreq(channels, dx)) <= k_band[1])
+    timed = band_kept(record, freq_band, max(1, cells // channels), cells).chunks
+
+    def run(table: pa.Table) -> pa.Table:
+        positions, x = _across(table.append_column("re", table.column("samples")).append_column("im", pa.array([[]] * table.num_rows, pa.list_(pa.float64()))), channels)
+        x = np.fft.ifft(np.fft.fft(x, axis=0) * keep[:, None], axis=0).real[positions]
+        return table.set_column(table.schema.get_field_index("samples"), "samples", lists(list(x)))
+
+    return Chunked(timed.select(*KEYS, "start", "samples").groupBy("record_id", "start").applyInArrow(run, CHUNKS), record.meta)

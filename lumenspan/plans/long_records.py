@@ -32,6 +32,10 @@ def v(spark, sf_dir):
     return chunks.chunked(events(spark, sf_dir), V_CHUNK)
 
 
+def channels_of(spark, sf_dir) -> int:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
 # --- transforms --------------------------------------------------------------------------------------------------
 PRE_V = ", ".join([c.V, c.detrend_sql("p1", "x"), c.demean_sql("p2", "p1"), c.taper_sql("p3", "p2", 720, 0.05)])
 
@@ -80,6 +84,18 @@ def das_long_envelope_ref(spark, sf_dir):
     return long_chunks(longfft.envelope_ref(e(spark, sf_dir), E_CHUNK, CELLS))
 
 
+@query("das_long_fk_spectrum", c.FK)
+def das_long_fk_spectrum(spark, sf_dir):
+    record = e(spark, sf_dir)
+    rows = longfft.fk_spectrum(record, channels_of(spark, sf_dir)).drop("record_id")
+    return rows.withColumn("magnitude", F.round("magnitude", 4) + 0.0)
+
+
+@query("das_long_fk_filter", c.FK_FILTER + out(t="z"))
+def das_long_fk_filter(spark, sf_dir):
+    return long_chunks(longfft.fk_filter(e(spark, sf_dir), channels_of(spark, sf_dir), (5.0, 20.0), (0.0, 0.25)))
+
+
 # --- moments, sums, extremes --------------------------------------------------------------------------------------
 @query("das_long_detrend", f"WITH {c.V}, {c.detrend_sql('y', 'x')} " + out(t="y"))
 def das_long_detrend(spark, sf_dir):

@@ -88,6 +88,19 @@ def test_hilbert_and_envelopes(spark, n):
     assert np.allclose(held(longfft.band_kept(cut, (3.0, 20.0), 64, 60)), matrix(spectral.fk_filter(record, 3, (3.0, 20.0), (0.0, 9.0))), atol=1e-8)
 
 
+@pytest.mark.parametrize("n", [60, 97])
+@pytest.mark.parametrize("cells", [40, 1 << 20])
+def test_fk(spark, n, cells):
+    record = made(spark, n, channels=7)
+    cut = uneven(record, [0, 1, 9, 50])
+    key = lambda r: (r.k_idx, r.freq_idx)
+    got, want = sorted(longfft.fk_spectrum(cut, 7, cells).collect(), key=key), sorted(spectral.fk_spectrum(record, 7).collect(), key=key)
+    assert [tuple(r)[1:5] for r in got] == [tuple(r)[1:5] for r in want]
+    assert np.allclose([r.magnitude for r in got], [r.magnitude for r in want], atol=1e-8)
+    bands = (3.0, 30.0), (0.1, 0.3)
+    assert np.allclose(held(longfft.fk_filter(cut, 7, *bands, cells)), matrix(spectral.fk_filter(record, 7, *bands)), atol=1e-8)
+
+
 @pytest.mark.parametrize("order", [0, 1, 2, 3, 4, 5])
 def test_detrend(pair, order):
     record, cut = pair
