@@ -5,6 +5,7 @@ needs of the others; then chunks are worked on alone. Sums by segment or window
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -83,9 +84,12 @@ def detrend(record: Chunked, order: int = 1) -> Chunked:
 
 
 def taper(record: Chunked, frac: float = 0.05) -> Chunked:
-    """As timeaxis.taper, by the number of each sample in the record."""
+    """As timeaxis.taper, by the number of each sample in the record; chunks that lie inside stay as they are."""
     n = record.meta.n
-    return record.with_samples(let(F.col("start"), lambda s: F.transform("samples", lambda v, i: v * tukey_weight(i + s, n, 2 * frac))))
+    width = math.floor(min(2 * frac, 1.0) * (n - 1) / 2)
+    edge = (F.col("start") <= width) | (F.col("start") + F.size("samples") >= n - width)
+    tapered = let(F.col("start"), lambda s: F.transform("samples", lambda v, i: v * tukey_weight(i + s, n, 2 * frac)))
+    return record.with_samples(F.when(edge, tapered).otherwise(F.col("samples")))
 
 
 def preprocess(record: Chunked, order: int = 1) -> Chunked:
@@ -239,8 +243,8 @@ def decimate_cheby(record: Chunked, factor: int, pad: int = 27) -> Chunked:
     sos = design.iir_sos("cheby1", 8, 0.8 / factor, "lowpass", 0.05)
     rows = record.chunks.where(F.size("samples") > 0)
     near = rows.where((F.col("start") <= pad) | (F.col("start") + F.size("samples") >= n - pad))
-    own = near.select("record_id", "channel_pos", "channel", F.inline(F.transform("samples", lambda v, i: F.struct((F.col("start") + i).alias("at"), v.alias("v")))))
-    own = own.where((F.col("at") <= pad) | (F.col("at") >= n - 1 - pad))
+    placed = F.transform("samples", lambda v, i: F.struct((F.col("start") + i).alias("at"), v.alias("v")))
+    own = near.select("record_id", "channel_pos", "channel", F.inline(F.filter(placed, lambda p: (p["at"] <= pad) | (p["at"] >= n - 1 - pad))))
     ends = own.groupBy("record_id", "channel_pos", "channel").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("e"))
 
     def extended(batches):
@@ -260,6 +264,13 @@ def decimate_cheby(record: Chunked, factor: int, pad: int = 27) -> Chunked:
         longer = longer.unionByName(ends.mapInArrow(extended, CHUNKS))
     both = steady_pass(steady_pass(Chunked(longer, record.meta), sos, False), sos, True).chunks
     inside = both.where((F.col("start") >= 0) & (F.col("start") < n))
-    kept = let(F.col("start"), lambda s: F.filter("samples", lambda v, i: (i + s) % factor == 0))
-    picked = inside.select("record_id", "channel_pos", "channel", F.ceil(F.col("start") / factor).alias("start"), kept.alias("samples"))
+
+    def strided(batches):
+        for batch in batches:
+            starts = batch.column("start").to_numpy()
+            out = [x[-s % factor :: factor] for s, x in zip(starts, vectors(batch.column("samples")))]
+            keys = [batch.column(c) for c in ("record_id", "channel_pos", "channel")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(-(-starts // factor)), lists(out)], [*COLUMNS, "samples"])
+
+    picked = inside.select(*COLUMNS, "samples").mapInArrow(strided, CHUNKS)
     return Chunked(picked.where(F.size("samples") > 0), replace(record.meta, fs=record.meta.fs / factor, n=-(-n // factor)))
