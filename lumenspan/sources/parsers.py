@@ -7,6 +7,7 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -74,15 +75,26 @@ class _Reader:
         return self.take({"i1": "b", "u1": "B", "i2": "h", "u2": "H", "i4": "i", "u4": "I", "i8": "q", "u8": "Q", "f4": "f", "f8": "d"}[_TYPES[kind]])
 
 
-def tdms_objects(data: bytes) -> tuple[dict[str, dict], dict[str, np.ndarray]]:
-    """Properties by object path, and values by channel path, of all segments."""
+@dataclass(frozen=True)
+class Piece:
+    """Values of a channel in a segment: `count` of a type from byte `offset` on, `step` bytes apart."""
+
+    offset: int
+    kind: str
+    count: int
+    step: int
+
+
+def tdms_layout(data) -> tuple[dict[str, dict], dict[str, list[Piece]]]:
+    """Properties by object path, and where each channel's values lie, from the headers of all segments: of a mapped file
+    nothing else is read."""
     properties: dict[str, dict] = {}
     layout: dict[str, tuple[str, int]] = {}
     active: list[str] = []
-    chunks: dict[str, list[np.ndarray]] = {}
+    pieces: dict[str, list[Piece]] = {}
     at = 0
     while at + 28 <= len(data):
-        if data[at : at + 4] != b"TDSm":
+        if bytes(data[at : at + 4]) != b"TDSm":
             raise ValueError("not a TDMS segment")
         toc = struct.unpack_from("<I", data, at + 4)[0]
         order = ">" if toc & _BIG else "<"
@@ -115,35 +127,59 @@ def tdms_objects(data: bytes) -> tuple[dict[str, dict], dict[str, np.ndarray]]:
             width = sum(np.dtype(layout[p][0]).itemsize * layout[p][1] for p in active)
             for _ in range((end - start) // width if width else 0):
                 if toc & _INTERLEAVED:
-                    kinds = np.dtype([(str(i), order + layout[p][0]) for i, p in enumerate(active)])
-                    rows = np.frombuffer(data, kinds, layout[active[0]][1], start)
-                    for i, p in enumerate(active):
-                        chunks.setdefault(p, []).append(rows[str(i)].astype(float))
+                    sizes = [np.dtype(layout[p][0]).itemsize for p in active]
+                    places = start + np.cumsum([0, *sizes[:-1]])
+                    found = [Piece(int(o), order + layout[p][0], layout[active[0]][1], sum(sizes)) for p, o in zip(active, places)]
                 else:
-                    offset = start
-                    for p in active:
-                        kind, count = np.dtype(order + layout[p][0]), layout[p][1]
-                        chunks.setdefault(p, []).append(np.frombuffer(data, kind, count, offset).astype(float))
-                        offset += kind.itemsize * count
+                    sizes = [np.dtype(layout[p][0]).itemsize * layout[p][1] for p in active]
+                    places = start + np.cumsum([0, *sizes[:-1]])
+                    found = [Piece(int(o), order + layout[p][0], layout[p][1], np.dtype(layout[p][0]).itemsize) for p, o in zip(active, places)]
+                for p, piece in zip(active, found):
+                    pieces.setdefault(p, []).append(piece)
                 start += width
         at = end
-    return properties, {p: np.concatenate(v) for p, v in chunks.items()}
+    return properties, pieces
+
+
+def piece_values(data, pieces: list[Piece], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A channel's values number first up to, not including, last; no byte of others is touched."""
+    out, at = [], 0
+    for p in pieces:
+        a, b = max(first - at, 0), p.count if last is None else min(last - at, p.count)
+        if a < b:
+            out.append(np.ndarray(b - a, p.kind, data, p.offset + a * p.step, p.step).astype(float))
+        at += p.count
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def tdms_objects(data) -> tuple[dict[str, dict], dict[str, np.ndarray]]:
+    """Properties by object path, and values by channel path, of all segments."""
+    properties, pieces = tdms_layout(data)
+    return properties, {p: piece_values(data, found) for p, found in pieces.items()}
 
 
-def silixa_tdms(data: bytes) -> Parsed:
-    properties, values = tdms_objects(data)
-    top = properties.get("/", {})
+def measurement_channels(pieces: dict[str, list[Piece]]) -> list[tuple[float, str]]:
+    """(label, path) of the channels of the group Measurement, by label."""
     prefix = "/'Measurement'/'"
-    labels = sorted((p for p in values if p.startswith(prefix)), key=lambda p: int(p[len(prefix) : -1]))
-    if not labels:
+    found = sorted((int(p[len(prefix) : -1]), p) for p in pieces if p.startswith(prefix))
+    if not found:
         raise ValueError("the file has no group Measurement with channels")
-    matrix = np.stack([values[p] for p in labels], axis=1)
-    meta = RecordMeta(
-        fs=float(top["SamplingFrequency[Hz]"]), n=len(matrix), start_time=from_iso(top["ISO8601 Timestamp"]), spatial_interval=float(top["SpatialResolution[m]"]),
+    return [(float(k), p) for k, p in found]
+
+
+def tdms_meta(top: dict, n: int) -> RecordMeta:
+    return RecordMeta(
+        fs=float(top["SamplingFrequency[Hz]"]), n=n, start_time=from_iso(top["ISO8601 Timestamp"]), spatial_interval=float(top["SpatialResolution[m]"]),
         gauge_length=float(top["GaugeLength"]), channel_offset=int(top.get("OffsetLength", 0)), company="silixa", format="tdms", units="counts",
         fiber=str(top.get("name", "")).split("_")[0], properties={k: str(v) for k, v in top.items()},
     )
-    return meta, matrix, [float(p[len(prefix) : -1]) for p in labels]
+
+
+def silixa_tdms(data) -> Parsed:
+    properties, pieces = tdms_layout(data)
+    channels = measurement_channels(pieces)
+    matrix = np.stack([piece_values(data, pieces[p]) for _, p in channels], axis=1)
+    return tdms_meta(properties.get("/", {}), len(matrix)), matrix, [k for k, _ in channels]
 
 
 # --- HDF5 layouts ---------------------------------------------------------------------------------------------------

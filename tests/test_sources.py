@@ -130,3 +130,38 @@ def test_data_source(spark, tmp_path):
     assert [(r["channel_pos"], r["channel"]) for r in rows] == [(0, 0.0), (1, 2.0)] * 2 and rows[1]["samples"] == [2, 5, 8, 11]
     with pytest.raises(Exception, match="no files"):
         reader.load(str(tmp_path / "none*")).count()
+
+
+@pytest.mark.parametrize("interleaved", [False, True])
+def test_tdms_in_chunks(spark, tmp_path, interleaved):
+    """Chunks across segments, channels by label, filters on both pushed into the plan."""
+    from lumenspan.sources import datasource
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-999, 999, size=(3, 40, 4)).astype("i2")
+    data = b"".join(tdms({str(3 * c): s[:, c].tolist() for c in range(4)}, PROPERTIES, interleaved) for s in x)
+    (tmp_path / "a.tdms").write_bytes(data)
+    datasource.register(spark)
+    whole = x.reshape(120, 4)
+    rows = spark.read.format("lumenspan_chunks").options(path=str(tmp_path / "a.tdms"), size=50).load()
+    assert rows.rdd.getNumPartitions() == 3
+    got = {(r.channel, r.start): r.samples for r in rows.collect()}
+    assert got == {(3.0 * c, s): whole[s : s + 50, c].tolist() for c in range(4) for s in (0, 50, 100)}
+    some = rows.where("channel IN (3.0, 9.0) AND start >= 50 AND size(samples) > 0")
+    assert some.rdd.getNumPartitions() == 2
+    assert sorted((r.channel_pos, r.channel, r.start) for r in some.collect()) == [(1, 3.0, 50), (1, 3.0, 100), (3, 9.0, 50), (3, 9.0, 100)]
+    traces = spark.read.format("lumenspan").options(path=str(tmp_path / "a.tdms")).load().where("channel = 6.0").collect()
+    assert [(r.channel_pos, r.samples) for r in traces] == [(2, whole[:, 2].tolist())]
+
+
+def test_only_the_wanted_bytes_of_a_tdms_file_are_touched():
+    """All other bytes may be anything."""
+    data = tdms({"0": [1] * 50, "1": list(range(50)), "2": [3] * 50}, PROPERTIES)
+    _, pieces = parsers.tdms_layout(data)
+    path = "/'Measurement'/'1'"
+    (piece,) = pieces[path]
+    blank = bytearray(b"\xff" * len(data))
+    blank[piece.offset + 20 * piece.step : piece.offset + 30 * piece.step] = data[piece.offset + 20 * piece.step : piece.offset + 30 * piece.step]
+    assert parsers.piece_values(bytes(blank), pieces[path], 20, 30).tolist() == list(range(20, 30))
+    assert parsers.piece_values(data, pieces[path], 45, 99).tolist() == list(range(45, 50))
+    assert parsers.piece_values(data, pieces[path], 60, 70).tolist() == []
