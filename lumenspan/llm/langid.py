@@ -224,7 +224,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose language is not rejected. Row by row: repeated rows share their fate."""
+    """The rows of docs, all columns, whose language is not rejected. Row by row: repeated rows share their fate.
+
+    Null texts and texts without a letter go, as they have no language, and all rows go where the model has none; further
+    columns pass whatever their names; an empty table stays empty."""
     shipped, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches):

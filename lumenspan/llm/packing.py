@@ -123,7 +123,8 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece of at most `capacity` ids (a text's ids, then end_id). Null or empty text: end_id alone.
-    A null doc_id stays null; repeated rows give their pieces again; extra columns are ignored."""
+    A null doc_id stays null; repeated rows give their pieces again; extra columns are ignored; an empty table gives no
+    rows."""
 
     def run(batches):
         tokenizer, end = word_tokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()

@@ -363,3 +363,28 @@ def test_word_cache_stays_bounded_and_right():
     assert len(cache.young) + len(cache.old) <= 26 and calls.count("the") == 1
     blob = "x" * 100
     assert cache.prepare([blob])[blob] == 100 and blob not in cache.prepare(["the"])
+
+
+# --- one run without spaces --------------------------------------------------------------------------------------------
+def unspaced(n: int = 40_000) -> list[str]:
+    """Letters at random, one letter, digits and marks, and letters of a script without spaces."""
+    rng = random.Random(8)
+    return ["".join(rng.choices("abcdefghijklmnop", k=n)), "a" * n, "".join(rng.choices("0123456789#*_", k=n)), "".join(rng.choices("日本語文字列の長い", k=n // 4))]
+
+
+@pytest.mark.parametrize("i", range(4))
+def test_long_runs_without_spaces(library, i):
+    text = unspaced()[i]
+    own = bytebpe.byte_tokenizer(MULTI, P.PATTERN)
+    ids = own.encode(text)
+    assert own.decode(ids) == text.encode()
+    if i != 1:  # the library takes quadratic time for one letter
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    assert packing.word_tokenizer(WORDS).ids([text])[0] == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_quality_of_long_runs_without_spaces(spark):
+    rows = [(i, "en", t) for i, t in enumerate(unspaced())] + [(10 + i, "en", f"plain words stand here for the {i}th time, more or less") for i in range(40)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string"), PIECES).collect()}
+    for doc_id, _, text in rows:
+        assert tuple(got[doc_id][c] for c in COLUMNS) == base(text)
