@@ -122,10 +122,15 @@ def candidates(words: Column) -> Column:
     return F.transform(F.filter(words, lambda w: (F.length(w) > 2) | F.regexp_like(w, F.lit(r"[\p{Lu}\p{Lo}\p{N}]"))), F.lower)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """A row (key, text) per distinct text."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A row (key, text) per distinct text, and their number. Only texts that occur more than once are shuffled; of the
+    others no more than the hash is."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64(text).alias("key"), text.alias("text")).dropDuplicates(["key"])
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("rows")))
+    again = small(cut(counts.where(F.col("rows") > 1).select("key")))
+    copies = rows.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return rows.join(again, "key", "left_anti").unionByName(copies), counts.count()
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -149,18 +154,51 @@ def mentions(found: DataFrame) -> DataFrame:
     return near.select("key", "entity", F.xxhash64(F.lower(F.array_join("words", " "))).alias("window"), F.array_distinct(candidates(F.col("words"))).alias("beside"))
 
 
-def disclosing(found: DataFrame, texts: DataFrame, min_contexts: int, share: float) -> DataFrame:
-    """(entity, term, both, df, mentions, ratio) of terms whose PMI with an entity is at least `share` of its information.
+def classes(rows: DataFrame, item: str, *kept: str) -> DataFrame:
+    """rows (item, key, kept; every pair once): per item size, x and y, which are equal for items with equal sets of keys
+    (but for chance, about 2^-128 a pair), and kept."""
+    own = F.xxhash64("key"), F.xxhash64("key", F.lit(1))
+    return rows.groupBy(item, *kept).agg(F.count("*").alias("size"), F.bit_xor(own[0]).alias("x"), F.bit_xor(own[1]).alias("y"))
 
-    found: key, body of the distinct texts that mention an entity; texts: key, text of all distinct texts, n in number.
-    A pair needs min_contexts distinct texts with both, or as many distinct contexts with the term beside a mention.
-    A ratio of share needs df <= mentions * (n / mentions) ** (1 - share), so only such words of a text meet its
-    entities, and only those entities that enough texts have; the pairs beside mentions are taken as they are."""
+
+def together(terms: DataFrame, owners: DataFrame, min_contexts: int, share: float) -> DataFrame:
+    """(term, ratio) of terms that disclose an entity by the texts that have both.
+
+    terms: key, term, df; owners: key, entity, mentions, n, most. Entities of the same texts have the same counts with any
+    term, and so have terms of the same texts, so one of each class is counted: a text of ten thousand entities and as many
+    terms that all stand in the same texts is one row."""
+    wide = owners.where(F.col("mentions") >= min_contexts)
+    alike = ["size", "x", "y", "mentions", "n", "most"]
+    spoken = cut(classes(wide, "entity", *alike[3:]).groupBy(*alike).agg(F.min("entity").alias("entity")))
+    wide = wide.join(small(spoken.select("entity")), "entity", "left_semi")
+    same = ["size", "x", "y", "df"]
+    known = cut(classes(terms.where(F.col("df") >= min_contexts), "term", "df").where(F.col("size") >= min_contexts))
+    first = cut(known.groupBy(*same).agg(F.min("term").alias("term")))
+    mine = terms.join(small(first.select("term")), "term", "left_semi")
+    both = mine.join(wide, "key").where("df <= most").groupBy("entity", "term", "df", "mentions", "n").agg(F.count("*").alias("both"))
+    found = both.where(F.col("both") >= min_contexts).select("term", ratio_of().alias("ratio")).where(F.col("ratio") >= share)
+    best = cut(found.groupBy("term").agg(F.max("ratio").alias("ratio")))
+    hit = cut(first.join(small(best), "term").drop("term"))
+    return known.join(small(hit), same).select("term", "ratio")
+
+
+def ratio_of() -> Column:
+    """PMI over the entity's information, from both, df, mentions and n."""
+    n, m = F.col("n"), F.col("mentions")
+    return F.log2(F.col("both") / F.greatest("df", "both") * n / m) / F.log2(n / m)
+
+
+def disclosing(found: DataFrame, texts: DataFrame, n_texts: int, min_contexts: int, share: float) -> DataFrame:
+    """(term, ratio) of terms whose PMI with an entity is at least `share` of its information, a row or two a term.
+
+    found: key, body of the distinct texts that mention an entity; texts: key, text of all distinct texts, n_texts in
+    number. A pair needs min_contexts distinct texts with both, or as many distinct contexts with the term beside a mention.
+    A ratio of share needs df <= mentions * (n / mentions) ** (1 - share) = most, so only such words meet an entity."""
     near = cut(mentions(found))
     entities = near.groupBy("entity").agg(F.count_distinct("key").alias("mentions"), F.count_distinct("window").alias("windows"))
-    n = F.greatest(F.lit(float(texts.count())), F.col("mentions") + 1.0)
-    often = cut(entities.where(F.greatest("mentions", "windows") >= min_contexts).withColumn("n", n).withColumn("most", F.col("mentions") * F.pow(F.col("n") / F.col("mentions"), F.lit(1 - share)) * (1 + 1e-9)))
-    owners = cut(near.select("key", "entity").distinct().join(small(often.drop("windows")), "entity"))
+    n = F.greatest(F.lit(float(n_texts)), F.col("mentions") + 1.0)
+    often = cut(entities.where(F.greatest("mentions", "windows") >= min_contexts).withColumn("n", n).withColumn("most", F.col("mentions") * F.pow(F.col("n") / F.col("mentions"), F.lit(1 - share)) * (1 + 1e-9)).drop("windows"))
+    owners = cut(near.select("key", "entity").distinct().join(small(often), "entity"))
     holders = small(cut(owners.select("key").distinct()))
     every = F.array_distinct(F.transform(words_of(masked(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
     # An outer explode: the plain one would work out the words once more, to see whether there are any.
@@ -168,35 +206,58 @@ def disclosing(found: DataFrame, texts: DataFrame, min_contexts: int, share: flo
     mine = found.join(holders, "key", "left_semi").select("key", F.explode(F.array_distinct(candidates(words_of(masked(F.col("body")))))).alias("term"))
     mine = cut(mine.withColumn("word", F.xxhash64("term")))
     known = cut(frequency.join(mine.select("word").distinct(), "word"))
-    held = mine.join(small(known), "word").drop("word")
-    wide = owners.where(F.col("mentions") >= min_contexts)
-    joint = held.where(F.col("df") >= min_contexts).join(wide, "key").where("df <= most").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_contexts)
+    held = cut(mine.join(small(known), "word").drop("word"))
+    joint = together(held, owners, min_contexts, share)
     beside = near.select("entity", "window", F.explode("beside").alias("term")).groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"))
-    close = cut(beside.where(F.col("windows") >= min_contexts).select("entity", "term"))
-    shared = owners.select("key", "entity").join(small(close), "entity").join(mine.select("key", "term"), ["key", "term"]).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = joint.unionByName(shared).distinct().withColumn("word", F.xxhash64("term")).join(small(known), "word").join(small(often.drop("windows", "most")), "entity")
-    n, m = F.col("n"), F.col("mentions")
-    ratio = F.log2(F.col("both") / F.greatest("df", "both") * n / m) / F.log2(n / m)
-    return cut(pairs.select("entity", "term", "both", "df", "mentions", ratio.alias("ratio")).where(F.col("ratio") >= share))
+    close = beside.where(F.col("windows") >= min_contexts).select("entity", "term", F.xxhash64("term").alias("word"))
+    close = cut(close.join(small(known), "word").join(small(often), "entity").where("df <= most").select("entity", "term", "df", "mentions", "n"))
+    met = held.select("key", "term").join(small(close), "term").join(owners.select("key", "entity"), ["key", "entity"])
+    counted = met.groupBy("entity", "term", "df", "mentions", "n").agg(F.count("*").alias("both"))
+    shared = counted.select("term", ratio_of().alias("ratio")).where(F.col("ratio") >= share)
+    return joint.unionByName(shared)
 
 
 def guilty_terms(docs: DataFrame, min_contexts: int, share: float) -> DataFrame:
     """(term, ratio): all disclosing terms with their highest ratio."""
     found = with_spans(docs).where(F.size("base") > 0).select("key", "body").dropDuplicates(["key"])
-    return cut(disclosing(cut(found), distinct_texts(docs), min_contexts, share).groupBy("term").agg(F.max("ratio").alias("ratio")))
+    pairs = disclosing(cut(found), *distinct_texts(docs), min_contexts, share)
+    return cut(pairs.groupBy("term").agg(F.max("ratio").alias("ratio")))
+
+
+#: Words of a text that are looked up at once.
+LOOKUP = 256
+
+
+def pieces_of(body: Column, full: Column, part: Column) -> Column:
+    """A masked text in pieces: gap (what stands before the word), word (null at the end), end (its place), level (2 for a
+    word in full, 1 for one in part, else 0). Words are looked up some at a time, by intersections, so that work is far
+    from the product of the words and the terms."""
+    gaps, words = F.split(body, TERM, -1), words_of(body)
+    steps = let(F.transform(gaps, F.length), lambda g: let(F.transform(words, F.length), lambda w: running(F.zip_with(g, w, lambda a, b: a + F.coalesce(b, F.lit(0))))))
+    name = lambda x: F.lower(x["word"])
+
+    def marked(some: Column) -> Column:
+        level = lambda x, f, p: F.when(F.array_contains(f, name(x)), 2).when(F.array_contains(p, name(x)), 1).otherwise(0)
+        row = lambda x, f, p: F.struct(x["gap"].alias("gap"), x["word"].alias("word"), x["end"].alias("end"), level(x, f, p).alias("level"))
+        met = lambda terms: let(F.transform(some, name), lambda w: F.array_intersect(w, terms))
+        return let(met(full), lambda f: let(met(part), lambda p: F.transform(some, lambda x: row(x, f, p))))
+
+    def every(z: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / LOOKUP).cast("int"))
+        return F.flatten(F.transform(blocks, lambda b: let(F.slice(z, b * LOOKUP + 1, F.lit(LOOKUP)), marked)))
+
+    return let(F.arrays_zip(gaps.alias("gap"), words.alias("word"), steps.alias("end")), every)
 
 
 def placed_terms(docs: DataFrame, guilty: DataFrame) -> DataFrame:
-    """For each distinct text with a guilty term, its masked text in pieces: key, i, gap (what stands before the word),
-    word (null at the end), end (its place), ratio (null for a plain word)."""
+    """key and pieces (pieces_of) of each distinct text with a guilty term; those of ratio 1 are full."""
     known = small(guilty)
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), masked(F.translate(F.coalesce("text", F.lit("")), "".join([*MARKS.values(), FILLER]), "�" * 5)).alias("body"))
-    hit = keyed.select("key", F.explode_outer(F.array_distinct(F.transform(words_of(F.col("body")), F.lower))).alias("term")).join(known, "term", "left_semi").select("key").distinct()
-    texts = keyed.join(small(cut(hit)), "key", "left_semi").dropDuplicates(["key"])
-    gaps, words = F.split("body", TERM, -1), words_of(F.col("body"))
-    steps = let(F.transform(gaps, F.length), lambda g: let(F.transform(words, F.length), lambda w: running(F.zip_with(g, w, lambda a, b: a + F.coalesce(b, F.lit(0))))))
-    parts = texts.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"), steps.alias("end"))).alias("i", "p")).select("key", "i", "p.gap", "p.word", "p.end")
-    return cut(parts.withColumn("term", F.lower("word")).join(known, "term", "left").drop("term"))
+    met = keyed.select("key", F.explode_outer(F.array_distinct(F.transform(words_of(F.col("body")), F.lower))).alias("term")).join(known, "term")
+    whole = F.col("ratio") >= 1.0 - 1e-12
+    hit = met.groupBy("key").agg(F.collect_set(F.when(whole, F.col("term"))).alias("full"), F.collect_set(F.when(~whole, F.col("term"))).alias("part"))
+    texts = keyed.join(small(cut(hit)), "key").dropDuplicates(["key"])
+    return cut(texts.select("key", pieces_of(F.col("body"), F.col("full"), F.col("part")).alias("pieces")))
 
 
 def find(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFrame:
@@ -204,10 +265,10 @@ def find(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> DataFram
 
     A null text is empty: no spans. Equal rows have equal spans; a null doc_id stays null. Extra columns are ignored; an
     empty table gives no rows."""
-    parts = placed_terms(docs, guilty_terms(docs, min_contexts, share)).where(F.col("ratio").isNotNull())
-    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ratio"))
-    extra = small(cut(parts.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra"))))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,ratio:double>>")
+    parts = placed_terms(docs, guilty_terms(docs, min_contexts, share))
+    span = lambda p: F.struct((p["end"] - F.length(p["word"])).alias("start"), F.lit(len(KINDS)).alias("rank"), p["end"].alias("end"), p["level"].alias("level"))
+    extra = small(cut(parts.select("key", F.transform(F.filter("pieces", lambda p: p["level"] > 0), span).alias("extra"))))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,level:int>>")
     return with_spans(docs).drop("body").join(extra, "key", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
 
 
@@ -217,9 +278,8 @@ def sanitise(docs: DataFrame, min_contexts: int = 3, share: float = 0.9) -> Data
     included, stay as they are; n_chars, where it exists, follows the text. Repeated rows are treated alike; an empty
     table stays empty. The noncharacters U+FDD0 to U+FDD4, which mark spans meanwhile, become U+FFFD."""
     parts = placed_terms(docs, guilty_terms(docs, min_contexts, share))
-    out = F.when(F.col("ratio").isNull(), F.coalesce("word", F.lit(""))).when(F.col("ratio") >= 1.0 - 1e-12, "").otherwise("[TERM]")
-    joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", F.concat("gap", out).alias("t")))).alias("t"))
-    terms = cut(joined.select(F.col("key").alias(KEY), shown(F.array_join(F.transform("t", lambda p: p["t"]), "")).alias(CLEAN)))
+    out = lambda p: F.concat(p["gap"], F.when(p["level"] == 0, F.coalesce(p["word"], F.lit(""))).when(p["level"] == 2, "").otherwise("[TERM]"))
+    terms = cut(parts.select(F.col("key").alias(KEY), shown(F.array_join(F.transform("pieces", out), "")).alias(CLEAN)))
     plain = shown(masked(F.translate("text", "".join([*MARKS.values(), FILLER]), "�" * 5)))
     rows = docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit("")))).join(small(terms), KEY, "left").withColumn(CLEAN, F.coalesce(CLEAN, plain))
     changed = {"text": F.col(CLEAN)}

@@ -170,6 +170,36 @@ def test_many_matches_in_one_text(spark):
     assert clean[2] == "plain" and clean[1].count("[IP]") == 100_000 and not re.search(PLAIN["ip"], clean[1])
 
 
+def test_many_entities_in_three_texts(spark):
+    """Three versions of a log: entities and words of the same texts are counted as one."""
+    n = 20_000
+    line = lambda v: "\n".join(f"u{i}q@h{i}.example.org says zw{i}x" for i in range(n)) + f"\nversion {v} ends\nonly{v}here mail v{v}@h.example.org"
+    rows = [(v, line(v)) for v in range(3)] + [(10 + i, f"plain text number {i}") for i in range(50)]
+    began = time.perf_counter()
+    guilty = {r["term"]: r["ratio"] for r in sanitise.guilty_terms(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.9).collect()}
+    assert time.perf_counter() - began < 120
+    assert set(guilty) >= {f"zw{i}x" for i in range(n)} and all(guilty[f"zw{i}x"] == pytest.approx(1.0) for i in range(0, n, 999))
+    assert not any(f"only{v}here" in guilty for v in range(3)) and "plain" not in guilty
+
+
+@pytest.mark.parametrize("share", [0.9, 0.5])
+def test_terms_of_random_texts(spark, share):
+    """Many entities and words that stand in the same, in overlapping and in different texts, with copies."""
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(40)}x" for _ in range(rng.randrange(3, 14))]
+        texts.append(" ".join([*words, *(f"p{k}@mail.example.com tok{k}y" for k in rng.sample(range(12), rng.randrange(0, 4)))]))
+    texts += texts[:20] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_terms(texts, share=share)
+    guilty = {r["term"]: r["ratio"] for r in sanitise.guilty_terms(docs, 3, share).collect()}
+    assert guilty.keys() == want.keys() and want
+    assert all(guilty[t] == pytest.approx(want[t]) for t in want)
+
+
 def test_copies_do_not_hide_a_term(spark):
     """One of three disclosing documents a thousand times; copies of another text do not make its plain words disclosing."""
     texts = [f"The {x} note went to quillfeather at qf@mail.example.com before the {x} came." for x in ("garden", "letter", "window")]
