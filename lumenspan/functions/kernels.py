@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from lumenspan.functions.design import hann, tukey
@@ -11,7 +13,8 @@ from lumenspan.functions.design import hann, tukey
 BLOCK = 128
 
 
-def section_matrices(coefficients: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=256)
+def section_matrices(coefficients: tuple[float, ...], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a second-order section (direct form II transposed) does to a block of `size` samples: the outputs from its
     inputs and from the state before it, and the state after it from either."""
     b0, b1, b2, _, a1, a2 = coefficients
@@ -35,7 +38,7 @@ def section(x: np.ndarray, coefficients: np.ndarray, state: np.ndarray | None =
         return x, state
     bad = np.maximum.accumulate(~np.isfinite(x), axis=1)
     size = min(BLOCK, n)
-    outputs, from_state, to_state, carry = section_matrices(coefficients, size)
+    outputs, from_state, to_state, carry = section_matrices(tuple(map(float, coefficients)), size)
     count = -(-n // size)
     u = np.zeros((channels, count * size))
     u[:, :n] = np.where(bad, 0.0, x)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.functions import kernels
+from lumenspan.functions.arrays import lists, vectors
 from lumenspan.model import Record, RecordMeta
 from lumenspan.operators.filters import design_band
 from lumenspan.operators.timeaxis import let, total, trim_range
@@ -104,10 +105,21 @@ def sos_filter(record: Chunked, sos: np.ndarray, backward: bool = False) -> Chun
     size = 2 * len(sos)
     turn = (lambda x: x[::-1]) if backward else (lambda x: x)
 
+    def together(chunks: list[np.ndarray], before: list[np.ndarray] | None = None):
+        """Numbers of equally long chunks, these as rows of a matrix, and their states."""
+        lengths = np.array([len(x) for x in chunks])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            states = np.zeros((len(at), size)) if before is None else np.array([before[i] for i in at])
+            yield at, cascade(np.array([turn(chunks[i]) for i in at]), sos, states)
+
     def alone(batches):
         for batch in batches:
-            out = [cascade(turn(np.asarray(s.values, float))[None], sos, np.zeros((1, size)))[1][0] for s in batch.column("samples")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array([len(s.values) for s in batch.column("samples")]), pa.array(out, pa.list_(pa.float64()))], [*KEY, "n", "state"])
+            chunks = vectors(batch.column("samples"))
+            out = np.zeros((len(chunks), size))
+            for at, (_, after) in together(chunks):
+                out[at] = after
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array([len(x) for x in chunks], pa.int64()), lists(list(out))], [*KEY, "n", "state"])
 
     left = record.chunks.select(*KEY, "samples").mapInArrow(alone, "record_id string, channel_pos int, start long, n long, state array<double>")
     rows = left.groupBy("record_id", "channel_pos").agg(F.array_sort(F.collect_list(F.struct("start", "n", "state"))).alias("c"))
@@ -129,8 +141,11 @@ def sos_filter(record: Chunked, sos: np.ndarray, backward: bool = False) -> Chun
 
     def filtered(batches):
         for batch in batches:
-            out = [turn(cascade(turn(np.asarray(s.values, float))[None], sos, np.array([z.as_py()]))[0][0]) for s, z in zip(batch.column("samples"), batch.column("before"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(out, pa.list_(pa.float64()))], [*COLUMNS, "samples"])
+            chunks, out = vectors(batch.column("samples")), [np.zeros(0)] * batch.num_rows
+            for at, (y, _) in together(chunks, vectors(batch.column("before"))):
+                for i, row in zip(at, y):
+                    out[i] = turn(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), lists(out)], [*COLUMNS, "samples"])
 
     return Chunked(record.chunks.join(states, KEY).select(*COLUMNS, "samples", "before").mapInArrow(filtered, CHUNKS), record.meta)
 
