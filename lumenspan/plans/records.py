@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from lumenspan.model import Record, RecordMeta
 
 E_SAMPLES, E_START = 64, datetime(2024, 1, 1)
+#: Event types up to which they are numbered in a plan.
+MOST_KINDS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def embeddings(spark: SparkSession, sf_dir: str, channels: int | None = None, **meta) -> Record:
+def embeddings(spark: SparkSession, sf_dir: str, **meta) -> Record:
     """vec_id is the channel and its position (ids are dense from 0), array positions are samples at 64 Hz."""
     rows = table(spark, sf_dir, "embeddings")
-    if channels is not None:
-        rows = rows.where(F.col("vec_id") < channels)
     traces = rows.select(
         F.lit("E").alias("record_id"), F.col("vec_id").cast("int").alias("channel_pos"), F.col("vec_id").cast("double").alias("channel"),
         F.col("embedding").cast("array<double>").alias("samples"),
@@ -44,7 +44,9 @@ def events(spark: SparkSession, sf_dir: str) -> Record:
     """Event types (numbered alphabetically) as channels, hourly sums of value over 30 days as samples; one sample a
     second nominally."""
     rows = table(spark, sf_dir, "events")
-    kinds = sorted(r["event_type"] for r in rows.select("event_type").distinct().collect())
+    kinds = sorted(r["event_type"] for r in rows.select("event_type").distinct().limit(MOST_KINDS + 1).collect())
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} event types are no channels of a record")
     number = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
     hour = F.floor(F.timestamp_diff("MICROSECOND", F.lit(E_START).cast("timestamp_ntz"), F.col("ts")) / 3_600_000_000).cast("int")
     sums = rows.select(number[F.col("event_type")].alias("channel"), hour.alias("idx"), "value").groupBy("channel", "idx").agg(F.sum("value").alias("value"))
