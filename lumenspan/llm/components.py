@@ -33,6 +33,8 @@ MANY = 2000
 COMBINED = 200_000
 #: Bytes of text whose sets are in memory at once.
 SLICE = 500_000
+#: Edges that a task of a union-find step has, about: few edges are no hundreds of files a step.
+EDGES = 10_000
 BANDED = "id long, key long, tie long, at long"
 Sets = Callable[[list[str]], list[np.ndarray]]
 
@@ -78,6 +80,8 @@ def connected(edges: DataFrame) -> DataFrame:
     now = cut(edges.where(F.col("u") != F.col("v")).select(both.alias("e")).select("e.*").distinct())
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
     last = now.agg(mark.alias("m")).first()["m"]
+    dealt = lambda df: df.coalesce(max(1, -(-last["n"] // EDGES)))
+    now = dealt(now)
     while last["n"]:
         side = F.broadcast if 2 * 16 * last["n"] <= BROADCAST_BYTES else (lambda df: df.hint("merge"))
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -85,7 +89,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = ways.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(side(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(dealt(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
         mine = now.agg(mark.alias("m")).first()["m"]
         if mine == last:
             break
