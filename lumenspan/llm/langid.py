@@ -163,16 +163,18 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, per_language: int = 400, train_on_all: bool = False) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, train_on_all: bool = False, most_languages: int = 200) -> Model:
     """Train on rows with text, lang and fold other than 0 (all with train_on_all).
 
-    The sample is bounded: rows are drawn by a hash of the id at a rate that gives about per_language rows a language,
-    and of those the first 2 * per_language * languages by a hash of id and text are taken, the same ones on any
+    The sample is bounded: labels beyond the most_languages most frequent ones (ties by name) are not learned, so that a
+    column of stray labels does not fill the driver; rows are drawn by a hash of the id at a rate that gives about
+    per_language rows a language, and of those the first 2 * per_language * languages by a hash of id and text are taken, the same ones on any
     cluster. Their whole texts count; only their bags of subwords, bounded however long a text is, go to the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if not train_on_all:
         rows = rows.where(fold() != 0)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    common = rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return train([], [])
     scale = 1 << 30

@@ -6,13 +6,16 @@ confidence bounds are matched through an inverted index from tokens to rules. Da
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm.sparkkit import cut, small
 
-BLOCKED = "=block"
+#: Items beside tokens: a blocked url, and a url without regard to its domains.
+BLOCKED, ANY = "=block", "=any"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,22 +58,47 @@ def listed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(best, "key", "left").select(pages["*"], F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
 
+def token_classes(held: DataFrame, least: int) -> DataFrame:
+    """(token, item, domain) of the tokens on at least `least` blocked urls, from (id, token, block) rows.
+
+    Tokens of one kind that stand on the same urls share an item, the least of them: they are told by the number and two
+    64-bit hashes of their urls, which tasks combine before the shuffle."""
+    seen = held.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("block").alias("bad"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    common = seen.where(F.col("bad") >= least).withColumn("domain", F.startswith("token", F.lit("h:")))
+    classes = common.groupBy("domain", "n", "x", "y").agg(F.min("token").alias("item"), F.collect_set("token").alias("members"))
+    return cut(classes.select(F.explode("members").alias("token"), "item", "domain"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_count: int = 20) -> DataFrame:
     """Rules (rule_id, antecedent, support, confidence) for blocking, from labelled (tokens, block boolean).
 
     Of a rule and its generalisations (fewer tokens) that all pass the bounds, only the general ones stay, since they
     fire wherever it does. The support must reach min_support and min_count labelled urls, whichever is more, so that few
     labels prove nothing: in a small table the second bound holds, in a large one the first. A null label is not
-    learned from; nothing labelled gives no rules. FP-growth itself keeps at most 1/min_support times the tokens of a url
-    as frequent items on the driver."""
-    items = F.array_distinct(F.concat("tokens", F.when(F.col("block"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))))
-    baskets = cut(labelled.where(F.col("block").isNotNull()).select(items.alias("items")))
-    n = baskets.count()
-    spark = labelled.sparkSession
-    if not n:
+    learned from; nothing labelled gives no rules.
+
+    No rule that stays holds two domains of one host, as the shorter one adds nothing, nor two tokens that always stand
+    together, as either one alone has the same counts. So FP-growth sees a url once for each of its frequent domains and
+    once without (ANY), and classes of tokens as one item: hosts of many labels and deep paths that occur as a whole do
+    not list their subsets. Each token of a class then has a rule of its own. FP-growth itself keeps the frequent items on
+    the driver, at most 1/min_support times the tokens of a url."""
+    known = cut(labelled.where(F.col("block").isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.array_distinct("tokens").alias("tokens"), "block"))
+    n, spark = known.count(), labelled.sparkSession
+    least = math.ceil(min(1.0, max(min_support, min_count / n)) * n) if n else 0
+    held = known.select("id", F.explode("tokens").alias("token"), "block")
+    names = token_classes(held, least)
+    of_kind = lambda test: F.collect_set(F.when(test, F.col("item")))
+    merged = held.join(small(names), "token").groupBy("id", "block").agg(of_kind(F.col("domain")).alias("domains"), of_kind(~F.col("domain")).alias("paths"))
+    sites = merged.select(F.explode(F.concat("domains", F.array(F.lit(ANY)))).alias("site"), "paths", "block")
+    baskets = cut(sites.select(F.concat(F.array("site"), "paths", F.when(F.col("block"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items")))
+    n_baskets = baskets.count()
+    if not n_baskets:
         return spark.createDataFrame([], "rule_id long, antecedent array<string>, support double, confidence double")
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets).freqItemsets
-    sets = cut(found.select(F.array_sort("items").alias("items"), F.col("freq")))
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_baskets, minConfidence=min_confidence).fit(baskets).freqItemsets
+    placed = F.exists("items", lambda x: (x == ANY) | F.startswith(x, F.lit("h:")))
+    sets = cut(found.where(placed).select(F.array_sort(F.array_remove("items", ANY)).alias("items"), F.col("freq")))
     blocked = sets.where(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(
         F.array_remove("items", BLOCKED).alias("antecedent"), F.col("freq").alias("both")
     )
@@ -85,7 +113,18 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         .where((F.col("other") != F.col("rule_id")) & (F.size(F.array_except("part", "antecedent")) == 0))
         .select("rule_id")
     )
-    return cut(strong.join(covered, "rule_id", "left_anti").select("rule_id", "antecedent", "support", "confidence"))
+    return cut(in_tokens(strong.join(covered, "rule_id", "left_anti"), names))
+
+
+def in_tokens(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """Rules over classes of tokens, written as rules over tokens: one for each choice of a token from every class."""
+    members = small(cut(names.groupBy("item").agg(F.collect_set("token").alias("members"))))
+    parts = rules.select("rule_id", "support", "confidence", F.explode("antecedent").alias("item")).join(members, "item")
+    choices = parts.groupBy("rule_id", "support", "confidence").agg(F.collect_list("members").alias("classes"))
+    longer = lambda some, tokens: F.flatten(F.transform(some, lambda s: F.transform(tokens, lambda t: F.concat(s, F.array(t)))))
+    every = F.aggregate("classes", F.array(F.array().cast("array<string>")), longer)
+    spelt = choices.select(F.explode(every).alias("antecedent"), "support", "confidence").withColumn("antecedent", F.array_sort("antecedent"))
+    return spelt.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "support", "confidence")
 
 
 def fired(pages: DataFrame, rules: DataFrame) -> DataFrame:

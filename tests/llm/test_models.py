@@ -101,6 +101,13 @@ def test_fit_reads_whole_texts(spark):
     assert all(got[i] == lang for i, _, lang in rows)
 
 
+def test_stray_labels_are_not_learned(spark):
+    """A label of its own on every tenth row: only the most frequent ones are learned, ties by name."""
+    rows = [(i, "der die und das nicht" if i % 2 else "le la et les pas", f"x{i:04d}" if i % 10 == 0 else "de" if i % 2 else "fr") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, train_on_all=True, most_languages=3).languages == ("de", "fr", "x0000")
+
+
 def test_prediction_uses_text_only(spark, real):
     model = langid.fit(real)
     a = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(real, model).collect()}

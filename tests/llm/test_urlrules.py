@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from itertools import chain, combinations
 
 from pyspark.sql import functions as F
 
@@ -90,3 +92,43 @@ def test_clashing_columns_and_empty_tables(spark):
     assert urlrules.judge_pages(spark, plain.limit(0), rules, labels).count() == 0
     none = urlrules.judge_pages(spark, plain, rules.limit(0), labels).collect()
     assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
+
+
+def minimal_rules(sets, least, share=0.8):
+    """Rules by counting every subset of every url's tokens."""
+    seen, bad = Counter(), Counter()
+    for tokens, block in sets:
+        for part in chain.from_iterable(combinations(sorted(tokens), k) for k in range(1, len(tokens) + 1)):
+            seen[part] += 1
+            bad[part] += block
+    strong = {p: bad[p] / seen[p] for p in seen if bad[p] >= least and bad[p] / seen[p] >= share}
+    return {p: c for p, c in strong.items() if not any(set(o) < set(p) for o in strong)}
+
+
+def test_rules_equal_every_subset_counted(spark):
+    """Nested domains, tokens that always stand together, rules of a domain and a path, a path alone, two paths."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        host = rng.choice(["a.m.x.org", "b.m.x.org", "x.org", "s.lone.net", "y.com"])
+        path = [p for p in ("en", "win", "go", "deal") if rng.random() < 0.5] + (["cgi", "bin"] if rng.random() < 0.3 else [])
+        bad = ("m.x" in host and "win" in path) or ("cgi" in path and "go" in path) or host.startswith("s.lone") or rng.random() < 0.05
+        rows.append((f"http://{host}/{'/'.join(path)}/{'abcdefgh'[i % 8]}", bad))
+    frame = spark.createDataFrame(rows, "url string, block boolean")
+    host, path = urlrules.host_and_path(F.col("url"))
+    baskets = frame.select(urlrules.tokens(host, path).alias("tokens"), "block")
+    want = minimal_rules([(r["tokens"], r["block"]) for r in baskets.collect()], 20)
+    got = urlrules.mine(baskets).collect()
+    assert {tuple(sorted(r["antecedent"])): r["confidence"] for r in got} == want and len(got) == len(want)
+    assert {("h:s.lone.net",), ("h:lone.net",), ("p:bin", "p:go"), ("p:cgi", "p:go"), ("h:m.x.org", "p:win")} <= want.keys()
+
+
+def test_deep_urls_do_not_list_their_subsets(spark):
+    """A host of six labels over a path of forty segments, all frequent: 2^46 sets of tokens, but 45 rules (org is not only theirs)."""
+    deep = "http://a.b.c.d.trap.org/" + "/".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(40))
+    rows = [(deep, True)] * 30 + [(f"http://fine.org/{i}", False) for i in range(70)]
+    frame = spark.createDataFrame(rows, "url string, block boolean")
+    host, path = urlrules.host_and_path(F.col("url"))
+    got = urlrules.mine(frame.select(urlrules.tokens(host, path).alias("tokens"), "block")).collect()
+    assert all(len(r["antecedent"]) == 1 and r["confidence"] == 1 for r in got)
+    assert {r["antecedent"][0] for r in got} == {f"p:{s}" for s in deep.split("/")[3:]} | {f"h:{d}" for d in ("a.b.c.d.trap.org", "b.c.d.trap.org", "c.d.trap.org", "d.trap.org", "trap.org")}
