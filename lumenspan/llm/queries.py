@@ -119,6 +119,27 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+# What SQL can state of the operators whose whole results it cannot.
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that op5_language did not learn from."""
+    return op5_language(spark, sf_dir).select("doc_id", "held_out")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules of op7_quality."""
+    return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_byte_bpe decodes."""
+    return op8_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op10_sanitise."""
+    return op10_sanitise(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat": op2_chat,
@@ -133,6 +154,10 @@ QUERIES = {
     "op11_merkle": op11_merkle,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_exact_dedup": op13_exact_dedup,
+    "language_folds": language_folds,
+    "quality_base": quality_base,
+    "byte_bpe_round_trip": byte_bpe_round_trip,
+    "personal_data_base": personal_data_base,
 }
 _ESCAPED = "len({0}) + len({0}) * 3 - len(replace({0}, '\\', '')) - len(replace({0}, '<', '')) - len(replace({0}, '[', ''))"
 
@@ -274,4 +299,55 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS id, len(coalesce(text, '')) AS
 w AS (SELECT *, row_number() OVER g AS place, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size FROM d WINDOW g AS (PARTITION BY bare ORDER BY chars DESC, doc_id NULLS FIRST, id))
 SELECT doc_id::BIGINT AS doc_id, keep_id::BIGINT AS keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM w"""
 
+#: crc32 of the ids as text, digit by digit.
+FOLDS_SQL = """
+WITH RECURSIVE step AS (SELECT i::BIGINT AS i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+c AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 0::BIGINT AS k, 4294967295::BIGINT AS r FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, xor(r >> 8, v) FROM c JOIN step ON i = xor(r, ascii(substr(s, (k + 1)::BIGINT, 1))) & 255 WHERE k < len(s)),
+out AS (SELECT doc_id FROM c WHERE k = len(s) AND xor(r, 4294967295) % 5 = 0)
+SELECT d.doc_id::BIGINT AS doc_id, out.doc_id IS NOT NULL AS held_out FROM documents d LEFT JOIN out ON out.doc_id = d.doc_id"""
+
+#: Words and lines as rows, windows of five words as strings.
+QUALITY_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d)),
+five AS (SELECT id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS win FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+often AS (SELECT id, i, win IS NOT NULL AND count(*) OVER (PARTITION BY id, win) > 1 AS again FROM five),
+inside AS (SELECT id, bool_or(again) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS again FROM often),
+words AS (SELECT id, count(*) AS n_words, count(*) FILTER (again) AS n_repeat_words FROM inside GROUP BY id),
+lines AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+n AS (SELECT doc_id, t, coalesce(n_words, 0) AS n_words, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN words USING (id) LEFT JOIN lines USING (id))
+SELECT doc_id::BIGINT AS doc_id, n_words::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM n"""
+
+ROUND_TRIP_SQL = "SELECT doc_id::BIGINT AS doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+#: The contract's patterns as they are written there.
+PLAIN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _personal_sql() -> str:
+    """Matches and the gaps between them give the places; then each kind's test."""
+    one = "SELECT id, {1} AS rank, '{0}' AS kind, regexp_extract_all(t, '{2}') AS found, string_split_regex(t, '{2}') AS gaps FROM d"
+    every = " UNION ALL ".join(one.format(k, i, p) for i, (k, p) in enumerate(PLAIN_PATTERNS.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in PLAIN_PATTERNS)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({every}),
+m AS (SELECT id, rank, kind, unnest(found) AS v, unnest(gaps[1 : len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM f WHERE len(found) > 0),
+p AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, sum(len(gap) + len(v)) OVER (PARTITION BY id, rank ORDER BY i) AS stop FROM m),
+a AS (SELECT *, stop - len(v) AS start FROM p WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN len(digits) BETWEEN 10 AND 15
+  WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS HUGEINT) <= 255, false)))
+  ELSE len(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT ELSE x::INT * 2 % 10 + x::INT * 2 // 10 END)) % 10 = 0 END),
+g AS (SELECT id, {counts}, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans FROM a GROUP BY id)
+SELECT doc_id::BIGINT AS doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in PLAIN_PATTERNS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (id)"""
+
+
 ORACLES: dict[str, str] = {"op1_fingerprints": _fingerprint_sql(), "op2_chat": CHAT_SQL, "op3_url_rules": URL_SQL, "op4_near_duplicates": NEAR_SQL, "op11_merkle": MERKLE_SQL, "op12_fill_in_middle": FIM_SQL, "op13_exact_dedup": EXACT_SQL}
+ORACLES |= {"language_folds": FOLDS_SQL, "quality_base": QUALITY_SQL, "byte_bpe_round_trip": ROUND_TRIP_SQL, "personal_data_base": _personal_sql()}
