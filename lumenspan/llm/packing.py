@@ -9,6 +9,7 @@ planned as one pattern with a multiplicity, and executors map each piece to its
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from array import array
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.sparkkit import cut, partitions, slices, texts_of
+from lumenspan.llm.textkit import BEYOND_LATIN, LETTERS, NUMBERS
 from lumenspan.llm.wordcache import WordCache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,6 +46,11 @@ PRE_TOKENIZER = {
 }
 
 
+#: SPLIT for text below U+0250, whose letters and numbers no Unicode version changes: alternatives begin with different
+#: characters, so that the frequent ones may come first.
+LATIN_SPLIT = rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+"
+
+
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them, a word at a time: this vocabulary's normaliser,
     pre-tokenizer and special tokens never look across white space, so ids of a text are those of its words one after
@@ -69,8 +76,9 @@ class WordTokenizer:
         seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         rest = [b for b in range(256) if b not in set(seen)]
         self.byte_level = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 150_000)
-        self.words = WordCache(self._words, 250_000)
+        self.latin = re.compile(LATIN_SPLIT).findall
+        self.parts = WordCache(lambda parts: [self._part(p) for p in parts], 250_000)
+        self.words = WordCache(self._words, 150_000)
 
     def _part(self, part: str) -> bytes:
         if not (part.isascii() and part.isprintable()):
@@ -103,9 +111,17 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         odd = [any(c in t for c in ODD_SPACES) for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        plain = [not o and self._plain(t) for t, o in zip(texts, odd)]
+        words = [[] if o or p else t.split() for t, o, p in zip(texts, odd, plain)]
         known = self.words.prepare(list(chain.from_iterable(words)))
-        return [self._whole(t) if o else b"".join(map(known.__getitem__, w)) for t, w, o in zip(texts, words, odd)]
+        out = [self._whole(t) if o else b"".join(map(known.__getitem__, w)) for t, w, o in zip(texts, words, odd)]
+        parts = [self.latin(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        known = self.parts.prepare(list(chain.from_iterable(parts)))
+        return [b"".join(map(known.__getitem__, x)) if p else o for x, p, o in zip(parts, plain, out)]
+
+    def _plain(self, text: str) -> bool:
+        """Whether a whole text can be split at once: Latin, in which the normaliser only lowers, without special tokens."""
+        return (text.isascii() or not BEYOND_LATIN.search(text)) and not any(x in text for x in self.special)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

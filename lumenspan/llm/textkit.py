@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Letters and numbers below U+0250, for classes of characters; no Unicode version changes them.
+LETTERS, NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+BEYOND_LATIN = re.compile("[^\0-\u024f]")
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -395,3 +395,21 @@ def test_quality_of_long_runs_without_spaces(spark):
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string"), PIECES).collect()}
     for doc_id, _, text in rows:
         assert tuple(got[doc_id][c] for c in COLUMNS) == base(text)
+
+
+def latin_texts():
+    rng = random.Random(11)
+    parts = ["abc", "XYZ", "Àé", "ßŒ", "İ", "ſ", "ª", "µ", "0129", "²¼", "\t", "\n", "\x85", "\xa0", "'s", "'t", "'re", "'LL", "<|", "|>", ".,#$", "\xad", "\0", " ", "  ", "\r\n"]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)]
+
+
+def test_latin_texts_are_split_at_once(monkeypatch):
+    """No work for each written form of a word (Ab, ab, "ab," ...) of packing's texts, and the library's ids."""
+    tokenizer = packing.WordTokenizer(WORDS)
+    texts = latin_texts()
+    expected = [tokenizer._whole(t) for t in texts]
+    monkeypatch.setattr(tokenizer, "_pieces", None)
+    assert tokenizer.ids(texts) == expected
+    monkeypatch.undo()
+    mixed = ["a <|endoftext|> b", "ab\x1ccd", "漢字 and Latin", "é İstanbul", ""] + texts[:20]
+    assert tokenizer.ids(mixed) == [tokenizer._whole(t) for t in mixed]
