@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.sparkkit import slices, texts_of
+from lumenspan.llm.textkit import BEYOND_LATIN, LETTERS, NUMBERS
 from lumenspan.llm.wordcache import WordCache
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FAR = 1 << 60
 #: Bytes that an edit refills before it looks whether the table has met the old one.
 STEP = 64
+#: Lengths of tokens that any bytes may end in.
+SHORT = (2, 1)
 #: Separators that Python's \s knows and the tokenizer's \s does not.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -33,6 +38,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+#: The pattern that re can split Latin text by, with classes of characters in place of Unicode properties (a fixed value).
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class BytePairs:
     """The vocabulary: tokens by rank and the compatibility of neighbours."""
 
@@ -40,6 +49,12 @@ class BytePairs:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths, the longest first, of the tokens that end in three given bytes, and of the shorter ones.
+        self.sizes = {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in ends.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.proven: set[int] = set()
@@ -114,11 +129,14 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         pairs, old = self.pairs, len(self.data)
-        rank, longest, proven, apart = pairs.ranks.get, pairs.longest, pairs.proven, pairs.apart
+        rank, sizes, proven, apart = pairs.ranks.get, pairs.sizes.get, pairs.proven, pairs.apart
         self.data = data = self.data + more
         last, length = self.last, self.length
         for i in range(old + 1, len(data) + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            for size in sizes(data[i - 3 : i] if i > 2 else b"", SHORT):
+                j = i - size
+                if j < 0:
+                    continue
                 token = rank(data[j:i])
                 if token is None or (token not in proven and not pairs.whole(token)):
                     continue
@@ -130,7 +148,7 @@ class PrefixTable:
                     if not fits:
                         continue
                 last.append(token)
-                length.append(i - j)
+                length.append(size)
                 break
             else:
                 raise ValueError(f"no token ends at byte {i}")
@@ -167,14 +185,15 @@ class ByteTokenizer:
     """Encoding and decoding of whole texts, each match of the pattern separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import re
-
         import regex
 
         self.pairs, self.pattern = BytePairs(ranks), regex.compile(pattern)
         # A run of visible characters with the blank before it never shares a match with its neighbours.
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-        self.words = WordCache(lambda words: [self._word(w) for w in words], 200_000)
+        # Below U+0250 no Unicode version changes what is a letter or a number, so re splits such text as regex does.
+        latin = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
+        self.latin = None if pattern != KNOWN_PATTERN else re.compile(latin)
+        self.words = WordCache(self._words, 250_000)
         self.runs = WordCache(self._run, 200_000)
 
     def _word(self, word: str) -> bytes:
@@ -185,6 +204,25 @@ class ByteTokenizer:
         ids = PrefixTable(self.pairs, data).ids()
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """In byte order, so that a word keeps the table's entries for what it begins with like the word before."""
+        pairs, found, table = self.pairs, {}, PrefixTable(self.pairs)
+        for word in sorted(words):
+            data = word.encode()
+            token = pairs.ranks.get(data)
+            if token is not None and pairs.whole(token):
+                found[word] = token.to_bytes(4, "little")
+                continue
+            old, same = table.data, 0
+            for a, b in zip(old, data):
+                if a != b:
+                    break
+                same += 1
+            table.replace(same, len(old), data[same:])
+            ids = table.ids()
+            found[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return [found[w] for w in words]
+
     def _run(self, runs: list[str]):
         split = [self.pattern.findall(r) for r in runs]
         known = self.words.prepare([w for words in split for w in words])
@@ -197,6 +235,14 @@ class ByteTokenizer:
         runs = self.chunks.findall(text)
         return b"".join(map(self.runs.prepare(runs).__getitem__, runs))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode for each text; words of Latin texts are looked up together."""
+        plain = [self.latin is not None and (t.isascii() or not BEYOND_LATIN.search(t)) and not any(c in t for c in ODD_SPACES) for t in texts]
+        words = [self.latin.findall(t) if p else [] for t, p in zip(texts, plain)]
+        known = self.words.prepare(list(chain.from_iterable(words)))
+        found = [b"".join(map(known.__getitem__, w)) for w in words]
+        return [f if p else self.encode(t) for t, p, f in zip(texts, plain, found)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pairs.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -219,7 +265,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         tokenizer = byte_tokenizer(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                ids = [tokenizer.encode(t) for t in texts_of(part)]
+                ids = tokenizer.encode_all(texts_of(part))
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -413,3 +413,25 @@ def test_latin_texts_are_split_at_once(monkeypatch):
     monkeypatch.undo()
     mixed = ["a <|endoftext|> b", "ab\x1ccd", "漢字 and Latin", "é İstanbul", ""] + texts[:20]
     assert tokenizer.ids(mixed) == [tokenizer._whole(t) for t in mixed]
+
+
+def test_prefix_tables_try_few_tokens(library):
+    """Only lengths of tokens that end like the text are tried, and words that begin alike share a table's entries."""
+    tokenizer = bytebpe.ByteTokenizer(bytebpe.load_ranks(MULTI), P.PATTERN)
+    texts = latin_texts() + [" unquestionablyunheardof", "unquestionablyunheardofs", "Ünquestionably 漢字\x1cx", "a" * 3000, ""]
+    pairs, tried = tokenizer.pairs, []
+    found = tokenizer.encode_all(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library.encode_ordinary(t) for t in texts] and found == [tokenizer.encode(t) for t in texts]
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            tried.append(key)
+            return super().get(key, default)
+
+    pairs.ranks = Counted(pairs.ranks)
+    bytebpe.PrefixTable(pairs, b"unquestionablyunheardofwords" * 10)
+    assert len(tried) < 280 * 12
+    tried.clear()
+    words = [f"unquestionablyunheardofword{c}" for c in "abcdefgh"]
+    tokenizer._words(words)
+    assert len(tried) < 2 * 30 * 12
